@@ -9,10 +9,11 @@ from . import blocks as B
 from . import constants as K
 from . import lexer as L
 from .runs import inline_runs
-from .text import group, let, lookup, strip, sub
+from .text import group, let, lookup, rstrip, strip, sub
 
 PAIRS = "array<struct<key:string,value:string>>"
-NO_PAIRS = "array()"
+# unindented ``several words: value`` lines are entries too
+WIDE_PAIR = r"(?Ud)^[^\s:#'\-\[\]{},&*!|>%@`][^:]*:(?:\s.*)?$"
 
 
 def no_pairs() -> Column:
@@ -54,17 +55,24 @@ def frontmatter_pairs(lines: Column) -> Column:
         L.frontmatter_length(lines),
         lambda n: F.slice(lines, F.lit(2), F.greatest(n - 2, F.lit(0))),
     )
-    kept = F.filter(F.transform(body, strip), lambda s: s.rlike(K.FRONTMATTER_PAIR))
-    return F.transform(
-        kept,
-        lambda s: F.struct(
-            F.lower(strip(F.substring_index(s, ":", 1))).alias("key"),
-            F.btrim(
-                F.btrim(strip(F.regexp_replace(s, F.lit("^[^:]*:"), F.lit(""))), F.lit('"')), F.lit("'")
-            ).alias("value"),
-        ),
+    kept = F.filter(
+        F.transform(body, rstrip), lambda s: strip(s).rlike(K.FRONTMATTER_PAIR) | s.rlike(WIDE_PAIR)
     )
 
+    def entry(s: Column) -> Column:
+        value = strip(F.regexp_replace(s, F.lit("^[^:]*:"), F.lit("")))
+        return F.struct(
+            F.lower(F.btrim(strip(F.substring_index(s, ":", 1)), F.lit("\"'"))).alias("key"),
+            F.when(
+                value.rlike(r'^".*"$') & F.contains(value, F.lit("\\")),
+                sub(F.substring(value, F.lit(2), F.length(value) - 2), r'\\(["\\])', "$1"),
+            )
+            .otherwise(F.btrim(F.btrim(value, F.lit('"')), F.lit("'")))
+            .alias("value"),
+        )
+
+    return F.transform(kept, entry)
+
 
 def header(spans: Column) -> Column:
     """Leading H1 / H2 / bold-pair blocks of a document without frontmatter.

@@ -1,0 +1,8 @@
+"""Corpora derived from the base tables, and the queries over them."""
+
+
+def load_queries():
+    """Import all query modules and return ``(queries, oracles)``."""
+    from . import registry, report_queries  # noqa: F401
+
+    return registry.QUERIES, registry.ORACLES
