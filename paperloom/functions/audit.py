@@ -10,6 +10,7 @@ from . import constants as K
 from . import footnotes as N
 from . import lexer as L
 from . import metadata as M
+from .runs import block_run_arrays, run_counts_of
 from .tables import table_parts
 from .text import group, is_digits, let, normalize_block, normalize_inline, strip
 
@@ -21,8 +22,6 @@ SUMMARY_FIELDS = [
 
 def block_summary(code: Column, lines: Column) -> Column:
     """Canonical struct of one block (fields of ``SUMMARY_FIELDS``)."""
-    from ..operators.inline import block_run_arrays, run_counts_of
-
     item = F.contains(F.lit("BxNy"), code)
     number = F.contains(F.lit("Ny"), code)
     diagram = code == "D"

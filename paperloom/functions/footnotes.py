@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 from . import lexer as L
-from .text import any_of, group, let, strip
+from .text import group, let, strip
 
 
 def definitions(text: Column, caret: bool = False) -> Column:
@@ -22,7 +22,7 @@ def definitions(text: Column, caret: bool = False) -> Column:
         return let(L.frontmatter_length(lines), lambda fm: _regions(lines, fm, pattern, caret))
 
     return F.when(
-        F.lower(text).rlike(any_of(K.REFERENCE_KEYWORDS)), let(L.split_lines(text), scan)
+        L.has_keyword(text), let(L.split_lines(text), scan)
     ).otherwise(F.array().cast("array<struct<num:int,text:string,line_no:int>>"))
 
 
@@ -32,7 +32,7 @@ def _regions(lines: Column, fm: Column, pattern: str, caret: bool) -> Column:
     def cls(x: Column) -> Column:
         return let(
             strip(x),
-            lambda s: F.when(F.lower(s).rlike(any_of(K.REFERENCE_KEYWORDS)), F.lit("K"))
+            lambda s: F.when(L.has_keyword(s), F.lit("K"))
             .when(s == "", F.lit("E"))
             .when(s.rlike(pattern), F.lit("D"))
             .otherwise(F.lit("O")),

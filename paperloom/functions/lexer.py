@@ -16,11 +16,13 @@ middle / end of a wrapped embedded image.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import any_of, group, let, strip, strip_anchors
+from .text import group, let, strip, strip_anchors
 
 BLOCKS = (
     r"[RSUV][^1-4W=]*"      # reference region, up to the next heading
@@ -65,7 +67,7 @@ def is_numbered_title(s: Column) -> Column:
 
 
 def _class_of(raw: Column, s: Column, has_data_image: Column, strict: bool) -> Column:
-    keyword = F.lower(s).rlike(any_of(K.REFERENCE_KEYWORDS))
+    keyword = has_keyword(s)
     if strict:
         keyword = keyword & s.rlike(r"(?U)^(?:#{1,4}\s|\*\*\d)")
     base64_text = strip(raw)
@@ -121,12 +123,34 @@ def _class_of(raw: Column, s: Column, has_data_image: Column, strict: bool) -> C
     )
 
 
-def line_classes(lines: Column, has_data_image: Column, strict: bool = False) -> Column:
-    """Array of one-character classes, one per line."""
-    pairs = F.transform(
-        lines, lambda x: F.struct(x.alias("raw"), strip(strip_anchors(strip(x))).alias("s"))
+def has_keyword(s: Column) -> Column:
+    """Does a text hold a reference keyword?  Plain searches beat one regex here."""
+    return let(
+        F.lower(s),
+        lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in K.REFERENCE_KEYWORDS]),
+    )
+
+
+def line_classes(text: Column, lines: Column, strict: bool = False) -> Column:
+    """Array of one-character classes, one per line.
+
+    What a document cannot contain is found once and not looked for per line.
+    """
+    flags = F.struct(
+        F.contains(text, F.lit(";base64,")).alias("image"),
+        F.contains(F.lower(text), F.lit("<a")).alias("anchor"),
+    )
+
+    def trimmed(x: Column, f: Column) -> Column:
+        return F.when(f["anchor"], strip(strip_anchors(strip(x)))).otherwise(strip(x))
+
+    return let(
+        flags,
+        lambda f: F.transform(
+            F.transform(lines, lambda x: F.struct(x.alias("raw"), trimmed(x, f).alias("s"))),
+            lambda p: _class_of(p["raw"], p["s"], f["image"], strict),
+        ),
     )
-    return F.transform(pairs, lambda p: _class_of(p["raw"], p["s"], has_data_image, strict))
 
 
 def frontmatter_close(lines: Column) -> Column:
@@ -181,15 +205,13 @@ def block_spans(text: Column, strict: bool = False) -> Column:
 
     ``start_line`` counts from the first line of the text, metadata block included.
     """
-    has_image = F.contains(text, F.lit(";base64,"))
-
     def with_lines(lines: Column) -> Column:
         return let(
             frontmatter_length(lines),
             lambda fm: let(
                 F.slice(lines, fm + 1, F.greatest(F.size(lines) - fm, F.lit(0))),
                 lambda body: let(
-                    F.array_join(line_classes(body, has_image, strict), ""),
+                    F.array_join(line_classes(text, body, strict), ""),
                     lambda cls: _cut(cls, body, fm),
                 ),
             ),

@@ -48,10 +48,6 @@ def render_heading(level: Column, text: Column) -> Column:
     return F.concat(F.repeat(F.lit("#"), level), F.lit(" "), strip(F.replace(text, F.lit("**"), F.lit(""))))
 
 
-def render_item(indent: Column, marker: Column, text: Column, **style) -> Column:
-    return F.concat(F.repeat(F.lit("  "), indent), marker, F.lit(" "), render_text(text, **style))
-
-
 def render_callout(title: Column, text: Column) -> Column:
     body = F.transform(
         F.split(text, "\n", -1),
@@ -122,25 +118,22 @@ def render_math(text: Column) -> Column:
 def render_block(code: Column, lines: Column, options) -> Column:
     """Markdown of one block, without the newline that ends it."""
     style = {"strip_formatting": options.strip_formatting, "keep_math": options.keep_math_delimiters}
+    numbered = F.contains(F.lit("Ny"), code)
+    marker = F.when(
+        numbered, F.concat(F.regexp_extract(B.first_line(lines), K.NUMBERED, 2), F.lit(". "))
+    ).otherwise(F.lit("- "))
+    lead = F.when(code == "P", F.lit("")).otherwise(
+        F.concat(F.repeat(F.lit("  "), B.item_indent(code, lines)), marker)
+    )
+    text = F.when(code == "P", B.paragraph_text(lines, options.keep_double_space)).otherwise(
+        B.item_text(code, lines)
+    )
     return (
         F.when(
-            code == "P",
-            let(B.paragraph_text(lines, options.keep_double_space), lambda t: render_text(t, **style)),
+            F.contains(F.lit("PBxNy"), code),
+            F.concat(lead, let(text, lambda t: render_text(t, **style))),
         )
         .when(B.is_heading(code), render_heading(B.heading_level(code), B.heading_text(code, lines)))
-        .when(
-            F.contains(F.lit("Bx"), code),
-            render_item(B.item_indent(code, lines), F.lit("-"), B.item_text(code, lines), **style),
-        )
-        .when(
-            F.contains(F.lit("Ny"), code),
-            render_item(
-                B.item_indent(code, lines),
-                F.concat(F.regexp_extract(B.first_line(lines), K.NUMBERED, 2), F.lit(".")),
-                B.item_text(code, lines),
-                **style,
-            ),
-        )
         .when(
             code == "T",
             let(table_parts(lines), lambda p: render_table(p, options.table_alignment, **style)),

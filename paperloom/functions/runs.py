@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import constants as K
+from .tables import table_parts
 from .text import cut, group, let, strip, unescape
 
 RUN = "struct<text:string,bold:boolean,italic:boolean,superscript:boolean,subscript:boolean,is_latex:boolean,color_hex:string>"
@@ -82,7 +84,7 @@ def _unstyled(text: Column, color: Column, math: bool) -> Column:
     ).cast(RUN)
 
 
-def _with_math(text: Column, color: Column) -> Column:
+def _with_math(text: Column, color: Column, math: Column) -> Column:
     def one(p: Column) -> Column:
         return F.when(
             p.startswith(K.PART), F.array(_unstyled(F.substring(p, 2, 2147483647), color, True))
@@ -90,19 +92,49 @@ def _with_math(text: Column, color: Column) -> Column:
 
     marked = F.regexp_replace(text, F.lit(K.INLINE_MATH), F.lit(f"{K.CUT}{K.PART}$1{K.CUT}"))
     return F.when(
-        F.contains(text, F.lit("$")),
+        math & F.contains(text, F.lit("$")),
         F.flatten(F.transform(F.filter(F.split(marked, K.CUT, -1), lambda p: p != ""), one)),
     ).otherwise(_plain(text, color))
 
 
-def inline_runs(text: Column, math: bool = True) -> Column:
+def inline_runs(text: Column, math: bool | Column = True) -> Column:
     """Runs of a text in order; ``math=False`` leaves ``$`` alone (currency-safe)."""
     normalized = F.replace(text, F.lit("\\*\\*"), F.lit("**"))
-    step = _with_math if math else _plain
-    runs = F.flatten(F.transform(color_pieces(normalized), lambda s: step(s["text"], s["color"])))
-    return F.filter(runs, lambda r: r["text"] != "")
+
+    def runs(s: Column) -> Column:
+        if math is False:
+            return _plain(s["text"], s["color"])
+        return _with_math(s["text"], s["color"], F.lit(True) if math is True else math)
+
+    return F.filter(F.flatten(F.transform(color_pieces(normalized), runs)), lambda r: r["text"] != "")
 
 
 def cell_runs(text: Column) -> Column:
     """Runs of a table cell: math only where a balanced ``$...$`` exists."""
-    return F.when(text.rlike(K.INLINE_MATH), inline_runs(text)).otherwise(inline_runs(text, math=False))
+    return inline_runs(text, math=text.rlike(K.INLINE_MATH))
+
+
+def flowing_text(code: Column, lines: Column) -> Column:
+    """Text of the blocks that flow: paragraphs and list items."""
+    return F.when(code == "P", B.paragraph_text(lines)).when(
+        F.contains(F.lit("BxNy"), code), B.item_text(code, lines)
+    )
+
+
+def block_run_arrays(code: Column, lines: Column) -> Column:
+    """All runs of a block; the runs of a table are those of its cells."""
+    cells = let(table_parts(lines), lambda p: F.flatten(F.transform(F.flatten(p["rows"]), cell_runs)))
+    return F.when(code == "T", cells).otherwise(
+        F.coalesce(inline_runs(flowing_text(code, lines)), F.array().cast(f"array<{RUN}>"))
+    )
+
+
+def run_counts_of(runs: Column) -> Column:
+    """``struct<bold, italic>`` counts of a run array."""
+    return let(
+        runs,
+        lambda r: F.struct(
+            F.size(F.filter(r, lambda x: x["bold"])).alias("bold"),
+            F.size(F.filter(r, lambda x: x["italic"])).alias("italic"),
+        ),
+    )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import audit as A
+from ..functions import exprs as E
 from ..functions.text import let, normalize_block, normalize_inline
 from ..options import RenderOptions
 from .render import roundtrip_corpus
@@ -29,7 +30,7 @@ def normalize_compare_text(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def block_summary(spans: DataFrame) -> DataFrame:
     """Canonical row per block ``(doc_id, block_idx, …)``."""
-    out = spans.select("doc_id", "block_idx", A.block_summary(F.col("code"), F.col("lines")).alias("s"))
+    out = spans.select("doc_id", "block_idx", E.block_summary().alias("s"))
     return out.select("doc_id", "block_idx", "s.*")
 
 
@@ -39,7 +40,7 @@ def block_counts(spans: DataFrame) -> DataFrame:
 
 
 def records(corpus: DataFrame) -> DataFrame:
-    return corpus.select("doc_id", A.document_record(F.col("text")).alias("r"))
+    return corpus.select("doc_id", E.record().alias("r"))
 
 
 def document_summary(corpus: DataFrame) -> DataFrame:
@@ -81,6 +82,7 @@ def _entries(r: str, scope: str) -> Column:
     )
 
 
+@E.per_application
 def metadata_changes(scope: str) -> Column:
     """Keys of either side whose values differ, in key order."""
 
@@ -114,6 +116,7 @@ def _blocks(side: str) -> Column:
     return F.coalesce(F.col(f"{side}.blocks"), F.array())
 
 
+@E.per_application
 def count_changes() -> Column:
     """``array<struct<name, delta>>``: block types, then notes, images, tables."""
 
@@ -221,6 +224,7 @@ def block_diff(pairs: DataFrame) -> DataFrame:
     )
 
 
+@E.per_application
 def is_changed() -> Column:
     return (
         (F.size(metadata_changes("field")) > 0)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as E
 from ..functions import footnotes as N
 from ..functions.text import is_digits, let, strip
 from ..options import ParseOptions
@@ -15,8 +16,7 @@ DEFAULT = ParseOptions()
 
 def footnote_defs(corpus: DataFrame, options: ParseOptions = DEFAULT) -> DataFrame:
     """``footnotes(doc_id, num, text)``; the last of equal numbers wins."""
-    notes = let(N.definitions(F.col("text"), options.caret_definitions), N.final_notes)
-    out = explode_rows(corpus, ["doc_id"], notes, "p", "n")
+    out = explode_rows(corpus, ["doc_id"], E.final_notes(options.caret_definitions), "p", "n")
     return out.select("doc_id", "n.num", "n.text")
 
 
@@ -62,11 +62,7 @@ def unused_notes(refs: DataFrame, notes: DataFrame) -> DataFrame:
 
 def endnotes_text(corpus: DataFrame, options: ParseOptions = DEFAULT) -> DataFrame:
     """``## Citations`` section of every document that has notes."""
-
-    def text(defs: Column) -> Column:
-        return N.endnotes_text(N.final_notes(defs))
-
     out = corpus.select(
-        "doc_id", let(N.definitions(F.col("text"), options.caret_definitions), text).alias("endnotes")
+        "doc_id", let(E.final_notes(options.caret_definitions), N.endnotes_text).alias("endnotes")
     )
     return out.filter(F.col("endnotes") != "")

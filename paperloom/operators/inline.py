@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blocks as B
 from ..functions import constants as K
+from ..functions import exprs as E
 from ..functions import runs as R
-from ..functions import tables as T
 from ..functions.text import let, unescape, unescape_strip
 from .structure import explode_rows
 
@@ -44,37 +43,10 @@ def unescape_text(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, unescape_strip(t).alias("text"), unescape(t).alias("text_spaced"))
 
 
-def block_run_arrays(code: Column, lines: Column) -> Column:
-    """All runs of a block; the runs of a table are those of its cells."""
-
-    def table_runs(p: Column) -> Column:
-        return F.flatten(F.transform(F.flatten(p["rows"]), R.cell_runs))
-
-    return (
-        F.when(code == "P", R.inline_runs(B.paragraph_text(lines)))
-        .when(F.contains(F.lit("BxNy"), code), R.inline_runs(B.item_text(code, lines)))
-        .when(code == "T", let(T.table_parts(lines), table_runs))
-        .otherwise(F.array().cast(f"array<{R.RUN}>"))
-    )
-
-
-def run_counts_of(runs: Column) -> Column:
-    """``struct<bold, italic>`` counts of a run array."""
-    return let(
-        runs,
-        lambda r: F.struct(
-            F.size(F.filter(r, lambda x: x["bold"])).alias("bold"),
-            F.size(F.filter(r, lambda x: x["italic"])).alias("italic"),
-        ),
-    )
-
-
 def block_runs(spans: DataFrame) -> DataFrame:
     """``runs`` relation of paragraphs and list items, plus cells (``row_idx``, ``col_idx``)."""
     code, lines = F.col("code"), F.col("lines")
-    text = (
-        F.when(code == "P", B.paragraph_text(lines)).when(F.contains(F.lit("BxNy"), code), B.item_text(code, lines))
-    )
+    text = R.flowing_text(code, lines)
     no = F.lit(None).cast("int")
     flat = F.array(F.struct(no.alias("row_idx"), no.alias("col_idx"), R.inline_runs(text).alias("runs")))
 
@@ -89,7 +61,7 @@ def block_runs(spans: DataFrame) -> DataFrame:
             )
         )
 
-    groups = F.when(code == "T", let(T.table_parts(lines), cells)).when(text.isNotNull(), flat)
+    groups = F.when(code == "T", let(E.table_parts(), cells)).when(text.isNotNull(), flat)
     per_group = explode_rows(
         spans.filter(F.contains(F.lit("PBxNyT"), code)), ["doc_id", "block_idx"], groups, "g", "x"
     )
@@ -102,7 +74,7 @@ def block_runs(spans: DataFrame) -> DataFrame:
 def run_counts(spans: DataFrame) -> DataFrame:
     """Bold and italic runs per block that can hold runs."""
     counted = spans.filter(F.contains(F.lit("PBxNyT"), F.col("code"))).select(
-        "doc_id", "block_idx", run_counts_of(block_run_arrays(F.col("code"), F.col("lines"))).alias("n")
+        "doc_id", "block_idx", R.run_counts_of(E.block_runs()).alias("n")
     )
     return counted.select(
         "doc_id", "block_idx", F.col("n.bold").alias("bold_runs"), F.col("n.italic").alias("italic_runs")

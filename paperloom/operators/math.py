@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..functions import constants as K
+from ..functions import exprs as E
 from ..functions.math_text import latex_to_text
 from ..functions.text import let
-from ..functions.lexer import block_spans
 
 
 def latex_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,5 +35,5 @@ def equation_counts(corpus: DataFrame) -> DataFrame:
             inline.alias("inline_equations"),
         )
 
-    out = corpus.select("doc_id", let(block_spans(F.col("text")), counts).alias("c"))
+    out = corpus.select("doc_id", let(E.spans(), counts).alias("c"))
     return out.select("doc_id", "c.block_equations", "c.inline_equations")

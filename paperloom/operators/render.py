@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import footnotes as N
-from ..functions import metadata as M
+from ..functions import exprs as E
 from ..functions import render as R
-from ..functions.text import let
 from ..options import ParseOptions, RenderOptions
 
 DEFAULT = RenderOptions()
@@ -17,37 +15,15 @@ DEFAULT = RenderOptions()
 def render_blocks(spans: DataFrame, options: RenderOptions = DEFAULT) -> DataFrame:
     """Markdown of every block: ``(doc_id, block_idx, code, markdown)``."""
     return spans.select(
-        "doc_id", "block_idx", "code", R.render_block(F.col("code"), F.col("lines"), options).alias("markdown")
+        "doc_id", "block_idx", "code", E.block_markdown(options).alias("markdown")
     )
 
 
-def assemble(text: Column, options: RenderOptions, parse: ParseOptions = ParseOptions()) -> Column:
-    """Whole document: metadata block, body blocks, end notes."""
-
-    def parts(d: Column) -> Column:
-        body = F.transform(
-            M.body_spans(d),
-            lambda b: let(
-                R.render_block(b["code"], b["lines"], options),
-                lambda md: F.when(md != "", F.concat(md, F.lit("\n"))).otherwise(F.lit("")),
-            ),
-        )
-        notes = let(
-            N.definitions(text, parse.caret_definitions), lambda n: N.endnotes_text(N.final_notes(n))
-        )
-        front = let(M.inferred_metadata(d), M.frontmatter_text) if options.include_frontmatter else F.lit("")
-        return F.array_join(
-            F.filter(F.concat(F.array(front), body, F.array(notes)), lambda p: p != ""), "\n"
-        )
-
-    return let(M.document(text, parse.strict_reference_header), parts)
-
-
-def assemble_documents(corpus: DataFrame, options: RenderOptions = DEFAULT) -> DataFrame:
+def assemble_documents(
+    corpus: DataFrame, options: RenderOptions = DEFAULT, parse: ParseOptions = ParseOptions()
+) -> DataFrame:
     """One normalised Markdown text per document, in one narrow pass (no shuffle)."""
-    return corpus.select(
-        "doc_id", R.normalize_markdown(assemble(F.col("text"), options)).alias("markdown")
-    )
+    return corpus.select("doc_id", E.markdown(options, parse).alias("markdown"))
 
 
 def assemble_from_blocks(

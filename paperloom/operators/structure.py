@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..functions import constants as K
+from ..functions import exprs as E
 from ..functions import lexer as L
 from ..functions import metadata as M
-from ..functions.text import group, is_digits, let, normalize_spacing, strip, strip_anchors, sub
+from ..functions.text import group, let, normalize_spacing, strip, strip_anchors
 from ..options import ParseOptions, SeparatorOptions
 
 DEFAULT = ParseOptions()
@@ -66,8 +67,6 @@ def frontmatter_pairs(corpus: DataFrame) -> DataFrame:
 
 def classify_lines(corpus: DataFrame, options: ParseOptions = DEFAULT) -> DataFrame:
     """``(doc_id, line_no, text, cls)`` of the lines after the metadata block."""
-    image = F.contains(F.col("text"), F.lit(";base64,"))
-
     def rows(lines: Column) -> Column:
         return let(
             L.frontmatter_length(lines),
@@ -76,7 +75,7 @@ def classify_lines(corpus: DataFrame, options: ParseOptions = DEFAULT) -> DataFr
                 lambda body: F.transform(
                     F.zip_with(
                         body,
-                        L.line_classes(body, image, options.strict_reference_header),
+                        L.line_classes(F.col("text"), body, options.strict_reference_header),
                         lambda t, c: F.struct(t.alias("text"), c.alias("cls")),
                     ),
                     lambda r, i: F.struct((i + fm).alias("line_no"), r["text"].alias("text"), r["cls"].alias("cls")),
@@ -90,7 +89,7 @@ def classify_lines(corpus: DataFrame, options: ParseOptions = DEFAULT) -> DataFr
 
 def segment_blocks(corpus: DataFrame, options: ParseOptions = DEFAULT) -> DataFrame:
     """Block boundaries: ``(doc_id, block_idx, code, type, start_line, n_lines, lines)``."""
-    spans = L.block_spans(F.col("text"), options.strict_reference_header)
+    spans = E.spans(options.strict_reference_header)
     out = explode_rows(corpus, ["doc_id"], spans, "block_idx", "b")
     return out.select(
         "doc_id", "block_idx", "b.code", B.block_type(F.col("b.code")).alias("type"),
@@ -100,7 +99,7 @@ def segment_blocks(corpus: DataFrame, options: ParseOptions = DEFAULT) -> DataFr
 
 def body_blocks(corpus: DataFrame, options: ParseOptions = DEFAULT) -> DataFrame:
     """Same columns, without the header blocks that became metadata."""
-    spans = let(M.document(F.col("text"), options.strict_reference_header), M.body_spans)
+    spans = E.body_spans(options.strict_reference_header)
     out = explode_rows(corpus, ["doc_id"], spans, "p", "b")
     return out.select(
         "doc_id", "b.block_idx", "b.code", B.block_type(F.col("b.code")).alias("type"),
@@ -234,15 +233,13 @@ def strip_html_anchors(corpus: DataFrame) -> DataFrame:
 
 def reference_gate(corpus: DataFrame, options: ParseOptions = DEFAULT) -> DataFrame:
     """Lines hidden by a reference region: ``(doc_id, line_no, text)``."""
-    image = F.contains(F.col("text"), F.lit(";base64,"))
-
     def rows(lines: Column) -> Column:
         return let(
             L.frontmatter_length(lines),
             lambda fm: let(
                 F.slice(lines, fm + 1, F.greatest(F.size(lines) - fm, F.lit(0))),
                 lambda body: let(
-                    F.array_join(L.line_classes(body, image, options.strict_reference_header), ""),
+                    F.array_join(L.line_classes(F.col("text"), body, options.strict_reference_header), ""),
                     lambda cls: _hidden(cls, body, fm),
                 ),
             ),
@@ -296,7 +293,7 @@ def assign_sections(block_rows: DataFrame) -> DataFrame:
 
 def outline(corpus: DataFrame) -> DataFrame:
     """Headings in order with levels clamped to 1-4; ``entry_no`` counts per document."""
-    heads = L.block_spans(F.col("text"))
+    heads = E.spans()
     entries = F.filter(
         F.transform(
             F.filter(heads, lambda b: B.is_heading(b["code"])),

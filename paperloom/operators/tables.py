@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as E
 from ..functions import tables as T
 from ..functions.text import let
 from ..options import ParseOptions
@@ -15,7 +16,7 @@ DEFAULT = ParseOptions()
 
 
 def _parts(options: ParseOptions) -> Column:
-    return T.table_parts(F.col("lines"), options.keep_empty_cells)
+    return E.table_parts(options.keep_empty_cells)
 
 
 def _tables(spans: DataFrame) -> DataFrame:
