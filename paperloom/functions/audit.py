@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import constants as K
-from . import footnotes as N
 from . import lexer as L
 from . import metadata as M
 from .runs import block_run_arrays, run_counts_of
@@ -75,23 +74,19 @@ def block_summary(code: Column, lines: Column) -> Column:
     )
 
 
-def document_record(text: Column) -> Column:
+def document_record(doc: Column, notes: Column) -> Column:
     """Everything a comparison needs, one struct per document."""
-
-    def build(d: Column) -> Column:
-        return let(
-            F.struct(M.inferred_metadata(d).alias("m"), M.body_spans(d).alias("b")),
-            lambda x: F.struct(
-                x["m"]["title"].alias("title"),
-                x["m"]["subtitle"].alias("subtitle"),
-                x["m"]["company"].alias("company"),
-                x["m"]["extra"].alias("extra"),
-                F.size(let(N.definitions(text), N.final_notes)).alias("footnote_count"),
-                F.transform(x["b"], lambda b: block_summary(b["code"], b["lines"])).alias("blocks"),
-            ),
-        )
-
-    return let(M.document(text), build)
+    return let(
+        F.struct(M.inferred_metadata(doc).alias("m"), M.body_spans(doc).alias("b")),
+        lambda x: F.struct(
+            x["m"]["title"].alias("title"),
+            x["m"]["subtitle"].alias("subtitle"),
+            x["m"]["company"].alias("company"),
+            x["m"]["extra"].alias("extra"),
+            F.size(notes).alias("footnote_count"),
+            F.transform(x["b"], lambda b: block_summary(b["code"], b["lines"])).alias("blocks"),
+        ),
+    )
 
 
 def type_counts(blocks: Column) -> Column:

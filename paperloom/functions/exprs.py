@@ -75,7 +75,7 @@ def final_notes(caret: bool = False) -> Column:
 
 @per_application
 def record() -> Column:
-    return A.document_record(F.col("text"))
+    return let(document(), lambda d: A.document_record(d, final_notes()))
 
 
 @per_application

@@ -77,7 +77,8 @@ def shaded_color(hex_: Column, tint: Column, shade: Column) -> Column:
         c = F.when(shade != "", F.bround(c * share(shade), 0)).otherwise(c)
         return F.lpad(F.hex(F.greatest(F.lit(0.0), F.least(F.lit(255.0), c)).cast("long")), 2, "0")
 
-    return F.concat(F.lit("#"), channel(0), channel(1), channel(2))
+    rgb = F.concat(F.lit("#"), channel(0), channel(1), channel(2))
+    return F.when(hex_.isNotNull(), rgb)
 
 
 def callout_title(text: Column, fill: Column) -> Column:

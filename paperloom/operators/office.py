@@ -385,6 +385,7 @@ def split_mixed_paragraphs(tokens: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy(*KEY).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
     image = F.col("kind") == "image"
+    tokens = tokens.withColumn("kind", F.when(image, "image").otherwise("text"))
     islands = tokens.withColumn("n", F.sum(image.cast("int")).over(w)).withColumn(
         "island", 2 * F.col("n") - image.cast("int")
     )

@@ -3,6 +3,6 @@
 
 def load_queries():
     """Import all query modules and return ``(queries, oracles)``."""
-    from . import registry, report_queries, text_queries  # noqa: F401
+    from . import office_queries, registry, report_queries, stream_queries, text_queries  # noqa: F401
 
     return registry.QUERIES, registry.ORACLES
