@@ -122,15 +122,16 @@ def image_source(lines: Column) -> Column:
 
 def image_parts(code: Column, lines: Column) -> Column:
     """``struct<alt_text, path, mime, data>`` of an image block."""
-    s, src = trimmed_line(lines), image_source(lines)
     embedded = code == "I"
-    return F.struct(
-        F.when(embedded, group(src, K.DATA_IMAGE, 1)).otherwise(group(s, K.IMAGE, 1)).alias("alt_text"),
-        F.when(embedded, F.lit("")).otherwise(group(s, K.IMAGE, 2)).alias("path"),
-        F.when(embedded, group(src, K.DATA_IMAGE, 2)).alias("mime"),
-        F.when(
-            embedded, F.regexp_replace(group(src, K.DATA_IMAGE, 3), F.lit("[\n\r ]"), F.lit(""))
-        ).alias("data"),
+    source = F.when(embedded, image_source(lines)).otherwise(trimmed_line(lines))
+    return let(
+        source,
+        lambda s: F.struct(
+            F.when(embedded, group(s, K.DATA_IMAGE, 1)).otherwise(group(s, K.IMAGE, 1)).alias("alt_text"),
+            F.when(embedded, F.lit("")).otherwise(group(s, K.IMAGE, 2)).alias("path"),
+            F.when(embedded, group(s, K.DATA_IMAGE, 2)).alias("mime"),
+            F.when(embedded, F.translate(group(s, K.DATA_IMAGE, 3), "\n\r ", "")).alias("data"),
+        ),
     )
 
 

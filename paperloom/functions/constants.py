@@ -230,10 +230,8 @@ PARAGRAPH_OPENERS = (
     "본 건은",
     "위 알고리즘",
 )
-SENTENCE_END = (
-    r"(다|요|음|함|임|됨|것|수|점|니다|입니다|습니다|됩니다|합니다|입니까)"
-    r"\.(?=[가-힣A-Z\[])"
-)
+SENTENCE_ENDINGS = "다|요|음|함|임|됨|것|수|점|니다|입니다|습니다|됩니다|합니다|입니까"
+SENTENCE_FOLLOWERS = r"[가-힣A-Z\[]"
 INLINE_CALLOUT = r"\[(시사점|참고|주의|결론|요약|핵심|NOTE|WARNING)\]"
 LIGHT_CALLOUT = r"\[(시사점|참고|주의|결론|요약|핵심)\]"
 BULLET_SIGNS = r"(?U)([ㆍ•※])\s*"
