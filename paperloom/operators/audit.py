@@ -8,10 +8,12 @@ difference is computed from the joined row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import audit as A
 from ..functions import exprs as E
@@ -20,7 +22,12 @@ from ..options import RenderOptions
 from .render import roundtrip_corpus
 from .structure import explode_rows
 
-OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
+OPCODES = T.ArrayType(
+    T.StructType(
+        [T.StructField("tag", T.StringType())]
+        + [T.StructField(n, T.IntegerType()) for n in ("i1", "i2", "j1", "j2")]
+    )
+)
 
 
 def normalize_compare_text(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -226,12 +233,16 @@ def block_diff(pairs: DataFrame) -> DataFrame:
 
 @E.per_application
 def is_changed() -> Column:
-    return (
-        (F.size(metadata_changes("field")) > 0)
-        | (F.size(metadata_changes("extra")) > 0)
-        | (F.size(count_changes()) > 0)
-        | ~F.col("a.blocks").eqNullSafe(F.col("b.blocks"))
+    """Does anything differ?  Equal blocks have equal counts, so counts need no test."""
+
+    def differs(field: str) -> Column:
+        return ~F.col(f"a.{field}").eqNullSafe(F.col(f"b.{field}"))
+
+    plain = reduce(
+        lambda x, y: x | y, [differs(f) for f in ("title", "subtitle", "company", "footnote_count", "blocks")]
     )
+    # entries are compared key by key only where their lists are not the same
+    return plain | (differs("extra") & (F.size(metadata_changes("extra")) > 0))
 
 
 def audit_status(pairs: DataFrame) -> DataFrame:
