@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .text import group, let, strip, strip_anchors
 
+WRAPPED_IMAGE = f"J[bE]{{0,{K.DATA_IMAGE_WRAP - 2}}}c"
 BLOCKS = (
     r"[RSUV][^1-4W=]*"      # reference region, up to the next heading
     r"|F[^FV]*[FV]?"        # fenced code, up to the next fence or the end
     r"|M[^M]*M?"            # display math
-    r"|J[bE]{0,48}c"        # embedded image wrapped over lines
+    rf"|{WRAPPED_IMAGE}"    # embedded image wrapped over lines
     r"|T[TS]*"
     r"|Q[QU]*"
     r"|[PpbcJ][PFbcxy]*"    # paragraph; a fence line does not end it
@@ -236,7 +237,7 @@ def _cut(cls: Column, body: Column, offset: Column) -> Column:
     def build(z: Column) -> Column:
         start, token = z["start"], z["token"]
         first = F.left(token, F.lit(1))
-        wrapped = (first == "J") & F.endswith(token, F.lit("c"))
+        wrapped = (first == "J") & token.rlike(f"^{WRAPPED_IMAGE}$")
         code = (
             F.when(F.contains(F.lit(PARAGRAPH_CODES), first) & ~wrapped, F.lit("P"))
             .when(wrapped, F.lit("I"))
