@@ -46,6 +46,16 @@ def read_corpus_table(table: DataFrame, doc_id: str, text: str, order: str | Non
     return parts.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy steps enough tasks when a scan has fewer splits than there are cores.
+
+    A large input has more splits than cores and passes unchanged, so nothing
+    big is ever shuffled here.  Meant for plain scans: it asks for their splits.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 # --- decoding -----------------------------------------------------------------
 
 def _korean(spark: SparkSession, data: Column) -> Column:
