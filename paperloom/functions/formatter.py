@@ -27,7 +27,7 @@ def has_structure(text: Column) -> Column:
 
 # --- protected spans ----------------------------------------------------------
 
-def _hide(text: Column, pattern: str, mark: str) -> Column:
+def hide_spans(text: Column, pattern: str, mark: str) -> Column:
     """``struct<text, store>``: matches moved to ``store``, numbered marks left behind."""
     return let(
         cut(text, pattern),
@@ -46,7 +46,7 @@ def _hide(text: Column, pattern: str, mark: str) -> Column:
     )
 
 
-def _show(text: Column, store: Column, mark: str, around: str = "") -> Column:
+def show_spans(text: Column, store: Column, mark: str, around: str = "") -> Column:
     return F.array_join(
         F.transform(
             F.split(text, mark, -1),
@@ -64,15 +64,15 @@ def shielded(text: Column, body) -> Column:
     ``body`` gets the text and a ``restore`` function.
     """
     return let(
-        _hide(text, K.MATH_SPAN, K.PART),
+        hide_spans(text, K.MATH_SPAN, K.PART),
         lambda m: let(
-            _hide(m["text"], K.INLINE_MATH, K.HARD),
+            hide_spans(m["text"], K.INLINE_MATH, K.HARD),
             lambda i: let(
-                _hide(i["text"], K.BOLD_SPAN, K.SOFT),
+                hide_spans(i["text"], K.BOLD_SPAN, K.SOFT),
                 lambda b: body(
                     b["text"],
-                    lambda t: _show(
-                        _show(_show(t, b["store"], K.SOFT), m["store"], K.PART, "\n\n"), i["store"], K.HARD
+                    lambda t: show_spans(
+                        show_spans(show_spans(t, b["store"], K.SOFT), m["store"], K.PART, "\n\n"), i["store"], K.HARD
                     ),
                 ),
             ),
@@ -81,7 +81,7 @@ def shielded(text: Column, body) -> Column:
 
 
 def outside_bold(text: Column, body) -> Column:
-    return let(_hide(text, K.BOLD_SPAN, K.SOFT), lambda b: _show(body(b["text"]), b["store"], K.SOFT))
+    return let(hide_spans(text, K.BOLD_SPAN, K.SOFT), lambda b: show_spans(body(b["text"]), b["store"], K.SOFT))
 
 
 # --- single steps -------------------------------------------------------------

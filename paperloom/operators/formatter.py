@@ -36,9 +36,9 @@ def protected_spans(corpus: DataFrame) -> DataFrame:
             return F.transform(items, lambda x, i: F.struct(F.lit(name).alias("kind"), i.alias("pos"), x.alias("span")))
 
         return let(
-            G._hide(t, G.K.MATH_SPAN, G.K.PART),
+            G.hide_spans(t, G.K.MATH_SPAN, G.K.PART),
             lambda m: let(
-                G._hide(m["text"], G.K.INLINE_MATH, G.K.HARD),
+                G.hide_spans(m["text"], G.K.INLINE_MATH, G.K.HARD),
                 lambda i: F.concat(
                     kind("math_block", m["store"]),
                     kind("math_inline", i["store"]),

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import metadata as M
-from ..functions.text import let
 from ..operators import audit as AU
 from ..operators import footnotes as N
 from ..operators import inline as I

@@ -1,16 +1,20 @@
-"""Streaming runs of batch operators; results must equal the batch results."""
+"""Queries that write: streaming runs of batch operators, and sinks read back."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit as AU
 from ..operators import structure as S
+from ..sources import writers as WR
 from ..streaming import ingest as ST
+from . import corpora as C
+from . import oracles as O
 from .registry import query
 
 
@@ -42,3 +46,24 @@ def audit_stream(spark, sf_dir):
         _stream(spark, sf_dir), lambda b: AU.block_counts(S.body_blocks(b)), target, checkpoint
     ).awaitTermination()
     return spark.read.parquet(target).select("doc_id", "type", "n")
+
+
+@query("write_markdown_corpus", "SELECT doc_id, text AS markdown FROM documents")
+def write_markdown_corpus(spark, sf_dir):
+    rendered = C.documents(spark, sf_dir).withColumnRenamed("text", "markdown")
+    return spark.read.parquet(WR.write_markdown_corpus(rendered, scratch(spark, "markdown"), "one"))
+
+
+@query(
+    "write_document_tables",
+    O.with_(O.DOC, O.BLK, O.NOTES) + "SELECT 'blocks' AS relation, count(*) AS n FROM blk UNION ALL SELECT 'documents', count(*) FROM doc "
+    "UNION ALL SELECT 'footnotes', count(*) FROM notes UNION ALL SELECT 'tables', count(*) FROM blk WHERE type = 'TABLE'",
+)
+def write_document_tables(spark, sf_dir):
+    base = scratch(spark, "tables")
+    WR.write_document_tables(C.reports(spark, sf_dir), base, "reports")
+    parts = [
+        spark.read.parquet(f"{base}/{name}").groupBy(F.lit(name).alias("relation")).agg(F.count("*").alias("n"))
+        for name in ("blocks", "documents", "footnotes", "tables")
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
