@@ -44,3 +44,11 @@ def held_out(id_col: str | Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls into the fold kept from training; a null id counts as empty text."""
     ids = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(F.coalesce(ids.cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended until no column of ``df`` has it (whatever the case of its letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -62,3 +62,26 @@ OP4 = """SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS ke
   count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents"""
+
+_CONTROLS = r"[<\[]\\*(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|ROLE\]|TEXT\]|/TEXT\])"
+
+
+def _escaped_length(c: str) -> str:
+    """Length of ``c`` with one more character per control string or escape, and a name of seven per space mark."""
+    return (
+        f"length({c}) + len(regexp_extract_all({c}, '{_CONTROLS}')) + len(regexp_extract_all({c}, '\\{{\\\\*u2581\\}}'))"
+        f" + 6 * (length({c}) - length(replace({c}, chr(9601), '')))"
+    )
+
+
+OP9 = f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, {_escaped_length("text")} + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+    ELSE 19 + {_escaped_length("role")} END AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from . import chat as CH
 from . import decontaminate as DC
 from . import exact_dedup as ED
 from . import mixing as MX
 from . import oracles as O
+from . import pii as PI
+from . import token_counts as TC
 from .common import table
 
 QUERIES: dict = {}
@@ -45,3 +49,35 @@ def op4_exact_dedup(spark, sf_dir):
     return decisions.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
+
+
+PIECES = "piece_bpe_32k.model"
+#: The key of the registered query; a deployment passes its own secret.
+PII_KEY = "example key of the registered query"
+
+
+@query("op1_pseudonymise")
+def op1_pseudonymise(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return PI.pseudonymise(docs, PII_KEY).select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), "pii")
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counted = TC.count_tokens(docs, public_tokenizers.path(PIECES))
+    return counted.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TC.TOKEN_LIMIT).alias("over_limit")
+    )
+
+
+@query("op9_chat_format", O.OP9)
+def op9_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    path = public_tokenizers.path(PIECES)
+    read = CH.read_back(CH.chat_segments(turns.unionByName(added), path), path)
+    return read.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
