@@ -97,7 +97,7 @@ class SentenceScorer:
         return float(-np.expm1(clean)), offending
 
 
-def fit_toxicity(sample: list[tuple[str, int]], steps: int = 100, rate: float = 0.1, l1: float = 0.5) -> ToxicityModel:
+def fit_toxicity(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.1, l1: float = 0.15) -> ToxicityModel:
     """Fit bias and weights to ``(text, 0 or 1)`` by the noisy-or likelihood; ``l1`` is in documents."""
     labels = np.array([y for _, y in sample], dtype=float)
     if not len(labels) or labels.min() == labels.max():
