@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from . import chat as CH
 from . import decontaminate as DC
 from . import exact_dedup as ED
+from . import language as LG
 from . import mixing as MX
 from . import oracles as O
 from . import pii as PI
+from . import quality as QU
 from . import token_counts as TC
-from .common import table
+from . import toxicity as TX
+from .common import held_out, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +84,33 @@ def op9_chat_format(spark, sf_dir):
     path = public_tokenizers.path(PIECES)
     read = CH.read_back(CH.chat_segments(turns.unionByName(added), path), path)
     return read.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = TX.score_toxicity(docs, TX.train_toxicity(docs, labels))
+    return scored.select(
+        "doc_id", held_out("doc_id", TX.FOLDS, TX.HELD_OUT).alias("held_out"), "toxicity.score",
+        (F.col("toxicity.score") >= TX.TOXIC_FROM).cast("int").alias("predicted"), F.col("toxicity.sentences").alias("sentences"),
+    )
+
+
+@query("op8_language")
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = LG.identify_languages(docs.select("doc_id", "text"), LG.train_languages(docs))
+    return found.select(
+        "doc_id", held_out("doc_id", LG.FOLDS, LG.HELD_OUT).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        "language.score", F.col("language.shares").alias("shares"),
+    )
+
+
+@query("op10_quality")
+def op10_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = QU.score_quality(docs, QU.train_quality(docs, labels))
+    return scored.select(
+        "doc_id", held_out("doc_id", QU.FOLDS, QU.HELD_OUT).alias("held_out"), "quality.score",
+        (F.col("quality.score") >= QU.GOOD_FROM).cast("int").alias("predicted"), F.col("quality.passages").alias("passages"),
+    )
