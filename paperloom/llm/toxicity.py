@@ -35,8 +35,9 @@ SENTENCE_FROM = 0.5
 STEMS = range(3, 8)
 SENTENCES = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)")
 WORDS = re.compile(r"[^\W\d_]+").findall
-#: A feature must occur in so many training documents, and the model keeps the heaviest features only.
+#: A feature must occur in so many training documents and be so far above the average; the model keeps the likeliest.
 LEAST_DOCUMENTS = 4
+LEAST_DEVIATION = 2.5
 MOST_FEATURES = 20_000
 REMEMBERED = 300_000
 
@@ -97,7 +98,7 @@ class SentenceScorer:
         return float(-np.expm1(clean)), offending
 
 
-def fit_toxicity(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.1, l1: float = 0.15) -> ToxicityModel:
+def fit_toxicity(sample: list[tuple[str, int]], steps: int = 300, rate: float = 0.1, l1: float = 0.1) -> ToxicityModel:
     """Fit bias and weights to ``(text, 0 or 1)`` by the noisy-or likelihood; ``l1`` is in documents."""
     labels = np.array([y for _, y in sample], dtype=float)
     if not len(labels) or labels.min() == labels.max():
@@ -111,12 +112,13 @@ def fit_toxicity(sample: list[tuple[str, int]], steps: int = 150, rate: float =
         seen.update(own)
         if y:
             toxic.update(own)
-    # a weight can only come out positive where the share of toxic documents is above the average
+    # standard deviations by which the share of toxic documents lies above the average
     share = labels.mean()
-    useful = [f for f, n in seen.items() if n >= LEAST_DOCUMENTS and toxic[f] > share * n]
-    useful.sort(key=lambda f: -(toxic[f] - share * seen[f]) / np.sqrt(seen[f]))
+    above = {f: (toxic[f] - share * n) / np.sqrt(n * share * (1 - share)) for f, n in seen.items() if n >= LEAST_DOCUMENTS}
+    useful = sorted((f for f, z in above.items() if z >= LEAST_DEVIATION), key=lambda f: (-above[f], f))
     names = {f: k for k, f in enumerate(useful[:MOST_FEATURES])}
     cells, columns, owner = array("l"), array("l"), array("l")
+    plain = np.zeros(len(labels))  # sentences without a feature
     for d, bag in enumerate(bags):
         for sentence in bag:
             mine: set[int] = set()
@@ -124,6 +126,9 @@ def fit_toxicity(sample: list[tuple[str, int]], steps: int = 150, rate: float =
                 if w not in ids:
                     ids[w] = [names[f] for f in word_features(w) if f in names]
                 mine.update(ids[w])
+            if not mine:
+                plain[d] += 1
+                continue
             cells.extend([len(owner)] * len(mine))
             columns.extend(mine)
             owner.append(d)
@@ -133,13 +138,15 @@ def fit_toxicity(sample: list[tuple[str, int]], steps: int = 150, rate: float =
     adam = Adam(values, rate)
     for _ in range(steps):
         p = sigmoid(values["b"][0] + np.bincount(cells, values["w"][columns], minlength=len(owner)))
-        clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_docs)
+        none = sigmoid(values["b"])[0]
+        clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_docs) + plain * np.log1p(-none)
         score = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
         # d likelihood / d logit of a sentence: p for toxic documents times the odds of being clean, -p for clean ones
-        pull = np.where(labels == 1, (1 - score) / score, -1.0)[owner] * p
+        odds = np.where(labels == 1, (1 - score) / score, -1.0)
+        pull = odds[owner] * p
         adam.step({
             "w": -np.bincount(columns, pull[cells], minlength=len(names)) / n_docs + l1 * np.sign(values["w"]),
-            "b": np.array([-pull.sum() / n_docs]),
+            "b": np.array([-(pull.sum() + none * (odds * plain).sum()) / n_docs]),
         })
         values["w"][:] = np.sign(values["w"]) * np.maximum(np.abs(values["w"]) - rate * l1, 0)
     kept = {f: float(values["w"][k]) for f, k in names.items() if abs(values["w"][k]) > 0.05}
