@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat as CH
 from . import decontaminate as DC
 from . import exact_dedup as ED
+from . import jaccard as JC
 from . import language as LG
 from . import mixing as MX
 from . import oracles as O
@@ -114,3 +115,9 @@ def op10_quality(spark, sf_dir):
         "doc_id", held_out("doc_id", QU.FOLDS, QU.HELD_OUT).alias("held_out"), "quality.score",
         (F.col("quality.score") >= QU.GOOD_FROM).cast("int").alias("predicted"), F.col("quality.passages").alias("passages"),
     )
+
+
+@query("op5_ngram_jaccard", O.OP5)
+def op5_ngram_jaccard(spark, sf_dir):
+    membership, _ = JC.jaccard_components(table(spark, sf_dir, "documents"))
+    return JC.component_ids(membership).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
