@@ -1,9 +1,9 @@
 """Report corpora derived from the base tables.
 
 Text is assembled from table rows, so its relations are known from the tables
-themselves and every operator can be checked against plain SQL.  A key is
-paged by a range of its row ids, so one document stays bounded however many
-rows its key has: at most ``PAGE`` table rows per document.
+themselves and every operator can be checked against plain SQL.  What belongs
+to a document follows from its own rows, never from the size of the tables:
+one report per customer, one marked text per user and month.
 """
 
 from __future__ import annotations
@@ -12,9 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..sources.readers import spread
 
-PAGE = 8192
 KEY_STEP = 100_000_000
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 STRAY = "\ue20a"  # a private-use leftover outside any marker
@@ -27,16 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per (customer, page): counts, latest date, ordered table rows."""
+    """Per customer: counts, latest date, ordered table rows."""
     orders = table(spark, sf_dir, "orders").selectExpr(
-        "o_custkey AS k", f"o_orderkey DIV {PAGE} AS page", "o_orderkey", "o_orderstatus AS status",
+        "o_custkey AS k", "o_orderkey", "o_orderstatus AS status",
         "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS price",
         "date_format(o_orderdate, 'yyyy-MM-dd') AS day", "o_orderpriority AS priority",
     )
     counts = [
         F.count_if(F.col("priority") == p).alias(f"p{i}") for i, p in enumerate(PRIORITIES)
     ]
-    facts = orders.groupBy("k", "page").agg(
+    facts = orders.groupBy("k").agg(
         F.count("*").alias("n"),
         F.max("day").alias("last_day"),
         F.array_sort(F.collect_list(F.struct("o_orderkey", "status", "price", "day"))).alias("rows"),
@@ -46,7 +44,7 @@ def _report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey AS k", "c_name", "c_mktsegment AS seg",
         "CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING) AS acct",
     )
-    return facts.join(customer, "k").withColumn("doc_id", F.col("k") * KEY_STEP + F.col("page"))
+    return facts.join(customer, "k").withColumn("doc_id", F.col("k"))
 
 
 # (condition, line); a None line stands for the ordered order rows
@@ -164,7 +162,7 @@ def _report_text(edited: bool):
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown report per customer and page of orders: ``(doc_id, text)``."""
+    """One Markdown report per customer: ``(doc_id, text)``."""
     return _report_facts(spark, sf_dir).select("doc_id", _report_text(False).alias("text"))
 
 
@@ -178,7 +176,7 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event texts with research markers, one per user and page of events."""
+    """Event texts with research markers, one per user and month."""
     mark = (
         "CASE WHEN user_id % 10 = 0 THEN '' ELSE CASE event_id % 5 "
         "WHEN 0 THEN o || 'cite' || s || 'e' || (event_id % 9) || c "
@@ -190,10 +188,10 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, char in (("o", K.MARK_OPEN), ("s", K.MARK_SEP), ("c", K.MARK_CLOSE)):
         mark = mark.replace(f" {name} ", f" '{char}' ")
     events = table(spark, sf_dir, "events").select(
-        "user_id", F.expr(f"event_id DIV {PAGE}").alias("page"), "event_id",
+        "user_id", (F.year("ts") * 12 + F.month("ts")).alias("month"), "event_id",
         F.expr(f"event_type || {mark}").alias("piece"),
     )
-    pieces = events.groupBy("user_id", "page").agg(
+    pieces = events.groupBy("user_id", "month").agg(
         F.array_sort(F.collect_list(F.struct("event_id", "piece"))).alias("p")
     )
     text = F.concat(
@@ -201,7 +199,7 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 6 == 0, F.lit(STRAY)).otherwise(F.lit("")),
     )
     return pieces.select(
-        (F.col("user_id") * KEY_STEP + F.col("page")).alias("doc_id"), text.alias("text")
+        (F.col("user_id") * KEY_STEP + F.col("month")).alias("doc_id"), text.alias("text")
     )
 
 
@@ -233,4 +231,4 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -6,16 +6,16 @@ tables the reports were assembled from.
 
 from __future__ import annotations
 
-from .corpora import BOX_LINE, BOX_SHORT, KEY_STEP, PAGE, PRIORITIES
+from .corpora import BOX_LINE, BOX_SHORT, PRIORITIES
 
 _PRIO = ", ".join(f"count(*) FILTER (WHERE o_orderpriority = '{p}') AS p{i}" for i, p in enumerate(PRIORITIES))
 
 DOC = f"""doc AS (
-  SELECT r.k * {KEY_STEP} + r.page AS doc_id, r.*, c_name, c_mktsegment AS seg,
+  SELECT r.k AS doc_id, r.*, c_name, c_mktsegment AS seg,
          CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS acct
-  FROM (SELECT o_custkey AS k, o_orderkey // {PAGE} AS page, count(*) AS n,
+  FROM (SELECT o_custkey AS k, count(*) AS n,
                strftime(max(o_orderdate), '%Y-%m-%d') AS last_day, {_PRIO}
-        FROM orders GROUP BY 1, 2) r
+        FROM orders GROUP BY 1) r
   JOIN customer ON c_custkey = r.k)"""
 
 _NL = "chr(10)"
@@ -89,8 +89,8 @@ TROW = f"""trow AS (
   SELECT doc_id, k, 0 AS row_idx, ['Order', 'Status',
          ['Revenue 2025', 'Impact', 'CMR', 'Amount', 'Upside'][k % 5 + 1], 'Date'] AS cells FROM doc
   UNION ALL
-  SELECT o_custkey * {KEY_STEP} + o_orderkey // {PAGE}, o_custkey,
-         row_number() OVER (PARTITION BY o_custkey, o_orderkey // {PAGE} ORDER BY o_orderkey),
+  SELECT o_custkey, o_custkey,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey),
          [CAST(o_orderkey AS VARCHAR), o_orderstatus,
           CASE o_custkey % 5 WHEN 1 THEN ['High', 'Medium', 'Low'][o_orderkey % 3 + 1]
             WHEN 3 THEN '(' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || ')'

@@ -262,12 +262,11 @@ def inline_runs(spark, sf_dir):
 @query(
     "plain_runs",
     O.with_(O.DOC, O.BLK, O.RUNS)
-    + "SELECT doc_id, block_idx, run_idx, CASE WHEN run_idx = 6 THEN ' and $x_' || k || '$.' ELSE text END AS text, bold, italic, superscript "
-    "FROM runs JOIN (SELECT doc_id, block_idx, k FROM blk WHERE ord = 40) USING (doc_id, block_idx) WHERE run_idx < 7",
+    + "SELECT doc_id, block_idx, run_idx, CASE WHEN ord = 40 AND run_idx = 6 THEN ' and $x_' || k || '$.' ELSE r.text END AS text, bold, italic, superscript "
+    "FROM runs r JOIN (SELECT doc_id, block_idx, k, ord FROM blk WHERE type = 'PARAGRAPH') USING (doc_id, block_idx) WHERE NOT (ord = 40 AND run_idx > 6)",
 )
 def plain_runs(spark, sf_dir):
-    rows = _paragraphs(spark, sf_dir).filter(F.col("text").startswith("Customer"))
-    return I.plain_runs(rows, KEY).select(*KEY, "run_idx", "text", "bold", "italic", "superscript")
+    return I.plain_runs(_paragraphs(spark, sf_dir), KEY).select(*KEY, "run_idx", "text", "bold", "italic", "superscript")
 
 
 @query(
@@ -550,15 +549,15 @@ def kept_notes(spark, sf_dir):
     return N.kept_notes(*_notes_and_refs(spark, sf_dir))
 
 
-@query("dangling_refs", O.typed("ord = 150", "doc_id, block_idx, 0 AS pos, 2 AS num") + " AND k % 7 = 3")
+@query(
+    "dangling_refs",
+    # the cents of a balance read as a mark; they dangle unless a note has that number
+    O.with_(O.DOC, O.BLK) + "SELECT doc_id, block_idx, 0 AS pos, CAST(split_part(acct, '.', 2) AS INT) AS num "
+    "FROM blk JOIN doc USING (doc_id) WHERE ord = 41 AND CAST(split_part(acct, '.', 2) AS INT) NOT IN (1, 2)",
+)
 def dangling_refs(spark, sf_dir):
-    # notes of some documents lose number 2 first, so their `.2` marks dangle
-    refs, notes = N.footnote_marks(_paragraphs(spark, sf_dir), KEY), _notes_and_refs(spark, sf_dir)[1]
-    kept = notes.filter(~((F.expr(f"doc_id DIV {C.KEY_STEP}") % 7 == 3) & (F.col("num") == 2)))
-    tail = refs.join(
-        S.segment_blocks(C.reports(spark, sf_dir)).filter(F.col("lines")[0].startswith("tail note")).select(*KEY), KEY, "left_semi"
-    )
-    return N.dangling_refs(tail, kept).select(*KEY, "pos", "num")
+    refs = N.footnote_marks(_paragraphs(spark, sf_dir), KEY)
+    return N.dangling_refs(refs, N.footnote_defs(C.reports(spark, sf_dir))).select(*KEY, "pos", "num")
 
 
 @query("unused_notes", O.with_(O.DOC, O.NOTES) + "SELECT doc_id, num, text FROM notes WHERE num = 2")

@@ -19,10 +19,14 @@ from .registry import query
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder (a local one only if none is set)."""
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share; a local session may do without."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf_dir):

@@ -17,9 +17,9 @@ from .registry import query
 # --- research markers -----------------------------------------------------------
 
 _EV = f"""WITH ev AS (
-  SELECT user_id * {C.KEY_STEP} + event_id // {C.PAGE} AS doc_id, user_id, event_id, event_type, props,
+  SELECT user_id * {C.KEY_STEP} + year(ts) * 12 + month(ts) AS doc_id, user_id, event_id, event_type, props,
     event_id % 5 AS m, 'e' || (event_id % 9) AS id1, 'e' || (event_id % 7) AS id2,
-    row_number() OVER (PARTITION BY user_id, event_id // {C.PAGE} ORDER BY event_id) - 1 AS pos,
+    row_number() OVER (PARTITION BY user_id, year(ts), month(ts) ORDER BY event_id) - 1 AS pos,
     user_id % 10 <> 0 AS has FROM events),
 src AS (
   SELECT doc_id, source_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_seen) AS num FROM (
@@ -359,12 +359,19 @@ _FORMAT = (
 
 @query("detect_format", f"SELECT p_partkey AS doc_id, {_FORMAT} AS format FROM part")
 def detect_format(spark, sf_dir):
+    spark = RD.korean_session(spark)
     return RD.detect_format(_files(spark, sf_dir))
 
 
-@query("detect_format_documents", "SELECT doc_id, 'md' AS format FROM documents")
+@query("detect_format_documents", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'unknown' WHEN 2 THEN 'docx' ELSE 'md' END AS format FROM documents")
 def detect_format_documents(spark, sf_dir):
-    rows = C.documents(spark, sf_dir).selectExpr("doc_id", "encode(text, 'UTF-8') AS bytes", "'txt' AS hint")
+    # no hint: plain text, text with control characters, a signature in front, and text again
+    spark = RD.korean_session(spark)
+    text = "encode(text, 'UTF-8')"
+    rows = C.documents(spark, sf_dir).selectExpr(
+        "doc_id", f"CASE doc_id % 4 WHEN 1 THEN concat({text}, encode(repeat(chr(1), length(text)), 'UTF-8')) WHEN 2 THEN concat(X'504B0304', {text}) ELSE {text} END AS bytes",
+        "CAST(NULL AS STRING) AS hint",
+    )
     return RD.detect_format(rows)
 
 
@@ -374,7 +381,7 @@ def detect_format_documents(spark, sf_dir):
     f"FROM ({_flat_sql({'item': _PIECES['item'].replace('•', '·')})})",
 )
 def decode_text(spark, sf_dir):
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark = RD.korean_session(spark)
     # the Korean code page has no bullet sign, a middle dot it has
     flat = C.flat(spark, sf_dir).withColumn("text", F.translate("text", "•", "·"))
     raw = (
@@ -395,11 +402,11 @@ def validate_corpus(spark, sf_dir):
     return RD.validate_corpus(_files(spark, sf_dir)).drop("path")
 
 
-def registry() -> RT.TransformRegistry:
+def registry(spark) -> RT.TransformRegistry:
     """Branches for a mixed corpus, registered out of order."""
     reg = RT.TransformRegistry()
     reg.register("rest", F.col("format") != "unknown", lambda d: d.withColumn("text", F.lit("other")))
-    reg.register("markdown", F.col("format") == "md", lambda d: d.withColumn("text", F.decode("bytes", "UTF-8")), priority=10)
+    reg.register("markdown", F.col("format") == "md", lambda d: d.withColumn("text", RD.decode_bytes(spark, F.col("bytes"))), priority=10)
     reg.register("markdown2", F.col("format") == "md", lambda d: d, priority=10)
     return reg
 
@@ -409,20 +416,22 @@ def registry() -> RT.TransformRegistry:
     f"SELECT doc_id, CASE format WHEN 'md' THEN 'markdown' WHEN 'docx' THEN 'rest' END AS branch FROM (SELECT p_partkey AS doc_id, {_FORMAT} AS format FROM part)",
 )
 def route_by_format(spark, sf_dir):
-    return registry().route(RD.detect_format(_files(spark, sf_dir))).select("doc_id", "branch")
+    spark = RD.korean_session(spark)
+    return registry(spark).route(RD.detect_format(_files(spark, sf_dir))).select("doc_id", "branch")
 
 
 @query(
     "convert_by_format",
-    f"SELECT doc_id, branch, CASE branch WHEN 'rest' THEN 'other' ELSE txt END AS text FROM ("
-    f"SELECT p_partkey AS doc_id, CASE {_FORMAT} WHEN 'md' THEN 'markdown' ELSE 'rest' END AS branch, "
-    "CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE p_name END AS txt "
-    f"FROM part WHERE {_FORMAT} <> 'unknown' AND p_partkey % 7 NOT IN (2, 3, 4))",
+    "SELECT doc_id, branch, CASE branch WHEN 'rest' THEN 'other' WHEN 'markdown' THEN txt END AS text, "
+    "CASE WHEN branch IS NULL THEN 'no branch accepts the document' END AS error FROM ("
+    f"SELECT p_partkey AS doc_id, CASE {_FORMAT} WHEN 'md' THEN 'markdown' WHEN 'docx' THEN 'rest' END AS branch, "
+    "CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'PK' || chr(3) || chr(4) || p_name "
+    "WHEN 3 THEN p_name || chr(1) || chr(1) WHEN 4 THEN NULL ELSE p_name END AS txt FROM part)",
 )
 def convert_by_format(spark, sf_dir):
-    files = _files(spark, sf_dir).filter("doc_id % 7 NOT IN (2, 3, 4)")
-    typed = files.withColumn("format", RD.format_of_bytes(spark, F.col("bytes"), F.col("hint")))
-    return registry().convert(typed).select("doc_id", "branch", "text")
+    spark = RD.korean_session(spark)
+    typed = _files(spark, sf_dir).withColumn("format", RD.format_of_bytes(spark, F.col("bytes"), F.col("hint")))
+    return registry(spark).convert(typed, "quarantine").select("doc_id", "branch", "text", "error")
 
 
 @query(

@@ -11,14 +11,31 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import let, lookup
 
-SAMPLE_BYTES = 8192
 CONTROL_SHARE = 0.05
+KOREAN_SETTINGS = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+
+
+def korean_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application that can decode the Korean code page.
+
+    The code page needs the JVM's own charsets, and bad bytes must become U+FFFD instead of an error. Both are settings
+    of a session, and every ``decode`` in it obeys them, so they are made in a session of their own: read the corpus in
+    it, and leave the one that it came from as it is. Other settings made at run time are taken along.
+    """
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        value = spark.conf.get(key, None)
+        if value is not None:
+            own.conf.set(key, value)
+    for key in KOREAN_SETTINGS:
+        own.conf.set(key, "true")
+    return own
 
 
 def read_corpus_files(spark: SparkSession, directory: str, pattern: str = "*.md") -> DataFrame:
     """All matching files of one directory: ``(doc_id, path, bytes)``.
 
-    An empty directory is an error; only its listing is looked at for that.
+    An empty directory is an error; one file name is looked at for that.
     """
     files = (
         spark.read.format("binaryFile")
@@ -26,7 +43,7 @@ def read_corpus_files(spark: SparkSession, directory: str, pattern: str = "*.md"
         .option("recursiveFileLookup", "false")
         .load(directory)
     )
-    if not files.inputFiles():
+    if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {pattern} files in {directory}")
     return files.select(F.xxhash64("path").alias("doc_id"), "path", F.col("content").alias("bytes"))
 
@@ -46,34 +63,19 @@ def read_corpus_table(table: DataFrame, doc_id: str, text: str, order: str | Non
     return parts.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give CPU-heavy steps enough tasks when a scan has fewer splits than there are cores.
-
-    A large input has more splits than cores and passes unchanged, so nothing
-    big is ever shuffled here.  Meant for plain scans: it asks for their splits.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 # --- decoding -----------------------------------------------------------------
 
 def _korean(spark: SparkSession, data: Column) -> Column:
-    """Text in the Korean code page, null where a byte does not fit.
-
-    The code page needs the JVM's own charsets, and bad bytes must become
-    U+FFFD instead of an error, so both switches are set before the expression
-    is bound.
-    """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+    """Text in the Korean code page, null where a byte does not fit."""
+    if any(str(spark.conf.get(key, "false")).lower() != "true" for key in KOREAN_SETTINGS):
+        raise ValueError("decoding needs the settings of korean_session(); read the corpus in such a session")
     return let(
-        F.decode(data, "MS949"), lambda t: F.when(~F.contains(t, F.lit("�")), t)
+        F.decode(data, "MS949"), lambda t: F.when(~F.contains(t, F.lit("\ufffd")), t)
     )
 
 
 def decode_bytes(spark: SparkSession, data: Column) -> Column:
-    """UTF-8 (with or without mark), else Korean; null when neither fits."""
+    """UTF-8 (with or without mark), else Korean; null when neither fits. Needs a ``korean_session``."""
     bom = F.substring(data, 1, 3) == F.lit(b"\xef\xbb\xbf")
     body = F.when(bom, F.substring(data, F.lit(4), F.length(data))).otherwise(data)
     return F.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).when(
@@ -95,9 +97,9 @@ def format_of_extension(ext: Column) -> Column:
     return lookup(F.when(low.startswith("."), low).otherwise(F.concat(F.lit("."), low)), K.EXTENSION_FORMATS)
 
 
-def _is_text(spark: SparkSession, sample: Column) -> Column:
-    text = F.when(F.is_valid_utf8(sample.cast("string")), F.decode(sample, "UTF-8")).otherwise(
-        _korean(spark, sample)
+def _is_text(spark: SparkSession, data: Column) -> Column:
+    text = F.when(F.is_valid_utf8(data.cast("string")), F.decode(data, "UTF-8")).otherwise(
+        _korean(spark, data)
     )
     control = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
     return let(
@@ -112,12 +114,12 @@ def _is_text(spark: SparkSession, sample: Column) -> Column:
 
 
 def format_of_bytes(spark: SparkSession, data: Column, hint: Column) -> Column:
-    """``docx``, ``md`` or ``unknown``: hint, then signature, then a look at the first bytes."""
+    """``docx``, ``md`` or ``unknown``: hint, then signature, then whether all of it is text."""
     return (
         F.when(format_of_extension(hint).isNotNull(), format_of_extension(hint))
         .when(data.isNull() | (F.length(data) == 0), F.lit("unknown"))
         .when(F.substring(data, 1, 4) == F.lit(b"PK\x03\x04"), F.lit("docx"))
-        .when(_is_text(spark, F.substring(data, 1, SAMPLE_BYTES)), F.lit("md"))
+        .when(_is_text(spark, data), F.lit("md"))
         .otherwise(F.lit("unknown"))
     )
 

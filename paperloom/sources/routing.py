@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_PRIORITY = 100
+UNROUTED = "no branch accepts the document"
 
 
 @dataclass(frozen=True)
@@ -50,18 +51,22 @@ class TransformRegistry:
         """Rows with the branch they go to; a null branch is a row nobody takes."""
         return corpus.withColumn("branch", self.branch())
 
-    def convert(self, corpus: DataFrame, strict: bool = False) -> DataFrame:
+    def convert(self, corpus: DataFrame, unrouted: str = "error") -> DataFrame:
         """Send every row through its branch and bring the results together.
 
-        ``strict`` turns rows without a branch into an error at run time.
+        A row that no branch accepts is an error at run time; with ``unrouted="quarantine"`` it comes out as it went
+        in, with a null branch and the reason in ``error``. No row is lost.
         """
+        if unrouted not in ("error", "quarantine"):
+            raise ValueError("unrouted is 'error' or 'quarantine'")
         routed = self.route(corpus)
-        if strict:
-            routed = routed.withColumn(
-                "branch", F.coalesce("branch", F.raise_error(F.lit("no branch accepts a document")).cast("string"))
-            )
-        parts = [
-            b.transform(routed.filter(F.col("branch") == b.name).drop("branch")).withColumn("branch", F.lit(b.name))
-            for b in self._branches
-        ]
+        if unrouted == "error":
+            refused = F.raise_error(F.lit(UNROUTED)).cast("string")
+            routed = routed.withColumn("branch", F.coalesce("branch", refused))
+        parts = []
+        if unrouted == "quarantine":
+            parts = [routed.filter(F.col("branch").isNull()).withColumn("error", F.lit(UNROUTED))]
+        for b in self._branches:
+            taken = b.transform(routed.filter(F.col("branch") == b.name).drop("branch"))
+            parts.append(taken.withColumn("branch", F.lit(b.name)))
         return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)

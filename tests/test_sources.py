@@ -19,13 +19,18 @@ def folder(tmp_path):
 
 
 def test_files_are_decoded(spark, folder):
-    rows = RD.decode_text(RD.read_corpus_files(spark, str(folder)))
+    with pytest.raises(ValueError, match="korean_session"):
+        RD.decode_text(RD.read_corpus_files(spark, str(folder)))
+    own = RD.korean_session(spark)
+    rows = RD.decode_text(RD.read_corpus_files(own, str(folder)))
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
     assert sorted((r.text.split("\n")[0], r.error) for r in rows.collect()) == [("# A", None), ("# 제목", None)]
     with pytest.raises(FileNotFoundError):
         RD.read_corpus_files(spark, str(folder), "*.docx")
 
 
 def test_undecodable_is_kept_with_a_reason(spark):
+    spark = RD.korean_session(spark)
     df = spark.createDataFrame([(1, bytearray(b"\xff\xff")), (2, bytearray(b"ok"))], "doc_id long, bytes binary")
     out = RD.decode_text(df)
     assert {r.doc_id: r.error for r in out.collect()} == {1: "undecodable", 2: None}
@@ -33,11 +38,12 @@ def test_undecodable_is_kept_with_a_reason(spark):
 
 
 def test_detect_format(spark):
+    spark = RD.korean_session(spark)
     rows = [(1, b"x", ".docx"), (2, b"PK\x03\x04zz", None), (3, b"# hi", "bin"), (4, b"", None), (5, b"\x00\x01\x02abc", None),
-            (6, "한글".encode("cp949"), None), (7, b"PK\x03\x04", "MD")]
+            (6, "한글".encode("cp949"), None), (7, b"PK\x03\x04", "MD"), (8, ("a" + "글" * 3000).encode(), None)]
     df = spark.createDataFrame([(i, bytearray(b), h) for i, b, h in rows], "doc_id long, bytes binary, hint string")
     found = {r.doc_id: r.format for r in RD.detect_format(df).collect()}
-    assert found == {1: "docx", 2: "docx", 3: "md", 4: "unknown", 5: "unknown", 6: "md", 7: "md"}
+    assert found == {1: "docx", 2: "docx", 3: "md", 4: "unknown", 5: "unknown", 6: "md", 7: "md", 8: "md"}
 
 
 def test_registry_order_and_strictness(spark):
@@ -48,9 +54,11 @@ def test_registry_order_and_strictness(spark):
     reg.register("second", F.col("kind") == "a", lambda d: d)
     assert reg.names == ["first", "second", "late"]
     assert {r.doc_id: r.branch for r in reg.route(df).collect()} == {1: "first", 2: "late", 3: None}
-    assert {r.doc_id: r.branch for r in reg.convert(df).collect()} == {1: "first", 2: "late"}
+    out = {r.doc_id: (r.branch, r.error) for r in reg.convert(df, "quarantine").collect()}
+    assert out == {1: ("first", None), 2: ("late", None), 3: (None, RT.UNROUTED)}
     with pytest.raises(Exception, match="no branch accepts"):
-        reg.convert(df, strict=True).collect()
+        reg.convert(df).collect()
+    assert reg.convert(df.filter("doc_id < 3")).count() == 2
 
 
 def test_sinks_read_back(spark, corpus, tmp_path):
@@ -66,6 +74,7 @@ def test_sinks_read_back(spark, corpus, tmp_path):
 
 
 def test_stream_equals_batch_and_runs_once(spark, folder, tmp_path):
+    spark = RD.korean_session(spark)
     target, state = str(tmp_path / "out"), str(tmp_path / "state")
 
     def run():
