@@ -24,7 +24,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

@@ -130,7 +130,7 @@ def fit_quality(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> QualityModel:
-    return fit_quality(training_sample(labelled(docs, labels, label, id_col, text_col, FOLDS, HELD_OUT)))
+    return fit_quality(training_sample(docs, labelled(labels, label, id_col, FOLDS, HELD_OUT), id_col, text_col))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "quality") -> DataFrame:

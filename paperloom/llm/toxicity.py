@@ -154,7 +154,7 @@ def fit_toxicity(sample: list[tuple[str, int]], steps: int = 300, rate: float =
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> ToxicityModel:
-    return fit_toxicity(training_sample(labelled(docs, labels, label, id_col, text_col, FOLDS, HELD_OUT)))
+    return fit_toxicity(training_sample(docs, labelled(labels, label, id_col, FOLDS, HELD_OUT), id_col, text_col))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:

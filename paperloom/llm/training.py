@@ -15,32 +15,35 @@ SAMPLE_ROWS = 6_000
 SAMPLE_CHARS = 40_000_000
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 0) -> DataFrame:
-    """``(id, text, y)`` of the documents that have a label and are not held out; one label per id."""
+def labelled(labels: DataFrame, label: str, id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> DataFrame:
+    """``(id, y)`` of the ids that have a label and are not held out; one label per id."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("y"))
-    known = known.filter(~held_out("id", folds, fold))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(known, "id")
+    return known.filter(~held_out("id", folds, fold))
 
 
-def training_sample(rows: DataFrame, limit: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """At most ``limit`` rows of ``(id, text, y)`` with ``chars`` characters, the first in the order of a hash of the id.
+def training_sample(
+    docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS
+) -> list[tuple[str, int]]:
+    """``(text, y)`` of at most ``limit`` documents of ``known`` ``(id, y)`` with ``chars`` characters together.
 
-    Whole texts are taken; the rows, not the texts, are sampled. The ids are chosen first, so only chosen texts travel.
+    They are the first in the order of a hash of the id. Whole texts are taken; the rows, not the texts, are sampled. Only
+    ids and sizes are shuffled to choose them; the chosen ids, ``limit`` at most, are broadcast to fetch the texts.
     """
-    order = rows.select("id", "y", F.char_length("text").alias("n"), F.xxhash64(F.lit("sample"), "id").alias("at"))
-    first = order.orderBy("at", "id").limit(limit)
-    chosen, total = [], 0
-    for r in first.orderBy("at", "id").collect():  # at most `limit` numbers
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    at = F.xxhash64(F.lit("sample"), "id").alias("at")
+    sizes = texts.select("id", F.char_length("text").alias("n")).join(known, "id")
+    chosen, total = {}, 0
+    for r in sizes.select(at, "id", "y", "n").orderBy("at", "id").limit(limit).collect():
         total += r["n"]
         if total > chars and chosen:
             break
-        chosen.append(r["at"])
+        chosen[r["id"]] = int(r["y"])
     if not chosen:
         return []
-    at = F.xxhash64(F.lit("sample"), "id")
-    texts = rows.filter(at <= F.lit(max(chosen))).orderBy(at, "id").limit(len(chosen))
-    return [(r["text"], int(r["y"])) for r in texts.select("text", "y").collect()]
+    kind = texts.schema["id"].dataType.simpleString()
+    side = docs.sparkSession.createDataFrame(list(chosen.items()), f"id {kind}, y int")
+    found = texts.join(F.broadcast(side), "id").orderBy(at, "id").limit(limit)
+    return [(r["text"], r["y"]) for r in found.select("text", "y").collect()]
 
 
 class Adam:
