@@ -11,14 +11,16 @@ unit more than that:
   until it has the units. The number of parts follows the size class of the set (sizes within 4/3), and a set is indexed
   under its own class and the next, so that two sets that can link always share a class.
 
-Frequency levels come from counts of all tokens in ``BUCKETS`` hash buckets. They steer cost only: any order that is the
-same for all sets finds every link.
+Frequency levels come from counts of all tokens in ``BUCKETS`` hash buckets: quantiles for the rare class, doublings for
+the frequent. They steer cost only: any order that is the same for all sets finds every link.
 
-Sets that are equal are one node. Nodes under a common index entry are compared with the entry's first node, the hub,
-so that a group of thousands of near copies costs a comparison or two per member, not one per pair. Links make
-components; entries whose nodes are all in one component are done. What remains is compared with further hubs, and as
-soon as few pairs remain, pair by pair. So every link between nodes of different components is found, and the components
-are exact. All comparisons are exact on the whole sets.
+Sets that are equal are one node. Every node is first compared with one hub, the first node of the index entries that it
+shares with most others, so that a group of thousands of near copies costs a comparison per member, not one per pair.
+Links make components; entries whose nodes are all in one component are done. Of what remains, nodes outside the largest
+component of an entry are paired with the entry's other nodes; the number of entries that two sets share bounds their
+intersection, and pairs that can reach the threshold are compared. (Where even that would be many pairs, further hubs
+come first.) So every link between nodes of different components is found, and the components are exact. All
+comparisons are exact on the whole sets.
 
 Defined cases: a text of fewer than five words is one shingle; null texts and texts without words have no shingle and
 link with nothing; ids may be null (never a component's id) or repeat; equal rows share a component; texts of any length
@@ -46,8 +48,10 @@ SHINGLE = 5
 BUCKETS = 1 << 18
 #: A bucket is frequent beyond twice the mean count and this.
 FREQUENT_FROM = 32
-#: Up to so many pairs per node of the unresolved entries, they are compared pair by pair.
-PAIRS_PER_NODE = 4
+#: Up to so many pairs per node of the unresolved entries, they are paired; beyond, hubs are compared first.
+PAIRS_PER_NODE = 64
+#: Levels below are quantiles of the rare class, levels from here on are the frequent class.
+FREQUENT = 256
 #: Distinct sets that a task remembers, so as to index copies once.
 REMEMBERED = 100_000
 FLUSH_ROWS = 100_000
@@ -91,11 +95,12 @@ def bucket_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def frequency_levels(counts: np.ndarray) -> np.ndarray:
-    """0 for buckets of the rare class, else how many doublings of the mean count a bucket has."""
+    """The level of every bucket: its quantile among the rare ones, or FREQUENT and the doublings of the mean count."""
     mean = counts.sum() / max(np.count_nonzero(counts), 1)
     frequent = counts > 2 * mean + FREQUENT_FROM
+    bounds = np.quantile(counts[counts > 0], np.linspace(0, 1, FREQUENT)[1:-1]) if counts.any() else np.zeros(1)
     doublings = np.log2(np.maximum(counts, 1) / max(mean, 1)).astype(np.int64)
-    return np.where(frequent, np.maximum(doublings, 1), 0).astype(np.uint8)
+    return np.where(frequent, FREQUENT + np.maximum(doublings, 0), np.searchsorted(bounds, counts)).astype(np.uint16)
 
 
 def parts_of(size_class: int) -> int:
@@ -103,19 +108,19 @@ def parts_of(size_class: int) -> int:
     return int(BOUNDS[max(size_class - 1, 0)]) // 6
 
 
-def index_entries(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The index entries (64-bit hashes) of a sorted set of tokens."""
+def index_entries(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The index entries (64-bit hashes) of a sorted set of tokens, and whether they are rare tokens only."""
     n = len(tokens)
     if not n:
-        return tokens
+        return tokens, True
     need = n // 4 + 1
     level = levels[bucket_of(tokens)]
-    rare = tokens[level == 0]
-    if len(rare) >= need:
-        return rare[:need]
-    order = np.lexsort((tokens, level))
-    frequent = tokens[order][len(rare) :]
-    need -= len(rare)
+    order = np.argsort(level, kind="stable")  # within a level by hash, as the set is sorted
+    n_rare = int(np.count_nonzero(level < FREQUENT))
+    if n_rare >= need:
+        return tokens[order[:need]], True
+    rare, frequent = tokens[order[:n_rare]], tokens[order[n_rare:]]
+    need -= n_rare
     own = int(np.searchsorted(BOUNDS, n, side="right")) - 1
     dealt, reach = {}, 0
     for c in (own, own + 1):
@@ -143,7 +148,7 @@ def index_entries(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
             a, b = chosen[:-gap][same], chosen[gap:][same]
             # the order of the two within a pair must not depend on the set
             found.append(_mix(_mix(np.minimum(a, b) + np.uint64(c)) ^ np.maximum(a, b)))
-    return np.concatenate(found)
+    return np.concatenate(found), False
 
 
 MEMBERS = "id {kind}, text_hash long, node binary, n long, bucket int, count long"
@@ -183,11 +188,11 @@ def _members(rows: DataFrame) -> DataFrame:
 
 
 def _postings(rows: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``(entry, node, n)``: the index entries of all sets."""
+    """``(entry, node, n, rare)``: the index entries of all sets, and whether a set has only rare ones."""
     shared = rows.sparkSession.sparkContext.broadcast(levels)  # BUCKETS bytes
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, entries, nodes, sizes, size = set(), [], [], [], 0
+        seen, entries, nodes, sizes, kinds, size = set(), [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             each = np.array([len(e) for e in entries])
@@ -195,7 +200,8 @@ def _postings(rows: DataFrame, levels: np.ndarray) -> DataFrame:
             offsets = np.arange(len(data) + 1, dtype=np.int32) * 16
             node = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
             entry = pa.array(np.concatenate(entries).view(np.int64))
-            return pa.RecordBatch.from_arrays([entry, node, pa.array(np.repeat(np.array(sizes, np.int64), each))], names=["entry", "node", "n"])
+            n, rare = (pa.array(np.repeat(np.array(x), each)) for x in (np.array(sizes, np.int32), kinds))
+            return pa.RecordBatch.from_arrays([entry, node, n, rare], names=["entry", "node", "n", "rare"])
 
         for batch in batches:
             for text in batch.column("text"):
@@ -208,30 +214,29 @@ def _postings(rows: DataFrame, levels: np.ndarray) -> DataFrame:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(node)
-                own = index_entries(tokens, shared.value)
+                own, rare = index_entries(tokens, shared.value)
                 entries.append(own)
+                kinds.append(rare)
                 nodes.append(node)
                 sizes.append(len(tokens))
                 size += len(own)
                 if size >= FLUSH_ROWS:
                     yield flush()
-                    entries, nodes, sizes, size = [], [], [], 0
+                    entries, nodes, sizes, kinds, size = [], [], [], [], 0
         if entries:
             yield flush()
 
-    return rows.select("text").mapInArrow(read, "entry long, node binary, n long")
+    return rows.select("text").mapInArrow(read, "entry long, node binary, n int, rare boolean")
 
 
 def _first_nodes(postings: DataFrame) -> DataFrame:
-    """Every posting but the first node's of its entry, beside that node: ``(entry, hub, hub_n, node, n)``."""
+    """Every posting but the first node's of its entry, beside that node as ``hub``."""
     order = Window.partitionBy("entry").orderBy("node")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        postings.withColumn("hub", F.first("node").over(running)).withColumn("hub_n", F.first("n").over(running))
-        .withColumn("last", F.lag("node").over(order))
-        .filter((F.col("node") != F.col("hub")) & (F.col("node") != F.col("last")))
-        .select("entry", "hub", "hub_n", "node", "n")
-    )
+    first = F.first(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("rare").alias("hub_rare"))).over(running)
+    rows = postings.withColumn("first", first).withColumn("last", F.lag("node").over(order))
+    rows = rows.filter((F.col("node") != F.col("first.hub")) & (F.col("node") != F.col("last")))
+    return rows.select("entry", "node", "n", "rare", "first.*")
 
 
 def _sizes_fit(a: str = "n", b: str = "hub_n"):
@@ -265,10 +270,37 @@ def _with_components(rows: DataFrame, components: DataFrame, *columns: str) -> D
 
 
 def _unresolved(postings: DataFrame, components: DataFrame) -> DataFrame:
-    """The postings of entries whose nodes are in more than one component."""
+    """The postings of entries with more than one component, with ``size`` and largest component (``main``) of the entry."""
     known = _with_components(postings, components, "node")
-    several = known.groupBy("entry").agg(F.min("node_component").alias("lo"), F.max("node_component").alias("hi")).filter("lo <> hi")
-    return known.join(several.select("entry"), "entry", "left_semi")
+    per = known.groupBy("entry", "node_component").agg(F.count("*").alias("k"))
+    entries = per.groupBy("entry").agg(
+        F.sum("k").alias("size"), F.max("k").alias("main_size"), F.max_by("node_component", "k").alias("main")
+    ).filter("size > main_size")
+    return known.join(entries, "entry")
+
+
+def _possible_pairs(postings: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different components that share enough entries to link."""
+    part = lambda x: postings.select(
+        "entry", *(F.col(c).alias(f"{x}_{c}") for c in ("n", "rare", "node_component")), F.col("node").alias(x), (F.col("node_component") != F.col("main")).alias(f"{x}_outside")
+    )
+    # one side outside the main component; if both are, once
+    paired = part("a").filter("a_outside").join(part("b"), "entry").filter(
+        (F.col("a_node_component") != F.col("b_node_component")) & (~F.col("b_outside") | (F.col("a") < F.col("b"))) & _sizes_fit("a_n", "b_n")
+    )
+    ends = paired.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        *(F.when(F.col("a") < F.col("b"), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("n", "rare")),
+    )
+    counted = ends.groupBy("a", "b", "a_n", "b_n", "a_rare", "b_rare").agg(F.count("*").alias("shared"))
+    # of a set of rare entries only, what lies beyond its prefix can add so many; the set whose prefix ends first counts
+    beyond = lambda x: F.col(f"{x}_n") - F.floor(F.col(f"{x}_n") / 4) - 1
+    most = (
+        F.when(F.col("a_rare") & F.col("b_rare"), F.greatest(beyond("a"), beyond("b")))
+        .when(F.col("a_rare"), beyond("a")).when(F.col("b_rare"), beyond("b"))
+    )
+    needed = F.ceil(3 * (F.col("a_n") + F.col("b_n")) / 7)
+    return counted.filter(most.isNull() | (F.col("shared") + most >= needed)).select("a", "b")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -300,32 +332,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = rows.join(source, (F.col("text_hash") == F.col("at_hash")) & F.col("id").eqNullSafe(F.col("at_id")))
     texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
-    # each node first with the hub that it shares most entries with, then with its other hubs, if still apart
     pairs = left.filter(_sizes_fit()).groupBy("node", "hub").agg(F.count("*").alias("shared"))
-    pairs = stored(pairs, "pairs")
     nearest = pairs.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
-    links = [_verified(nearest, texts)]
+    tried = stored(nearest, "nearest")
+    links = [_verified(tried, texts)]
     components = stored(connected_components(links[0]), "components")
-    tried = nearest
+    columns = ["entry", "node", "n", "rare"]
+    hubs = left.select("entry", F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_rare").alias("rare")).distinct()
+    rest = left.select(*columns).unionByName(hubs)
     while True:
-        apart = _with_components(pairs, components, "node", "hub").filter("node_component <> hub_component")
-        apart = apart.select(F.col("node").alias("a"), F.col("hub").alias("b")).join(tried, ["a", "b"], "left_anti")
-        links.append(_verified(stored(apart, "apart"), texts))
-        components = stored(connected_components(_union(links)), "components")
-        left = stored(_unresolved(left.select("entry", "node", "n"), components), "unresolved")
-        size = left.groupBy("entry").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not size["rows"]:
+        rest = stored(_unresolved(rest, components), "unresolved")
+        cost = rest.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("node_component") != F.col("main"), F.col("size"))).alias("pairs")).first()
+        if not cost["rows"]:
             break
-        if size["pairs"] <= PAIRS_PER_NODE * size["rows"]:
-            other = left.select("entry", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("node_component").alias("b_component"))
-            rest = left.withColumnRenamed("node", "a").join(other, "entry")
-            rest = rest.filter((F.col("a") < F.col("b")) & (F.col("node_component") != F.col("b_component")) & _sizes_fit("n", "b_n"))
-            links.append(_verified(stored(rest.select("a", "b").distinct(), "rest"), texts))
-            components = stored(connected_components(_union(links)), "components")
+        few = cost["pairs"] <= PAIRS_PER_NODE * cost["rows"]
+        if few:
+            apart = _possible_pairs(rest)
+        else:
+            # every pair with the first node of an entry, which then leaves the entry
+            rest = stored(_first_nodes(rest.select(*columns)), "postings")
+            apart = rest.filter(_sizes_fit()).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+            apart = _with_components(apart, components, "a", "b").filter("a_component <> b_component").select("a", "b")
+        apart = stored(apart.join(tried, ["a", "b"], "left_anti"), "apart")
+        links.append(_verified(apart, texts))
+        components = stored(connected_components(_union(links)), "components")
+        if few:
             break
-        left = stored(_first_nodes(left.select("entry", "node", "n")), "postings")
-        tried = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        pairs = stored(left.filter(_sizes_fit()).groupBy("node", "hub").agg(F.count("*").alias("shared")), "pairs")
+        tried, rest = tried.unionByName(apart), rest.select(*columns)
     membership = _with_components(members, components, "node").withColumnRenamed("node_component", "component")
     return membership, _union(links)
 

@@ -55,9 +55,10 @@ def _corpus(seed, n_groups=12, copies=9):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize("frequent_from", [JC.FREQUENT_FROM, -1000])
-def test_components_against_brute_force(documents, monkeypatch, frequent_from):
+@pytest.mark.parametrize("frequent_from, pairs_per_node", [(JC.FREQUENT_FROM, JC.PAIRS_PER_NODE), (-1000, 0)])
+def test_components_against_brute_force(documents, monkeypatch, frequent_from, pairs_per_node):
     monkeypatch.setattr(JC, "FREQUENT_FROM", frequent_from)  # with the second, most tokens are of the frequent class
+    monkeypatch.setattr(JC, "PAIRS_PER_NODE", pairs_per_node)  # and only hubs are compared
     rows = _corpus(7)
     membership, links = JC.jaccard_components(documents(rows).repartition(5))
     got = {r.id: (r.n, r.component_id) for r in JC.component_ids(membership).collect()}
@@ -68,14 +69,15 @@ def test_components_against_brute_force(documents, monkeypatch, frequent_from):
 def test_every_link_shares_an_entry():
     rnd, random_np = random.Random(5), np.random.default_rng(5)
     for _ in range(150):
-        levels = (random_np.random(JC.BUCKETS) < rnd.choice([0, 0.3, 0.9, 1.0])).astype(np.uint8)
+        levels = random_np.integers(0, JC.FREQUENT, JC.BUCKETS).astype(np.uint16)
+        levels[random_np.random(JC.BUCKETS) < rnd.choice([0, 0.3, 0.9, 1.0])] = JC.FREQUENT + rnd.randint(0, 2)
         base = np.unique(random_np.integers(0, 2**64, rnd.choice([1, 2, 3, 5, 8, 11, 15, 20, 48, 150]), dtype=np.uint64))
         sets = [base]
         for _ in range(8):
             own = base[np.sort(random_np.permutation(len(base))[rnd.randint(0, len(base) // 3) :])]
             more = random_np.integers(0, 2**64, rnd.randint(0, len(base) // 3), dtype=np.uint64)
             sets.append(np.unique(np.concatenate([own, more])))
-        entries = [set(JC.index_entries(s, levels).tolist()) for s in sets]
+        entries = [set(JC.index_entries(s, levels)[0].tolist()) for s in sets]
         for (a, e), (b, f) in itertools.combinations(zip(sets, entries, strict=True), 2):
             assert e & f or not JC.linked(a, b)
 
