@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import numbering as N
 from ..functions import office as O
-from ..functions.running import running
 from ..functions.text import group, is_digits, rstrip, lstrip, strip
 
-LEVELS = 9  # office numbering has levels 0-8
+CHUNK = 4096
 KEY = ["doc_id", "block_idx"]
 
 
@@ -113,36 +113,30 @@ def list_key(num_id: Column, style_id: Column, style_name: Column, level: Column
 
 
 def hierarchical_numbers(items: DataFrame) -> DataFrame:
-    """Labels like ``2.b.iii`` of list items without a visible number.
+    """Labels like ``2.b.iii`` of list items without a visible number, at any depth.
 
     Input ``(doc_id, block_idx, list_key, level, num_fmt, is_break)``; break rows
     end every list of the document and get no label.  A shallower item resets
-    the deeper counters of its list.
+    the deeper counters of its list.  Rows are folded in chunks of ``CHUNK``
+    positions, so that one document is many tasks; one summary per chunk is
+    carried over.
     """
-    grouped = running(items, ["doc_id"], "block_idx", sums={"brk": F.col("is_break").cast("int")})
-    rows = grouped.filter(~F.col("is_break"))
-    keys = ["doc_id", "brk", "list_key"]
-    level = F.col("level")
-    counted = running(
-        rows, keys, "block_idx",
-        sums={f"c{n}": (level == n).cast("int") for n in range(LEVELS)},
-        maxima={
-            f"f{n}": F.when((level == n) & F.col("num_fmt").isNotNull(), F.struct("block_idx", "num_fmt"))
-            for n in range(LEVELS)
-        },
-    )
-    # counters never fall, so the count at the last reset is the largest one seen at a reset
-    reset = running(
-        counted, keys, "block_idx",
-        maxima={f"r{n}": F.when(level < n, F.col(f"c{n}")) for n in range(1, LEVELS)},
-    )
-    parts = []
-    for n in range(LEVELS):
-        value = F.col(f"c{n}") - (F.coalesce(F.col(f"r{n}"), F.lit(0)) if n else F.lit(0))
-        fmt = F.coalesce(F.col(f"f{n}.num_fmt"), F.lit("decimal"))
-        parts.append(F.when((level >= n) & (value > 0), O.number_label(value, fmt)))
-    return reset.select(
-        *KEY, F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull()), ".").alias("number")
+    ids = dict(items.dtypes)
+    doc = f"doc_id {ids['doc_id']}"
+    chunked = items.select(
+        "doc_id", F.floor(F.col("block_idx") / CHUNK).alias("chunk"), "block_idx", "list_key", "level", "num_fmt", "is_break"
+    ).repartition("doc_id", "chunk")
+    order = ["doc_id", "chunk", "block_idx"]
+    summed = chunked.sortWithinPartitions(*order).mapInPandas(N.summaries, f"{doc}, chunk long, summary string")
+    starts = summed.repartition("doc_id").sortWithinPartitions("doc_id", "chunk").mapInPandas(
+        N.carried, f"{doc}, chunk long, start string"
+    )
+    started = chunked.join(starts, ["doc_id", "chunk"], "left").sortWithinPartitions(*order)
+    parts = started.mapInPandas(
+        N.numbered, f"{doc}, block_idx {ids['block_idx']}, parts array<struct<value: long, fmt: string>>"
+    )
+    return parts.select(
+        *KEY, F.array_join(F.transform("parts", lambda p: O.number_label(p["value"], p["fmt"])), ".").alias("number")
     )
 
 

@@ -59,7 +59,7 @@ def body(spark: SparkSession, sf_dir: str) -> DataFrame:
         """CASE o_orderkey % 8 WHEN 0 THEN 'Heading2' WHEN 1 THEN 'Custom' WHEN 2 THEN 'ListBullet' WHEN 3 THEN 'ListNumber2'
            WHEN 4 THEN 'Outline' WHEN 5 THEN 'Loop' WHEN 7 THEN 'ListParagraph' END AS style_id""",
         """CASE WHEN o_orderkey % 8 IN (3, 7) AND o_orderkey % 3 < 2 THEN CASE WHEN o_orderkey % 5 < 3 THEN '1' ELSE '2' END END AS num_id""",
-        """CASE WHEN o_orderkey % 8 IN (3, 7) AND o_orderkey % 3 < 2 THEN CAST((o_orderkey DIV 8) % 3 AS INT) END AS ilvl""",
+        """CASE WHEN o_orderkey % 8 IN (3, 7) AND o_orderkey % 3 < 2 THEN CAST((o_orderkey DIV 8) % 3 * CASE WHEN o_orderkey % 7 = 0 THEN 5 ELSE 1 END AS INT) END AS ilvl""",
         "CASE WHEN o_orderkey % 8 = 7 THEN (o_orderkey DIV 8) % 4 * 18.0D + 9.0D END AS left_indent_pt",
         "o_orderkey % 32 = 6 AS all_bold",
         "CASE WHEN o_orderkey % 32 = 14 THEN 2 END AS outline_lvl",

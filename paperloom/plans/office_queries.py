@@ -14,13 +14,15 @@ D = X.DOC_SIZE
 _R = f"SELECT o_orderkey AS r, o_orderkey // {D} AS doc_id, o_orderkey % {D} + {X.BODY} AS block_idx FROM orders"
 _BODY = f"WITH b AS ({_R})\n"
 _DOCS = f"WITH docs AS (SELECT DISTINCT o_orderkey // {D} AS d FROM orders)\n"
+# level of a numbered paragraph, up to 10
+_ILVL = "((r // 8) % 3 * CASE WHEN r % 7 = 0 THEN 5 ELSE 1 END)"
 # number format of a numbered paragraph
 _FMT = (
-    "CASE WHEN r % 8 IN (3, 7) AND r % 3 < 2 THEN CASE WHEN r % 5 < 3 THEN ['decimal', 'lowerLetter', 'lowerRoman'][(r // 8) % 3 + 1] "
-    "ELSE ['bullet', 'upperRoman', NULL][(r // 8) % 3 + 1] END END"
+    f"CASE WHEN r % 8 IN (3, 7) AND r % 3 < 2 THEN CASE WHEN r % 5 < 3 THEN ['decimal', 'lowerLetter', 'lowerRoman'][{_ILVL} + 1] "
+    f"ELSE ['bullet', 'upperRoman', NULL][{_ILVL} + 1] END END"
 )
 _LEVEL = (
-    "CASE WHEN r % 8 IN (3, 7) AND r % 3 < 2 THEN (r // 8) % 3 WHEN r % 8 IN (0, 3) THEN 1 "
+    f"CASE WHEN r % 8 IN (3, 7) AND r % 3 < 2 THEN {_ILVL} WHEN r % 8 IN (0, 3) THEN 1 "
     "WHEN r % 8 = 7 THEN greatest(0, [0, 2, 2, 4][(r // 8) % 4 + 1] - 1) ELSE 0 END"
 )
 
@@ -68,11 +70,11 @@ def list_level(spark, sf_dir):
     "hierarchical_numbers",
     f"""WITH b AS ({_R}), brk AS (SELECT doc_id, block_idx AS brk_idx FROM b WHERE r % 64 = 63),
     i AS (SELECT b.doc_id, b.block_idx, {_LEVEL} AS lv, {_FMT} AS fmt,
-            CASE WHEN r % 3 < 2 THEN 'num:' || CASE WHEN r % 5 < 3 THEN '1' ELSE '2' END
-                 ELSE CASE r % 8 WHEN 3 THEN 'ListNumber2' ELSE 'ListParagraph' END END AS k,
+            CASE WHEN r % 8 IN (3, 7) AND r % 3 < 2 THEN 'num:' || CASE WHEN r % 5 < 3 THEN '1' ELSE '2' END
+                 ELSE CASE r % 8 WHEN 3 THEN 'ListNumber2' WHEN 7 THEN 'ListParagraph' ELSE 'generic' END END AS k,
             (SELECT count(*) FROM brk WHERE brk.doc_id = b.doc_id AND brk_idx < b.block_idx) AS g
-          FROM b WHERE r % 8 IN (3, 7) AND r % 64 <> 63 AND coalesce({_FMT}, '') <> 'bullet'),
-    lv AS (SELECT unnest([0, 1, 2, 3]) AS n),
+          FROM b WHERE (r % 8 IN (3, 7) OR r % 32 = 30) AND r % 64 <> 63 AND coalesce({_FMT}, '') <> 'bullet'),
+    lv AS (SELECT unnest(range(0, 11)) AS n),
     c AS (SELECT a.doc_id, a.block_idx, n,
       (SELECT count(*) FROM i x WHERE x.doc_id = a.doc_id AND x.g = a.g AND x.k = a.k AND x.lv = n AND x.block_idx <= a.block_idx
          AND x.block_idx > coalesce((SELECT max(y.block_idx) FROM i y WHERE y.doc_id = a.doc_id AND y.g = a.g AND y.k = a.k AND y.lv < n AND y.block_idx <= a.block_idx), -1)) AS v,
@@ -86,14 +88,14 @@ def list_level(spark, sf_dir):
                     || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][v % 10 + 1] AS ro FROM c) WHERE v > 0 GROUP BY 1, 2""",
 )
 def hierarchical_numbers(spark, sf_dir):
-    rows = _formatted(spark, sf_dir).join(W.list_level(X.body(spark, sf_dir), X.styles(spark)), ["doc_id", "block_idx"])
+    key, styles = ["doc_id", "block_idx"], X.styles(spark)
+    formatted = _formatted(spark, sf_dir)
+    rows = formatted.join(W.list_level(X.body(spark, sf_dir), styles), key).join(W.list_type(formatted, styles), key)
     is_break = F.regexp_extract("text", r"(\d+)\D*$", 1).cast("bigint") % 64 == 63
-    items = rows.withColumn("is_break", is_break).filter(
-        F.col("is_break") | (F.col("style_id").isin("ListNumber2", "ListParagraph") & (F.coalesce("num_fmt", F.lit("")) != "bullet"))
-    )
-    key = W.list_key(F.col("num_id"), F.col("style_id"), F.lit(None).cast("string"), F.col("list_level"))
+    items = rows.withColumn("is_break", is_break).filter(F.col("is_break") | (F.col("list_type") == "number"))
+    list_key = W.list_key(F.col("num_id"), F.col("style_id"), F.lit(None).cast("string"), F.col("list_level"))
     return W.hierarchical_numbers(
-        items.select("doc_id", "block_idx", key.alias("list_key"), F.col("list_level").alias("level"), "num_fmt", "is_break")
+        items.select("doc_id", "block_idx", list_key.alias("list_key"), F.col("list_level").alias("level"), "num_fmt", "is_break")
     )
 
 
