@@ -78,6 +78,19 @@ def record() -> Column:
     return let(document(), lambda d: A.document_record(d, final_notes()))
 
 
+@per_application
+def record_pair() -> Column:
+    """``struct<a, b>``: records of ``text_a`` and ``text_b``; both null where the texts are equal, so nothing is parsed."""
+    left, right = F.col("text_a"), F.col("text_b")
+
+    def of(text: Column) -> Column:
+        notes = let(N.definitions(text, False), N.final_notes)
+        return F.when(text.isNotNull(), let(M.document(text, False), lambda d: A.document_record(d, notes)))
+
+    both = F.when(~left.eqNullSafe(right), F.transform(F.array(left, right), of))
+    return let(both, lambda r: F.struct(F.get(r, F.lit(0)).alias("a"), F.get(r, F.lit(1)).alias("b")))
+
+
 @per_application
 def markdown(options: RenderOptions, parse: ParseOptions) -> Column:
     """Whole document: metadata block, body blocks, end notes."""

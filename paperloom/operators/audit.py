@@ -1,8 +1,8 @@
 """Summaries of a corpus and comparison of two versions of it.
 
-Each version is reduced to one record per document by a narrow expression; the
-two versions meet in a single full outer join on ``doc_id``, and every
-difference is computed from the joined row.
+The texts of two versions meet in a single full outer join on ``doc_id``. Where
+they differ, each is reduced to a record by a narrow expression, and every
+difference is computed from that row.
 """
 
 from __future__ import annotations
@@ -69,10 +69,16 @@ def document_summary(corpus: DataFrame) -> DataFrame:
 
 
 def pair_versions(source: DataFrame, target: DataFrame) -> DataFrame:
-    """``(doc_id, a, b)``: the records of both versions side by side."""
-    a = records(source).withColumnRenamed("r", "a")
-    b = records(target).withColumnRenamed("r", "b")
-    return a.join(b, "doc_id", "full_outer")
+    """``(doc_id, a, b)``: the records of both versions side by side, both null for documents with equal texts.
+
+    The texts meet first; only those that differ are parsed.
+    """
+    a = source.select("doc_id", F.col("text").alias("text_a"))
+    b = target.select("doc_id", F.col("text").alias("text_b"))
+    joined = a.join(b, "doc_id", "full_outer")
+    # a generated row is evaluated once, whatever is asked of it later
+    once = joined.select("doc_id", F.explode_outer(F.array(E.record_pair())).alias("r"))
+    return once.select("doc_id", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
 
 
 def _entries(r: str, scope: str) -> Column:
@@ -181,6 +187,25 @@ def _align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         )
 
 
+def _equal_run(x: Column, y: Column) -> Column:
+    """How many elements two arrays have in common at their start."""
+    differs = F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q))
+    at = F.array_position(differs, True).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.size(differs))
+
+
+def equal_head(x: Column, y: Column) -> Column:
+    """Length of the equal start, 0 where a block occurs twice (then it matters to which one others are aligned)."""
+    unique = (F.size(F.array_distinct(x)) == F.size(x)) & (F.size(F.array_distinct(y)) == F.size(y))
+    return F.when(unique, _equal_run(x, y)).otherwise(0)
+
+
+def equal_tail(x: Column, y: Column, head: Column) -> Column:
+    unique = (F.size(F.array_distinct(x)) == F.size(x)) & (F.size(F.array_distinct(y)) == F.size(y))
+    most = F.least(F.size(x), F.size(y)) - head
+    return F.when(unique, F.least(most, _equal_run(F.reverse(x), F.reverse(y)))).otherwise(0)
+
+
 def _changed_fields(s: Column, t: Column) -> Column:
     names = F.array(*[F.when(~s[f].eqNullSafe(t[f]), F.lit(f)) for f in A.SUMMARY_FIELDS])
     return F.filter(names, lambda n: n.isNotNull())
@@ -189,17 +214,25 @@ def _changed_fields(s: Column, t: Column) -> Column:
 def block_diff(pairs: DataFrame) -> DataFrame:
     """Changed, removed and added blocks with 1-based positions.
 
-    Equal documents leave before the alignment; the pandas function only sees
-    the keys of documents that differ.
+    Equal documents leave before the alignment. Blocks are compared by hash;
+    where no block occurs twice, equal ends are cut off first, so the pandas
+    function only sees the hashes between the first and the last difference.
     """
     keyed = pairs.select(
         "doc_id",
         _blocks("a").alias("a"),
         _blocks("b").alias("b"),
-        F.transform(_blocks("a"), lambda x: F.to_json(x)).alias("ka"),
-        F.transform(_blocks("b"), lambda x: F.to_json(x)).alias("kb"),
+        F.transform(_blocks("a"), lambda x: F.xxhash64(x)).alias("ka"),
+        F.transform(_blocks("b"), lambda x: F.xxhash64(x)).alias("kb"),
     ).filter(F.col("ka") != F.col("kb"))
-    steps = keyed.select("doc_id", "a", "b", _align("ka", "kb").alias("ops"))
+    cut = keyed.withColumn("head", equal_head(F.col("ka"), F.col("kb"))).withColumn("tail", equal_tail(F.col("ka"), F.col("kb"), F.col("head")))
+    middle = lambda k: F.slice(k, F.col("head") + 1, F.size(k) - F.col("head") - F.col("tail"))
+    found = cut.select("doc_id", "a", "b", "head", _align(middle("ka"), middle("kb")).alias("ops"))
+    shifted = F.transform(
+        "ops",
+        lambda op: F.struct(op["tag"].alias("tag"), *((op[n] + F.col("head")).alias(n) for n in ("i1", "i2", "j1", "j2"))),
+    )
+    steps = found.select("doc_id", "a", "b", shifted.alias("ops"))
 
     def rows(op: Column, a: Column, b: Column) -> Column:
         both = F.least(op["i2"] - op["i1"], op["j2"] - op["j1"])
@@ -334,15 +367,27 @@ def audit_report(pairs: DataFrame) -> DataFrame:
     return head.join(lists, "doc_id", "left").select("doc_id", F.array_join(body, "\n").alias("report"))
 
 
-def audit_json(pairs: DataFrame) -> DataFrame:
-    """Structured form of the differences, one JSON text per document."""
-    return pairs.select(
+def audit_json(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """The whole comparison as one JSON text per document: inputs, status, metadata, counts and changed elements."""
+    element = F.struct(
+        "change_no", "change", "source_index", "target_index",
+        F.filter(F.split("changed_fields", ","), lambda f: f != "").alias("changed_fields"), "source", "target",
+    )
+    # one list per document that differs, bounded by its number of blocks
+    lists = block_diff(pairs).groupBy("doc_id").agg(F.array_sort(F.collect_list(element)).alias("changes"))
+    facts = pairs.select(
+        "doc_id",
+        F.when(is_changed(), F.lit("FAIL")).otherwise(F.lit("PASS")).alias("status"),
+        metadata_changes("field").alias("metadata_fields"), metadata_changes("extra").alias("metadata_extra"),
+        count_changes().alias("counts"),
+    )
+    elements = F.transform(F.coalesce("changes", F.array()), lambda c: c.dropFields("change_no"))
+    return facts.join(lists, "doc_id", "left").select(
         "doc_id",
         F.to_json(
             F.struct(
-                metadata_changes("field").alias("metadata_fields"),
-                metadata_changes("extra").alias("metadata_extra"),
-                count_changes().alias("counts"),
+                F.lit(source).alias("source"), F.lit(target).alias("target"), "status",
+                "metadata_fields", "metadata_extra", "counts", elements.alias("elements"),
             )
         ).alias("report"),
     )

@@ -803,9 +803,36 @@ def audit_report(spark, sf_dir):
     return AU.audit_report(_pairs(spark, sf_dir))
 
 
-@query("audit_json")
+@query(
+    "audit_json",
+    O.BASE + """, pos AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM blk WHERE in_body)
+    SELECT doc_id, CASE WHEN k % 5 = 0 OR k % 5 = 1 AND k % 3 = 0 THEN 'PASS' ELSE 'FAIL' END AS status, 0 AS fields,
+      CASE WHEN k % 5 = 1 AND k % 3 <> 0 THEN 'Sector:' || seg || '>' || seg || 'X' ELSE '' END AS extra,
+      CASE k % 5 WHEN 2 THEN 'SEPARATOR-1' WHEN 4 THEN 'HEADING_31' ELSE '' END AS counts,
+      CASE k % 5 WHEN 2 THEN 'removed ' || sep || ' - SEPARATOR/--- ' WHEN 3 THEN 'changed ' || code || ' ' || code || ' text CODE_BLOCK/' || ct || ' CODE_BLOCK/'
+        || replace(ct, 'heading ' || k, 'heading ' || k || ' changed') WHEN 4 THEN 'added - ' || det || '  HEADING_3/Detail' ELSE '' END AS elements
+    FROM (SELECT doc_id, any_value(pos.k) AS k, any_value(seg) AS seg, max(i) FILTER (ord = 100) AS sep, max(i) FILTER (ord = 110) AS code, max(i) FILTER (ord = 50) AS det,
+          max(text) FILTER (ord = 110) AS ct FROM pos JOIN (SELECT doc_id, seg FROM doc) USING (doc_id) GROUP BY 1)""",
+)
 def audit_json(spark, sf_dir):
-    return AU.audit_json(_pairs(spark, sf_dir))
+    block, pair = "struct<type: string, text: string>", "array<struct<key: string, source: string, target: string>>"
+    schema = (
+        f"status string, metadata_fields {pair}, metadata_extra {pair}, counts array<struct<name: string, delta: int>>, elements array<struct<"
+        f"change: string, source_index: int, target_index: int, changed_fields: array<string>, source: {block}, target: {block}>>"
+    )
+    read = AU.audit_json(_pairs(spark, sf_dir)).select("doc_id", F.from_json("report", schema).alias("r"))
+    shown = lambda b: F.coalesce(F.concat(b["type"], F.lit("/"), b["text"]), F.lit(""))
+    number = lambda n: F.coalesce(n.cast("string"), F.lit("-"))
+    fields = lambda e: F.when(e["change"] == "changed", F.array_join(e["changed_fields"], ","))
+    element = lambda e: F.concat_ws(
+        " ", e["change"], number(e["source_index"]), number(e["target_index"]), fields(e), shown(e["source"]), shown(e["target"])
+    )
+    return read.select(
+        "doc_id", "r.status", F.size("r.metadata_fields").alias("fields"),
+        F.array_join(F.transform("r.metadata_extra", lambda e: F.concat(e["key"], F.lit(":"), e["source"], F.lit(">"), e["target"])), ",").alias("extra"),
+        F.array_join(F.transform("r.counts", lambda c: F.concat(c["name"], c["delta"].cast("string"))), ",").alias("counts"),
+        F.array_join(F.transform("r.elements", element), ",").alias("elements"),
+    )
 
 
 @query(
