@@ -44,7 +44,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the sources get their target shares, in random order."""
-    return mix_sources(docs).select("row.*", "copy", "n_copies", "shuffle_key")
+    added = ("copy", "n_copies", "shuffle_key")
+    return mix_sources(docs).select("row.*", *(F.col(c).alias(free_name(docs, c)) for c in added))
 
 
 STAGES = [
