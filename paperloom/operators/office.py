@@ -9,8 +9,6 @@ and the optimizer broadcasts them when they are small.
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +26,36 @@ KEY = ["doc_id", "block_idx"]
 def style_levels(styles: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Heading level of every style from the nearest style of its base chain.
 
-    Pointer doubling: each round looks twice as far along the chain, so the
-    number of rounds is the logarithm of the largest style set; cycles end there.
+    The styles of a scope (one document or package) become arrays. In them every
+    round looks twice as far along the chain, so the number of rounds is the
+    logarithm of the number of styles; cycles end there.
     """
     keys = scope or []
     own = F.coalesce(
         O.heading_hint(F.col("name")), O.heading_hint(F.col("style_id")), F.col("outline_lvl") + 1
     )
-    state = styles.select(*keys, "style_id", own.alias("level"), F.col("base_style_id").alias("next"))
-    largest = styles.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    for _ in range(max(1, ceil(log2(largest + 1)))):
-        step = state.select(
-            *keys, F.col("style_id").alias("next"), F.col("level").alias("l2"), F.col("next").alias("n2")
-        )
-        state = state.join(step, [*keys, "next"], "left").select(
-            *keys, "style_id",
-            F.coalesce("level", "l2").alias("level"),
-            F.when(F.coalesce("level", "l2").isNull(), F.col("n2")).alias("next"),
+    rows = F.struct("style_id", own.alias("level"), F.col("base_style_id").alias("base"))
+    sets = styles.groupBy(*keys).agg(F.array_sort(F.collect_list(rows)).alias("s"))
+    ids = F.col("s.style_id")
+    start = F.struct(
+        F.col("s.level").alias("level"),
+        F.transform("s.base", lambda b: F.nullif(F.array_position(ids, b), F.lit(0)).cast("int")).alias("next"),
+    )
+
+    def look(values: Column, at: Column) -> Column:
+        return F.when(at.isNotNull(), F.get(values, at - 1))
+
+    def step(state: Column, _: Column) -> Column:
+        level = F.transform(
+            state["next"], lambda n, i: F.coalesce(F.get(state["level"], i), look(state["level"], n))
         )
-    return state.select(*keys, "style_id", "level")
+        further = F.transform(state["next"], lambda n: look(state["next"], n))
+        return F.struct(level.alias("level"), further.alias("next"))
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size("s") + 1)).cast("int")))
+    levels = F.aggregate(rounds, start, step)["level"]
+    found = F.explode(F.arrays_zip(ids.alias("style_id"), levels.alias("level")))
+    return sets.select(*keys, found.alias("x")).select(*keys, F.col("x.style_id"), F.col("x.level").alias("level"))
 
 
 def heading_level(blocks: DataFrame, levels: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -74,8 +83,18 @@ def numbering_format(
     return at.join(fmt, [*keys, "num_id", "_lvl"], "left").drop("_lvl")
 
 
+def _named(blocks: DataFrame, styles: DataFrame, scope: list[str] | None) -> DataFrame:
+    keys = [*(scope or []), "style_id"]
+    return blocks.join(styles.select(*keys, "name"), keys, "left")
+
+
 def list_type(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """``bullet`` / ``number`` / null of blocks that carry ``num_fmt``."""
+    """``(doc_id, block_idx, list_type)``: ``bullet`` / ``number`` / null of blocks that carry ``num_fmt``."""
+    return with_list_type(blocks, styles, scope).select(*KEY, "list_type")
+
+
+def with_list_type(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """``blocks`` with ``list_type``."""
     text = strip(F.col("text"))
     name = F.coalesce("name", F.lit(""))
     kind = F.coalesce(
@@ -87,11 +106,15 @@ def list_type(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = No
         F.when(text.rlike(K.BULLET_TEXT), "bullet"),
         F.when(text.rlike(K.NUMBERED_TEXT), "number"),
     )
-    named = blocks.join(styles.select(*(scope or []), "style_id", "name"), [*(scope or []), "style_id"], "left")
-    return named.select(*KEY, kind.alias("list_type"))
+    return _named(blocks, styles, scope).select(*blocks.columns, kind.alias("list_type"))
 
 
 def list_level(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    return with_list_level(blocks, styles, scope).select(*KEY, "list_level")
+
+
+def with_list_level(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """``blocks`` with ``list_level``."""
     name = F.coalesce("name", F.lit(""))
     indent = F.col("left_indent_pt")
     level = F.coalesce(
@@ -100,8 +123,7 @@ def list_level(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = N
         F.when(indent != 0, F.greatest(F.lit(0), (F.bround(F.greatest(F.lit(0.0), indent) / 18.0, 0) - 1).cast("int"))),
         F.lit(0),
     )
-    named = blocks.join(styles.select(*(scope or []), "style_id", "name"), [*(scope or []), "style_id"], "left")
-    return named.select(*KEY, level.alias("list_level"))
+    return _named(blocks, styles, scope).select(*blocks.columns, level.alias("list_level"))
 
 
 def list_key(num_id: Column, style_id: Column, style_name: Column, level: Column) -> Column:
@@ -147,9 +169,9 @@ def table_signals(blocks: DataFrame, cells: DataFrame) -> DataFrame:
     labels = (
         cells.filter((F.col("col_idx") == 0) & F.upper(strip(F.col("text"))).isin(*K.PANEL_LABELS))
         .groupBy(*KEY)
-        .agg(F.count_distinct(F.upper(strip(F.col("text")))).alias("labels"))
+        .agg(F.size(F.collect_set(F.upper(strip(F.col("text"))))).alias("labels"))  # of a fixed list of labels
     )
-    tables = blocks.filter("kind = 't'").join(labels, KEY, "left")
+    tables = blocks.filter("kind = 't'").select(*KEY, "n_cols", "n_rows", "text").join(labels, KEY, "left")
     panel = (F.col("n_cols") == 2) & (F.col("n_rows") >= 3) & (F.coalesce("labels", F.lit(0)) >= 3)
     note = (F.col("n_cols") == 1) & (F.col("n_rows") == 1) & F.contains("text", F.lit(K.DISCLAIMER_TEXT))
     return tables.select(*KEY, panel.alias("is_panel"), (note & ~panel).alias("is_disclaimer"))
@@ -159,40 +181,50 @@ def document_profile(
     blocks: DataFrame, signals: DataFrame, props: DataFrame, generator: str
 ) -> DataFrame:
     """``GENERATED`` by property, by two structural signals, or by one plus one title line."""
-    titles = (
-        blocks.filter("kind = 'p'")
-        .filter(strip(F.col("text")).isin(K.TOC_TITLE, K.ENDNOTES_TITLE, K.DISCLAIMER_TITLE))
-        .groupBy("doc_id").agg(F.count("*").alias("textual"))
-    )
-    structure = signals.groupBy("doc_id").agg(
-        F.count_if(F.col("is_panel") | F.col("is_disclaimer")).alias("structural")
-    )
-    named = (
-        props.filter(F.lower(strip(F.col("value"))) == generator.lower()).filter(F.col("name") == "generator")
-        .select("doc_id").distinct().withColumn("named", F.lit(True))
+    none = F.lit(None)
+    facts = (
+        blocks.select(
+            "doc_id",
+            ((F.col("kind") == "p") & strip(F.col("text")).isin(K.TOC_TITLE, K.ENDNOTES_TITLE, K.DISCLAIMER_TITLE)).alias("title"),
+            none.cast("boolean").alias("signal"), none.cast("boolean").alias("named"),
+        )
+        .unionByName(signals.select("doc_id", none.cast("boolean").alias("title"), (F.col("is_panel") | F.col("is_disclaimer")).alias("signal"), none.cast("boolean").alias("named")))
+        .unionByName(
+            props.filter((F.lower(strip(F.col("value"))) == generator.lower()) & (F.col("name") == "generator"))
+            .select("doc_id", none.cast("boolean").alias("title"), none.cast("boolean").alias("signal"), F.lit(True).alias("named"))
+        )
     )
-    docs = blocks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    joined = docs.join(titles, "doc_id", "left").join(structure, "doc_id", "left").join(named, "doc_id", "left")
-    s, t = F.coalesce("structural", F.lit(0)), F.coalesce("textual", F.lit(0))
-    generated = F.col("named").isNotNull() | (s >= 2) | ((s >= 1) & (t >= 1))
-    return joined.select("doc_id", F.when(generated, "GENERATED").otherwise("GENERIC").alias("profile"))
+    counted = facts.groupBy("doc_id").agg(
+        F.count_if("title").alias("t"), F.count_if("signal").alias("s"), F.count_if("named").alias("named"),
+        F.count_if(F.col("title").isNotNull()).alias("blocks"),
+    ).filter("blocks > 0")
+    generated = (F.col("named") > 0) | (F.col("s") >= 2) | ((F.col("s") >= 1) & (F.col("t") >= 1))
+    return counted.select("doc_id", F.when(generated, "GENERATED").otherwise("GENERIC").alias("profile"))
 
 
-def boilerplate_marks(blocks: DataFrame, signals: DataFrame, styles: DataFrame) -> DataFrame:
-    """One row per document: where cover, contents, notes and disclaimer start and end."""
+def document_marks(blocks: DataFrame, signals: DataFrame) -> DataFrame:
+    """One row per document: where panel, cover note, contents, notes and disclaimer start."""
     def first(flag: Column) -> Column:
         return F.min(F.when(flag, F.col("block_idx")))
 
     text = strip(F.col("text"))
     para = F.col("kind") == "p"
-    rows = blocks.join(signals, KEY, "left")
-    marks = rows.groupBy("doc_id").agg(
+    no = F.lit(False)
+    rows = blocks.select("doc_id", "block_idx", "kind", "text", no.alias("is_panel"), no.alias("is_disclaimer")).unionByName(
+        signals.select("doc_id", "block_idx", F.lit("signal").alias("kind"), F.lit(None).cast("string").alias("text"), "is_panel", "is_disclaimer")
+    )
+    return rows.groupBy("doc_id").agg(
         first(F.col("is_panel")).alias("panel"),
         first(F.col("is_disclaimer")).alias("cover_note"),
         first(para & (text == K.TOC_TITLE)).alias("toc"),
         first(para & (text == K.ENDNOTES_TITLE)).alias("notes"),
         first(para & (text == K.DISCLAIMER_TITLE)).alias("disclaimer"),
     )
+
+
+def boilerplate_marks(blocks: DataFrame, signals: DataFrame, styles: DataFrame) -> DataFrame:
+    """``document_marks`` and where the contents end."""
+    text, marks = strip(F.col("text")), document_marks(blocks, signals)
     # contents: the next paragraph always, then lines that look like contents
     after = blocks.join(marks.filter("toc is not null").select("doc_id", "toc"), "doc_id").filter("block_idx > toc")
     nexts = after.groupBy("doc_id", "toc").agg(F.min(F.struct("block_idx", "kind")).alias("n"))
@@ -283,50 +315,53 @@ def panel_values(cells: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "label").agg(F.max_by("value", "row_idx").alias("value"))
 
 
-def cover_metadata(blocks: DataFrame, cells: DataFrame, marks: DataFrame) -> DataFrame:
-    """Report type, identity, title and subtitle read from the cover lines."""
+def cover_metadata(blocks: DataFrame, cells: DataFrame, marks: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Report type, identity, title and subtitle read from the cover lines, with the panel's company and sector.
+
+    Where the panel has no company or sector, those of ``known`` ``(doc_id, company, sector)`` count.  The identity is
+    the ticker if there is a company and it is not its name.
+    """
     panel = panel_values(cells, marks).groupBy("doc_id").agg(
         F.max(F.when(F.col("label") == "INSTITUTION", F.col("value"))).alias("company"),
         F.max(F.when(F.col("label") == "SECTOR", F.col("value"))).alias("sector"),
     )
+    # the lines of one cover
     cover = (
-        blocks.filter("kind = 'p'")
+        blocks.filter("kind = 'p'").select("doc_id", "block_idx", strip(F.col("text")).alias("text"))
         .join(marks.filter("panel is not null").select("doc_id", "panel"), "doc_id")
-        .filter("block_idx < panel")
-        .select("doc_id", "block_idx", strip(F.col("text")).alias("text"))
-        .filter("text <> ''")
-    )
-    kinds = cover.groupBy("doc_id").agg(
-        F.min_by("text", F.when(F.col("text").rlike(K.REPORT_TYPE_LINE), F.col("block_idx"))).alias("t"),
-        F.count_if(F.col("text").rlike(K.REPORT_TYPE_LINE)).alias("has_type"),
-    ).select("doc_id", F.when(F.col("has_type") > 0, F.col("t")).otherwise("").alias("report_type"))
-    facts = kinds.join(panel, "doc_id", "left").select(
-        "doc_id", "report_type", F.coalesce("company", F.lit("")).alias("company"), F.coalesce("sector", F.lit("")).alias("sector")
-    )
-    lines = cover.join(facts, "doc_id")
-    upper = F.upper("text")
-    is_identity = (
-        (F.length("text") <= 24) & (F.col("text") == upper)
-        & (upper != F.upper("company")) & (upper != F.upper("sector")) & (upper != F.upper("report_type"))
-    )
-    identity = lines.filter(is_identity).groupBy("doc_id").agg(F.min_by("text", "block_idx").alias("identity"))
-    known = lines.join(identity, "doc_id", "left").withColumn("identity", F.coalesce("identity", F.lit("")))
-    rest = known.filter(
-        (F.col("text") != F.col("report_type")) & (F.col("text") != F.col("identity")) & (F.col("text") != F.col("sector"))
-    )
-    title = rest.groupBy("doc_id").agg(
-        F.max_by(F.struct("text", "block_idx"), F.struct(F.length("text"), -F.col("block_idx"))).alias("t")
-    )
-    after = rest.join(title, "doc_id").filter("block_idx > t.block_idx").groupBy("doc_id").agg(
-        F.min_by(F.struct("text", F.col("t.text").alias("title")), "block_idx").alias("s")
-    )
-    subtitle = F.when((F.col("s.text") != F.col("s.title")) & (F.length("s.text") <= 120), F.col("s.text"))
-    out = facts.join(identity, "doc_id", "left").join(title, "doc_id", "left").join(
-        after.select("doc_id", subtitle.alias("subtitle")), "doc_id", "left"
-    )
-    return out.select(
-        "doc_id", "report_type", F.coalesce("identity", F.lit("")).alias("identity"),
-        F.coalesce(F.col("t.text"), F.lit("")).alias("title"), F.coalesce("subtitle", F.lit("")).alias("subtitle"),
+        .filter("block_idx < panel and text <> ''")
+        .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "text"))).alias("lines"))
+        .join(panel, "doc_id", "left")
+    )
+    if known is None:
+        cover = cover.withColumn("own_company", F.lit("")).withColumn("own_sector", F.lit(""))
+    else:
+        own = known.select("doc_id", F.col("company").alias("own_company"), F.col("sector").alias("own_sector"))
+        cover = cover.join(own, "doc_id", "left")
+    text = lambda line: F.coalesce(line["text"], F.lit(""))
+    first = lambda lines: F.get(lines, F.lit(0))
+    facts = cover.select(
+        "doc_id", "lines",
+        strip(F.coalesce("company", "own_company", F.lit(""))).alias("company"), strip(F.coalesce("sector", "own_sector", F.lit(""))).alias("sector"),
+        text(first(F.filter("lines", lambda x: x["text"].rlike(K.REPORT_TYPE_LINE)))).alias("report_type"),
+    )
+    names = F.array(*(F.upper(c) for c in ("company", "sector", "report_type")))
+
+    def is_identity(line: Column) -> Column:
+        upper = F.upper(line["text"])
+        return (F.length(line["text"]) <= 24) & (line["text"] == upper) & ~F.array_contains(names, upper)
+
+    named = facts.withColumn("identity", text(first(F.filter("lines", is_identity))))
+    taken = F.array("report_type", "identity", "sector")
+    rest = named.withColumn("rest", F.filter("lines", lambda x: ~F.array_contains(taken, x["text"])))
+    longest = F.array_max(F.transform("rest", lambda x: F.struct(F.length(x["text"]).alias("n"), (-x["block_idx"]).alias("at"), x["text"].alias("text"))))
+    titled = rest.withColumn("title", longest)
+    after = titled.withColumn("next", first(F.filter("rest", lambda x: x["block_idx"] > -F.col("title.at")))["text"])
+    subtitle = F.when((F.col("next") != F.col("title.text")) & (F.length("next") <= 120), F.col("next"))
+    ticker = F.when((F.col("company") != "") & (F.col("identity") != F.col("company")), F.col("identity"))
+    return after.select(
+        "doc_id", "report_type", "identity", F.coalesce("title.text", F.lit("")).alias("title"), F.coalesce(subtitle, F.lit("")).alias("subtitle"),
+        "company", "sector", F.coalesce(ticker, F.lit("")).alias("ticker"),
     )
 
 

@@ -88,9 +88,8 @@ def list_level(spark, sf_dir):
                     || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][v % 10 + 1] AS ro FROM c) WHERE v > 0 GROUP BY 1, 2""",
 )
 def hierarchical_numbers(spark, sf_dir):
-    key, styles = ["doc_id", "block_idx"], X.styles(spark)
-    formatted = _formatted(spark, sf_dir)
-    rows = formatted.join(W.list_level(X.body(spark, sf_dir), styles), key).join(W.list_type(formatted, styles), key)
+    styles = X.styles(spark)
+    rows = W.with_list_level(W.with_list_type(_formatted(spark, sf_dir), styles), styles)
     is_break = F.regexp_extract("text", r"(\d+)\D*$", 1).cast("bigint") % 64 == 63
     items = rows.withColumn("is_break", is_break).filter(F.col("is_break") | (F.col("list_type") == "number"))
     list_key = W.list_key(F.col("num_id"), F.col("style_id"), F.lit(None).cast("string"), F.col("list_level"))
@@ -144,7 +143,8 @@ def drop_boilerplate(spark, sf_dir):
     _DOCS + "SELECT d AS doc_id, 1 AS num, 'first of ' || d AS text FROM docs UNION ALL SELECT d, 2, 'third of ' || d FROM docs",
 )
 def endnote_rows(spark, sf_dir):
-    blocks, _, marks = _marks(spark, sf_dir)
+    blocks = X.blocks(spark, sf_dir)
+    marks = W.document_marks(blocks, W.table_signals(blocks, X.cells(spark, sf_dir)))
     return W.endnote_rows(blocks, X.runs(spark, sf_dir), marks)
 
 
@@ -163,11 +163,11 @@ def property_metadata(spark, sf_dir):
 @query(
     "cover_metadata",
     _DOCS + "SELECT d AS doc_id, 'INVESTMENT MEMO' AS report_type, 'TCK' || d AS identity, 'Annual review of document number ' || d AS title, "
-    "'For the year of ' || d AS subtitle FROM docs WHERE d % 4 < 2",
+    "'For the year of ' || d AS subtitle, 'Company ' || d AS company, 'SECTOR ' || d AS sector, 'TCK' || d AS ticker FROM docs WHERE d % 4 < 2",
 )
 def cover_metadata(spark, sf_dir):
-    blocks, _, marks = _marks(spark, sf_dir)
-    return W.cover_metadata(blocks, X.cells(spark, sf_dir), marks)
+    blocks, cells = X.blocks(spark, sf_dir), X.cells(spark, sf_dir)
+    return W.cover_metadata(blocks, cells, W.document_marks(blocks, W.table_signals(blocks, cells)))
 
 
 @query(
