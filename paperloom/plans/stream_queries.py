@@ -60,14 +60,16 @@ def write_markdown_corpus(spark, sf_dir):
 
 @query(
     "write_document_tables",
-    O.with_(O.DOC, O.BLK, O.NOTES) + "SELECT 'blocks' AS relation, count(*) AS n FROM blk UNION ALL SELECT 'documents', count(*) FROM doc "
-    "UNION ALL SELECT 'footnotes', count(*) FROM notes UNION ALL SELECT 'tables', count(*) FROM blk WHERE type = 'TABLE'",
+    O.with_(O.DOC, O.BLK, O.TROW, O.RUNS, O.NOTES) + "SELECT 'blocks' AS relation, count(*) AS n FROM blk UNION ALL SELECT 'documents', count(*) FROM doc "
+    "UNION ALL SELECT 'footnotes', count(*) FROM notes UNION ALL SELECT 'tables', count(*) FROM blk WHERE type = 'TABLE' "
+    "UNION ALL SELECT 'table_cells', count(*) FROM cell UNION ALL SELECT 'runs', (SELECT count(*) FROM runs) + (SELECT count(*) FROM cell WHERE text <> '')",
 )
 def write_document_tables(spark, sf_dir):
-    base = scratch(spark, "tables")
-    WR.write_document_tables(C.reports(spark, sf_dir), base, "reports")
+    base, corpus = scratch(spark, "tables"), C.reports(spark, sf_dir)
+    for _ in range(2):  # the second run replaces the first
+        WR.write_document_tables(corpus, base, "reports")
     parts = [
         spark.read.parquet(f"{base}/{name}").groupBy(F.lit(name).alias("relation")).agg(F.count("*").alias("n"))
-        for name in ("blocks", "documents", "footnotes", "tables")
+        for name in ("blocks", "documents", "footnotes", "tables", "table_cells", "runs")
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
