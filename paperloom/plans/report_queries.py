@@ -719,10 +719,11 @@ def document_summary(spark, sf_dir):
 
 @query(
     "normalize_compare_text",
-    "SELECT doc_id, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t]+', ' ', 'g') AS inline_text FROM documents",
+    "SELECT doc_id, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t]+', ' ', 'g') AS inline_text, "
+    "trim(array_to_string(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: rtrim(x, ' ' || chr(9))), chr(10)), chr(10)) AS block_text FROM documents",
 )
 def normalize_compare_text(spark, sf_dir):
-    return AU.normalize_compare_text(C.documents(spark, sf_dir), ["doc_id"]).drop("block_text")
+    return AU.normalize_compare_text(C.documents(spark, sf_dir), ["doc_id"])
 
 
 def _pairs(spark, sf_dir):

@@ -30,20 +30,20 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def _stream(spark, sf_dir):
-    # a path with a wildcard: the streaming source wants a folder or a glob
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
-    return rows.select("doc_id", "text")
+    """The reports as a stream of files."""
+    source = scratch(spark, "reports")
+    C.reports(spark, sf_dir).write.parquet(source)
+    return spark.readStream.schema("doc_id long, text string").parquet(source)
 
 
-@query("ingest_stream")
+@query("ingest_stream", O.typed("true", "doc_id, block_idx, type, text"))
 def ingest_stream(spark, sf_dir):
     target, checkpoint = scratch(spark, "blocks"), scratch(spark, "state")
     ST.ingest(_stream(spark, sf_dir), "blocks", target, checkpoint).awaitTermination()
     return spark.read.parquet(target).select("doc_id", "block_idx", "type", "text")
 
 
-@query("audit_stream")
+@query("audit_stream", O.BASE + "SELECT doc_id, type, count(*) AS n FROM blk WHERE in_body GROUP BY 1, 2")
 def audit_stream(spark, sf_dir):
     target, checkpoint = scratch(spark, "counts"), scratch(spark, "state")
     ST.ingest_batches(
