@@ -22,9 +22,15 @@ def latex_to_text(c: Column) -> Column:
     """Unwrap commands and fractions to a fixed point, then replace signs."""
     # every useful pass removes one '{', so their number bounds the passes
     steps = F.sequence(F.lit(1), F.length(c) - F.length(F.replace(c, F.lit("{"), F.lit(""))) + 1)
+
+    def step(state: Column, _: Column) -> Column:
+        # after a pass that changes nothing, nothing is tried any more
+        once = let(_unwrap(state["text"]), lambda t: F.struct(t.alias("text"), (t == state["text"]).alias("done")))
+        return F.when(state["done"], state).otherwise(once)
+
     plain = F.when(
         F.contains(c, F.lit("{")),
-        let(strip(c), lambda t: F.aggregate(steps, t, lambda acc, _: _unwrap(acc))),
+        let(strip(c), lambda t: F.aggregate(steps, F.struct(t.alias("text"), F.lit(False).alias("done")), step)["text"]),
     ).otherwise(strip(c))
     # commands end before a letter, so their order does not matter
     plain = reduce(
