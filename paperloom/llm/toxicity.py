@@ -103,12 +103,22 @@ def fit_toxicity(sample: list[tuple[str, int]], steps: int = 300, rate: float =
     labels = np.array([y for _, y in sample], dtype=float)
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel(bias=20.0 if len(labels) and labels.max() == 1 else -20.0)
-    ids: dict[str, list[int]] = {}
-    bags = [[words for _, _, words in sentences(text)] for text, _ in sample]
+    # every sentence as the numbers of its words; `ends` and `owner` say where it ends and whose it is
+    vocabulary: dict[str, int] = {}
+    numbers, ends, owner = array("l"), array("l"), array("l")
+    for d, (text, _) in enumerate(sample):
+        for _, _, words in sentences(text):
+            numbers.extend(vocabulary.setdefault(w, len(vocabulary)) for w in words)
+            ends.append(len(numbers))
+            owner.append(d)
+    numbers, ends, owner = (np.frombuffer(x, dtype=np.int64) if len(x) else np.zeros(0, np.int64) for x in (numbers, ends, owner))
+    in_document = np.unique(np.repeat(owner, np.diff(ends, prepend=0)) * len(vocabulary) + numbers)
+    words = list(vocabulary)
     seen: Counter = Counter()
     toxic: Counter = Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        own = {f for sentence in bag for w in sentence for f in word_features(w)}
+    starts = np.searchsorted(in_document, np.arange(len(labels) + 1) * len(vocabulary))
+    for d, y in enumerate(labels):
+        own = {f for w in in_document[starts[d] : starts[d + 1]] % len(vocabulary) for f in word_features(words[w])}
         seen.update(own)
         if y:
             toxic.update(own)
@@ -117,22 +127,21 @@ def fit_toxicity(sample: list[tuple[str, int]], steps: int = 300, rate: float =
     above = {f: (toxic[f] - share * n) / np.sqrt(n * share * (1 - share)) for f, n in seen.items() if n >= LEAST_DOCUMENTS}
     useful = sorted((f for f, z in above.items() if z >= LEAST_DEVIATION), key=lambda f: (-above[f], f))
     names = {f: k for k, f in enumerate(useful[:MOST_FEATURES])}
-    cells, columns, owner = array("l"), array("l"), array("l")
+    known = [[names[f] for f in word_features(w) if f in names] for w in words]
+    del seen, toxic, above
+    cells, columns, carrier = array("l"), array("l"), array("l")
     plain = np.zeros(len(labels))  # sentences without a feature
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            mine: set[int] = set()
-            for w in sentence:
-                if w not in ids:
-                    ids[w] = [names[f] for f in word_features(w) if f in names]
-                mine.update(ids[w])
-            if not mine:
-                plain[d] += 1
-                continue
-            cells.extend([len(owner)] * len(mine))
-            columns.extend(mine)
-            owner.append(d)
-    cells, columns, owner = (np.frombuffer(x, dtype=np.int64) if len(x) else np.zeros(0, np.int64) for x in (cells, columns, owner))
+    telling = np.array([bool(k) for k in known], dtype=bool)
+    for start, end, d in zip(np.append(0, ends[:-1]), ends, owner, strict=True):
+        own = numbers[start:end]
+        mine = {k for w in own[telling[own]] for k in known[w]}
+        if not mine:
+            plain[d] += 1
+            continue
+        cells.extend([len(carrier)] * len(mine))
+        columns.extend(mine)
+        carrier.append(d)
+    cells, columns, owner = (np.frombuffer(x, dtype=np.int64) if len(x) else np.zeros(0, np.int64) for x in (cells, columns, carrier))
     n_docs, l1 = len(labels), l1 / len(labels)
     values = {"w": np.zeros(len(names)), "b": np.array([-6.0])}
     adam = Adam(values, rate)
