@@ -17,10 +17,12 @@ the frequent. They steer cost only: any order that is the same for all sets find
 Sets that are equal are one node. Every node is first compared with one hub, the first node of the index entries that it
 shares with most others, so that a group of thousands of near copies costs a comparison per member, not one per pair.
 Links make components; entries whose nodes are all in one component are done. Of what remains, nodes outside the largest
-component of an entry are paired with the entry's other nodes; the number of entries that two sets share bounds their
-intersection, and pairs that can reach the threshold are compared. (Where even that would be many pairs, further hubs
-come first.) So every link between nodes of different components is found, and the components are exact. All
-comparisons are exact on the whole sets.
+component of an entry are paired with the entry's other nodes. Two sets that link share a number of entries that their
+sizes tell; so they meet in one that is not among the largest entries of either, and only such meetings count. Where that would be many rows (a large group of near
+copies, some of which are apart from it), those nodes are first compared with a few more nodes of the component, and
+what then is still apart is compared with all nodes of the components that it shares an entry with. So every link
+between nodes of different components is found, and the components are exact. All comparisons are exact on the whole
+sets.
 
 Defined cases: a text of fewer than five words is one shingle; null texts and texts without words have no shingle and
 link with nothing; ids may be null (never a component's id) or repeat; equal rows share a component; texts of any length
@@ -36,9 +38,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import packed, stored
 from .components import connected_components
@@ -48,12 +49,16 @@ SHINGLE = 5
 BUCKETS = 1 << 18
 #: A bucket is frequent beyond twice the mean count and this.
 FREQUENT_FROM = 32
-#: Up to so many pairs per node of the unresolved entries, they are paired; beyond, hubs are compared first.
+#: Up to so many pairs per node of the unresolved entries, they are paired entry by entry.
 PAIRS_PER_NODE = 64
+#: Beyond, in so many rounds, nodes apart are compared with the nearest few of some hubs of every entry.
+HUB_ROUNDS, HUBS, NEAREST = 3, 8, 6
 #: Levels below are quantiles of the rare class, levels from here on are the frequent class.
 FREQUENT = 256
 #: Distinct sets that a task remembers, so as to index copies once.
 REMEMBERED = 100_000
+#: Up to so many keys (about 60 bytes each) are broadcast to fetch texts; beyond, keys and texts are shuffled.
+MAX_BROADCAST_KEYS = 200_000
 FLUSH_ROWS = 100_000
 
 # Size classes: consecutive bounds are a factor of 4/3 apart, rounded up, so sets that can link are at most one apart.
@@ -108,17 +113,17 @@ def parts_of(size_class: int) -> int:
     return int(BOUNDS[max(size_class - 1, 0)]) // 6
 
 
-def index_entries(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The index entries (64-bit hashes) of a sorted set of tokens, and whether they are rare tokens only."""
+def index_entries(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The index entries (64-bit hashes) of a sorted set of tokens."""
     n = len(tokens)
     if not n:
-        return tokens, True
+        return tokens
     need = n // 4 + 1
     level = levels[bucket_of(tokens)]
     order = np.argsort(level, kind="stable")  # within a level by hash, as the set is sorted
     n_rare = int(np.count_nonzero(level < FREQUENT))
     if n_rare >= need:
-        return tokens[order[:need]], True
+        return tokens[order[:need]]
     rare, frequent = tokens[order[:n_rare]], tokens[order[n_rare:]]
     need -= n_rare
     own = int(np.searchsorted(BOUNDS, n, side="right")) - 1
@@ -148,7 +153,7 @@ def index_entries(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, b
             a, b = chosen[:-gap][same], chosen[gap:][same]
             # the order of the two within a pair must not depend on the set
             found.append(_mix(_mix(np.minimum(a, b) + np.uint64(c)) ^ np.maximum(a, b)))
-    return np.concatenate(found), False
+    return np.concatenate(found)
 
 
 MEMBERS = "id {kind}, text_hash long, node binary, n long, bucket int, count long"
@@ -188,11 +193,11 @@ def _members(rows: DataFrame) -> DataFrame:
 
 
 def _postings(rows: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``(entry, node, n, rare)``: the index entries of all sets, and whether a set has only rare ones."""
+    """``(entry, node, n)``: the index entries of all sets."""
     shared = rows.sparkSession.sparkContext.broadcast(levels)  # BUCKETS bytes
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, entries, nodes, sizes, kinds, size = set(), [], [], [], [], 0
+        seen, entries, nodes, sizes, size = set(), [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             each = np.array([len(e) for e in entries])
@@ -200,8 +205,7 @@ def _postings(rows: DataFrame, levels: np.ndarray) -> DataFrame:
             offsets = np.arange(len(data) + 1, dtype=np.int32) * 16
             node = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
             entry = pa.array(np.concatenate(entries).view(np.int64))
-            n, rare = (pa.array(np.repeat(np.array(x), each)) for x in (np.array(sizes, np.int32), kinds))
-            return pa.RecordBatch.from_arrays([entry, node, n, rare], names=["entry", "node", "n", "rare"])
+            return pa.RecordBatch.from_arrays([entry, node, pa.array(np.repeat(np.array(sizes, np.int32), each))], names=["entry", "node", "n"])
 
         for batch in batches:
             for text in batch.column("text"):
@@ -214,35 +218,45 @@ def _postings(rows: DataFrame, levels: np.ndarray) -> DataFrame:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(node)
-                own, rare = index_entries(tokens, shared.value)
+                own = index_entries(tokens, shared.value)
                 entries.append(own)
-                kinds.append(rare)
                 nodes.append(node)
                 sizes.append(len(tokens))
                 size += len(own)
                 if size >= FLUSH_ROWS:
                     yield flush()
-                    entries, nodes, sizes, kinds, size = [], [], [], [], 0
+                    entries, nodes, sizes, size = [], [], [], 0
         if entries:
             yield flush()
 
-    return rows.select("text").mapInArrow(read, "entry long, node binary, n int, rare boolean")
+    return rows.select("text").mapInArrow(read, "entry long, node binary, n int")
 
 
 def _first_nodes(postings: DataFrame) -> DataFrame:
     """Every posting but the first node's of its entry, beside that node as ``hub``."""
     order = Window.partitionBy("entry").orderBy("node")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("rare").alias("hub_rare"))).over(running)
+    first = F.first(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"))).over(running)
     rows = postings.withColumn("first", first).withColumn("last", F.lag("node").over(order))
     rows = rows.filter((F.col("node") != F.col("first.hub")) & (F.col("node") != F.col("last")))
-    return rows.select("entry", "node", "n", "rare", "first.*")
+    return rows.select("entry", "node", "n", "first.*")
 
 
-def _sizes_fit(a: str = "n", b: str = "hub_n"):
+def _sizes_fit(a: str = "n", b: str = "hub_n") -> Column:
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
+def _least_shared(a: str = "n", b: str = "hub_n") -> Column:
+    """How many entries two sets that link share at least.
+
+    A prefix has n // 4 + 1 units; every token that the partner lacks costs one at most, and every unit that is left is a
+    shared entry. This holds for the set whose prefix ends first.
+    """
+    common = F.ceil(3 * (F.col(a) + F.col(b)) / 7)
+    units = lambda x: F.floor(F.col(x) / 4) + 1 - (F.col(x) - common)
+    return F.greatest(F.lit(1), F.least(units(a), units(b)))
+
+
 def _linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     known, tokens = None, None
     for ones, others in batches:
@@ -254,11 +268,22 @@ def _linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series(out, dtype=bool)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that link, by their whole sets."""
+def _verified(pairs: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` that link, by their whole sets.
+
+    ``sources`` names, for every node, the id and hash of a text in ``rows``; only texts of the pairs are fetched.
+    """
     compare = F.pandas_udf(_linked, "boolean")
-    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    keys = stored(sources.join(wanted, "node", "left_semi"), "keys")
+    side = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+    texts = rows.join(side, (F.col("text_hash") == F.col("at_hash")) & F.col("id").eqNullSafe(F.col("at_id")))
+    texts = stored(texts.select("node", "text"), "texts")
+    # rows that are equal in id and text give one text
+    once = texts.groupBy("node").agg(F.first("text").alias("text"))
+    first = pairs.join(once.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = first.join(once.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return stored(both.select("a", "b", compare("text_a", "text_b").alias("link")).filter("link").select("a", "b"), "links")
 
 
@@ -280,27 +305,44 @@ def _unresolved(postings: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _possible_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of different components that share enough entries to link."""
-    part = lambda x: postings.select(
-        "entry", *(F.col(c).alias(f"{x}_{c}") for c in ("n", "rare", "node_component")), F.col("node").alias(x), (F.col("node_component") != F.col("main")).alias(f"{x}_outside")
+    """Pairs ``(a, b)`` of different components that share enough entries to link.
+
+    Of the entries that they share, the smallest has at least so many others above it, among the entries of either set.
+    """
+    by_size = Window.partitionBy("node").orderBy(F.col("size").desc(), "entry")
+    ranked = postings.withColumn("above", F.row_number().over(by_size) - 1)
+    part = lambda x: ranked.select(
+        "entry", *(F.col(c).alias(f"{x}_{c}") for c in ("n", "above", "node_component")), F.col("node").alias(x), (F.col("node_component") != F.col("main")).alias(f"{x}_outside")
     )
     # one side outside the main component; if both are, once
     paired = part("a").filter("a_outside").join(part("b"), "entry").filter(
-        (F.col("a_node_component") != F.col("b_node_component")) & (~F.col("b_outside") | (F.col("a") < F.col("b"))) & _sizes_fit("a_n", "b_n")
-    )
-    ends = paired.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        *(F.when(F.col("a") < F.col("b"), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("n", "rare")),
+        (F.col("a_node_component") != F.col("b_node_component")) & (~F.col("b_outside") | (F.col("a") < F.col("b")))
+        & _sizes_fit("a_n", "b_n") & (F.least("a_above", "b_above") + 1 >= _least_shared("a_n", "b_n"))
     )
-    counted = ends.groupBy("a", "b", "a_n", "b_n", "a_rare", "b_rare").agg(F.count("*").alias("shared"))
-    # of a set of rare entries only, what lies beyond its prefix can add so many; the set whose prefix ends first counts
-    beyond = lambda x: F.col(f"{x}_n") - F.floor(F.col(f"{x}_n") / 4) - 1
-    most = (
-        F.when(F.col("a_rare") & F.col("b_rare"), F.greatest(beyond("a"), beyond("b")))
-        .when(F.col("a_rare"), beyond("a")).when(F.col("b_rare"), beyond("b"))
-    )
-    needed = F.ceil(3 * (F.col("a_n") + F.col("b_n")) / 7)
-    return counted.filter(most.isNull() | (F.col("shared") + most >= needed)).select("a", "b")
+    return paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hub_pairs(postings: DataFrame, turn: int) -> DataFrame:
+    """Every node outside its entries' largest components, with the ``NEAREST`` of up to ``HUBS`` nodes of each."""
+    inside = postings.filter(F.col("node_component") == F.col("main"))
+    order = Window.partitionBy("entry").orderBy(F.xxhash64("node", F.lit(turn)))
+    hubs = inside.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= HUBS)
+    hubs = hubs.groupBy("entry").agg(F.collect_list(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("hubs"))
+    outside = postings.filter(F.col("node_component") != F.col("main")).join(hubs, "entry")
+    pairs = outside.select("node", "n", F.explode("hubs").alias("h")).select("node", "n", "h.*").filter(_sizes_fit())
+    counted = pairs.groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    nearest = Window.partitionBy("node").orderBy(F.col("shared").desc(), "hub")
+    return counted.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= NEAREST).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
+def _component_pairs(postings: DataFrame) -> DataFrame:
+    """Every node outside its entries' largest components, with all fitting nodes of the components that it meets."""
+    met = postings.select("entry", F.col("node_component").alias("other")).distinct()
+    outside = postings.filter(F.col("node_component") != F.col("main")).select("entry", "node", "n", "node_component")
+    meets = outside.join(met, "entry").filter("other <> node_component").select("node", "n", "other").distinct()
+    nodes = postings.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("node_component").alias("other")).distinct()
+    pairs = meets.join(nodes, "other").filter(_sizes_fit("n", "b_n"))
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -325,40 +367,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts[counted["bucket"].to_numpy(dtype=np.int64)] = counted["n"]
     left = stored(_first_nodes(_postings(rows, frequency_levels(counts))), "postings")
 
-    # the texts of all nodes that have a candidate, by one row each
-    wanted = left.select("node").unionByName(left.select(F.col("hub").alias("node"))).distinct()
+    # the row that a node's text is read from
     source = members.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("at"))
-    source = source.join(wanted, "node", "left_semi").select("node", F.col("at.id").alias("at_id"), F.col("at.text_hash").alias("at_hash"))
-    texts = rows.join(source, (F.col("text_hash") == F.col("at_hash")) & F.col("id").eqNullSafe(F.col("at_id")))
-    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    source = stored(source.select("node", F.col("at.id").alias("at_id"), F.col("at.text_hash").alias("at_hash")), "sources")
 
-    pairs = left.filter(_sizes_fit()).groupBy("node", "hub").agg(F.count("*").alias("shared"))
+    pairs = left.filter(_sizes_fit()).groupBy("node", "hub", "n", "hub_n").agg(F.count("*").alias("shared"))
+    pairs = pairs.filter(F.col("shared") >= _least_shared())  # others get their turn below
     nearest = pairs.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
     tried = stored(nearest, "nearest")
-    links = [_verified(tried, texts)]
+    links = [_verified(tried, rows, source)]
     components = stored(connected_components(links[0]), "components")
-    columns = ["entry", "node", "n", "rare"]
-    hubs = left.select("entry", F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_rare").alias("rare")).distinct()
-    rest = left.select(*columns).unionByName(hubs)
-    while True:
-        rest = stored(_unresolved(rest, components), "unresolved")
-        cost = rest.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("node_component") != F.col("main"), F.col("size"))).alias("pairs")).first()
+    hubs = left.select("entry", F.col("hub").alias("node"), F.col("hub_n").alias("n")).distinct()
+    rest = left.select("entry", "node", "n").unionByName(hubs)
+    for turn in range(HUB_ROUNDS + 1):
+        rest = stored(_unresolved(rest.select("entry", "node", "n"), components), "unresolved")
+        pairs = F.sum(F.when(F.col("node_component") != F.col("main"), F.col("size")))
+        cost = rest.agg(F.count("*").alias("rows"), pairs.alias("pairs")).first()
         if not cost["rows"]:
             break
         few = cost["pairs"] <= PAIRS_PER_NODE * cost["rows"]
         if few:
             apart = _possible_pairs(rest)
+        elif turn < HUB_ROUNDS:
+            apart = _hub_pairs(rest, turn)
         else:
-            # every pair with the first node of an entry, which then leaves the entry
-            rest = stored(_first_nodes(rest.select(*columns)), "postings")
-            apart = rest.filter(_sizes_fit()).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-            apart = _with_components(apart, components, "a", "b").filter("a_component <> b_component").select("a", "b")
-        apart = stored(apart.join(tried, ["a", "b"], "left_anti"), "apart")
-        links.append(_verified(apart, texts))
+            apart = _component_pairs(rest)
+        links.append(_verified(apart.join(tried, ["a", "b"], "left_anti"), rows, source))
         components = stored(connected_components(_union(links)), "components")
         if few:
             break
-        tried, rest = tried.unionByName(apart), rest.select(*columns)
     membership = _with_components(members, components, "node").withColumnRenamed("node_component", "component")
     return membership, _union(links)
 
