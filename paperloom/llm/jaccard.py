@@ -20,7 +20,7 @@ Links make components; entries whose nodes are all in one component are done. Of
 component of an entry are paired with the entry's other nodes. Two sets that link share a number of entries that their
 sizes tell; so they meet in one that is not among the largest entries of either, and only such meetings count. Where that would be many rows (a large group of near
 copies, some of which are apart from it), those nodes are first compared with a few more nodes of the component, and
-what then is still apart is compared with all nodes of the components that it shares an entry with. So every link
+what then is still apart is compared, in blocks, with all nodes of the components that it shares an entry with. So every link
 between nodes of different components is found, and the components are exact. All comparisons are exact on the whole
 sets.
 
@@ -52,7 +52,9 @@ FREQUENT_FROM = 32
 #: Up to so many pairs per node of the unresolved entries, they are paired entry by entry.
 PAIRS_PER_NODE = 64
 #: Beyond, in so many rounds, nodes apart are compared with the nearest few of some hubs of every entry.
-HUB_ROUNDS, HUBS, NEAREST = 3, 8, 6
+HUB_ROUNDS, HUBS, NEAREST = 2, 8, 6
+#: Nodes of a block when a component is compared as a whole.
+BLOCK = 64
 #: Levels below are quantiles of the rare class, levels from here on are the frequent class.
 FREQUENT = 256
 #: Distinct sets that a task remembers, so as to index copies once.
@@ -268,22 +270,26 @@ def _linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series(out, dtype=bool)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that link, by their whole sets.
+def _texts(nodes: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(node, text)`` of the given nodes.
 
-    ``sources`` names, for every node, the id and hash of a text in ``rows``; only texts of the pairs are fetched.
+    ``sources`` names, for every node, the id and hash of a text in ``rows``.
     """
+    keys = stored(sources.join(nodes, "node", "left_semi"), "keys")
+    side = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+    found = rows.join(side, (F.col("text_hash") == F.col("at_hash")) & F.col("id").eqNullSafe(F.col("at_id")))
+    # rows that are equal in id and text give one text
+    return stored(found.select("node", "text"), "texts").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` that link, by their whole sets; only texts of the pairs are fetched."""
     compare = F.pandas_udf(_linked, "boolean")
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = stored(sources.join(wanted, "node", "left_semi"), "keys")
-    side = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
-    texts = rows.join(side, (F.col("text_hash") == F.col("at_hash")) & F.col("id").eqNullSafe(F.col("at_id")))
-    texts = stored(texts.select("node", "text"), "texts")
-    # rows that are equal in id and text give one text
-    once = texts.groupBy("node").agg(F.first("text").alias("text"))
-    first = pairs.join(once.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(once.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = _texts(wanted, rows, sources)
+    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return stored(both.select("a", "b", compare("text_a", "text_b").alias("link")).filter("link").select("a", "b"), "links")
 
 
@@ -335,14 +341,39 @@ def _hub_pairs(postings: DataFrame, turn: int) -> DataFrame:
     return counted.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= NEAREST).select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
-def _component_pairs(postings: DataFrame) -> DataFrame:
-    """Every node outside its entries' largest components, with all fitting nodes of the components that it meets."""
+def _linked_blocks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The links between the nodes of two blocks of ``(node, text)``."""
+    for left, right in batches:
+        out = []
+        for ones, others in zip(left, right, strict=True):
+            known = [(o["node"], shingle_set(o["text"])) for o in others]
+            out.append([
+                {"a": bytes(one["node"]), "b": bytes(node)}
+                for one in ones for tokens in (shingle_set(one["text"]),)
+                for node, other in known if 4 * min(len(tokens), len(other)) >= 3 * max(len(tokens), len(other)) and linked(tokens, other)
+            ])
+        yield pd.Series(out, dtype=object)
+
+
+def _component_links(postings: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Links of the nodes outside their entries' largest components with all nodes of the components that they meet.
+
+    Both sides are dealt into blocks of ``BLOCK`` nodes, and blocks meet, so that a text travels once per block.
+    """
     met = postings.select("entry", F.col("node_component").alias("other")).distinct()
-    outside = postings.filter(F.col("node_component") != F.col("main")).select("entry", "node", "n", "node_component")
-    meets = outside.join(met, "entry").filter("other <> node_component").select("node", "n", "other").distinct()
-    nodes = postings.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("node_component").alias("other")).distinct()
-    pairs = meets.join(nodes, "other").filter(_sizes_fit("n", "b_n"))
-    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    outside = postings.filter(F.col("node_component") != F.col("main")).select("entry", "node", "node_component")
+    meets = stored(outside.join(met, "entry").filter("other <> node_component").select("node", "other").distinct(), "meets")
+    nodes = postings.select("node", F.col("node_component").alias("other")).distinct().join(meets.select("other").distinct(), "other", "left_semi")
+    texts = _texts(meets.select("node").unionByName(nodes.select("node")).distinct(), rows, sources)
+    order = Window.partitionBy("other").orderBy("node")
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        dealt = side.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+        return dealt.join(texts, "node").groupBy("other", "block").agg(F.collect_list(F.struct("node", "text")).alias(name)).drop("block")
+
+    compare = F.pandas_udf(_linked_blocks, "array<struct<a: binary, b: binary>>")
+    found = blocks(meets, "ones").join(blocks(nodes, "others"), "other").select(F.explode(compare("ones", "others")).alias("x"))
+    return stored(found.select("x.a", "x.b"), "links")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -386,13 +417,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not cost["rows"]:
             break
         few = cost["pairs"] <= PAIRS_PER_NODE * cost["rows"]
-        if few:
-            apart = _possible_pairs(rest)
-        elif turn < HUB_ROUNDS:
-            apart = _hub_pairs(rest, turn)
+        if few or turn < HUB_ROUNDS:
+            apart = _possible_pairs(rest) if few else _hub_pairs(rest, turn)
+            links.append(_verified(apart.join(tried, ["a", "b"], "left_anti"), rows, source))
         else:
-            apart = _component_pairs(rest)
-        links.append(_verified(apart.join(tried, ["a", "b"], "left_anti"), rows, source))
+            links.append(_component_links(rest, rows, source))
         components = stored(connected_components(_union(links)), "components")
         if few:
             break
