@@ -69,12 +69,13 @@ def _regions(lines: Column, fm: Column, pattern: str, caret: bool) -> Column:
 
 def final_notes(defs: Column) -> Column:
     """Last definition of every number, ordered by number."""
-    placed = F.array_sort(F.transform(defs, lambda d, i: F.struct(d["num"].alias("num"), i.alias("i"), d.alias("d"))))
-    return let(
-        placed,
-        lambda p: F.transform(
-            F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1)["num"] != x["num"])), lambda x: x["d"]
-        ),
+    return F.array_sort(
+        F.filter(
+            defs,
+            lambda d, i: ~F.exists(
+                F.slice(defs, i + 2, F.greatest(F.size(defs) - i - 1, F.lit(0))), lambda e: e["num"] == d["num"]
+            ),
+        )
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,41 +20,28 @@ def no_pairs() -> Column:
     return F.array().cast(PAIRS)
 
 
-def _runs(entries: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """``body(firsts, lasts)``: the first and last entry of every key as ``(key, i, value)``, both in key order."""
-    placed = F.array_sort(
-        F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
-    )
-
-    def ends(p: Column) -> Column:
-        firsts = F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["key"] != x["key"]))
-        lasts = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1)["key"] != x["key"]))
-        return let(F.struct(firsts.alias("f"), lasts.alias("l")), lambda r: body(r["f"], r["l"]))
-
-    return let(placed, ends)
-
-
-def _in_order(rows: Column) -> Column:
-    return F.transform(F.array_sort(rows), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+def _keys_before(entries: Column, i: Column) -> Column:
+    return F.slice(entries, F.lit(1), i)
 
 
 def last_wins(entries: Column) -> Column:
     """One entry per key: first position, last value."""
-    return _runs(
+    return let(
         entries,
-        lambda firsts, lasts: _in_order(
-            F.zip_with(firsts, lasts, lambda f, x: F.struct(f["i"].alias("i"), f["key"].alias("key"), x["value"].alias("value")))
+        lambda e: F.transform(
+            first_wins(e),
+            lambda x: F.struct(
+                x["key"].alias("key"),
+                F.element_at(F.filter(e, lambda y: y["key"] == x["key"]), -1)["value"].alias("value"),
+            ),
         ),
     )
 
 
 def first_wins(entries: Column) -> Column:
-    """One entry per key: the first."""
-    return _runs(
+    return let(
         entries,
-        lambda firsts, _: _in_order(
-            F.transform(firsts, lambda f: F.struct(f["i"].alias("i"), f["key"].alias("key"), f["value"].alias("value")))
-        ),
+        lambda e: F.filter(e, lambda x, i: ~F.exists(_keys_before(e, i), lambda y: y["key"] == x["key"])),
     )
 
 
