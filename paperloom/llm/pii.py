@@ -172,20 +172,59 @@ def _date(order: str) -> Callable[[Move, re.Match], str | None]:
     return moved
 
 
-# Patterns of the formats, tried in this order; a value found by one is not looked at by the next.
-FORMATS: list[tuple[str, re.Pattern, Callable[[Move, re.Match], str | None]]] = [
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"), lambda move, m: mixed_radix(move, "email", m[0])),
-    ("secret", re.compile(r"(?i:(?<=token = \")|(?<=token=\")|(?<=key = \")|(?<=key=\"))[0-9A-Za-z_-]{16,}(?=\")"), _secret),
-    ("account", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"), _account),
-    ("card", re.compile(r"(?<![\d.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}(?:(?P=gap)\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"), _card),
-    ("phone", re.compile(r"(?P<country>(?<!\w)\+\d{1,3}[ .-]?)(?P<number>\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4})(?!\d)"), _phone),
-    ("phone", re.compile(r"(?P<country>(?<![\w+]))(?P<number>\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])"), _phone),
+#: Digits of a phone number at most, with those of its country.
+PHONE_DIGITS = 15
+#: A number that is complete as it is written, so that a group after a space is not part of it: three, three and four
+#: digits; or two groups behind an area, the last of four digits; or a last part in one piece.
+COMPLETE = r"(?:\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(?\d{1,4}(?:(?:\)[ .-]?|[ ])\d{3,4}[ .-]|[.-]\d{3,4}[.-])\d{4}|(?:\(?\d{1,4}\)?[ .-]?)?\d{7,14})(?!\d|[.-]\d)"
+#: Any other: two to four groups behind an area; none follows a space once one has followed a point or hyphen.
+GROUPS = r"\(?\d{1,4}\)?(?:(?:(?P<tight>[.-])|(?(tight)(?!)|[ ])|)\d{2,4}){2,4}(?!\d)"
+
+
+class WithCountry:
+    """Phone numbers with a country code, of PHONE_DIGITS digits at most; found like the matches of a pattern."""
+
+    def __init__(self, number: str):
+        self.pattern = re.compile(rf"(?P<country>(?<!\w)\+(?:1(?=[ .-]?\(?\d{{3}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\d))|\d{{1,3}})[ .-]?)(?P<number>{number})")
+
+    def finditer(self, text: str, at: int, end: int) -> Iterator[re.Match]:
+        while m := self.pattern.search(text, at, end):
+            at = m.end()
+            while m and len(only_digits(m[0])) > PHONE_DIGITS:  # without its last group
+                last = re.search(r"\d+\Z", text[m.start() : m.end()])
+                m = self.pattern.match(text, m.start(), m.start() + last.start()) if last else None
+            if m:
+                at = m.end()
+                yield m
+
+
+#: What stands directly behind the sign or code of a country is a phone before it is anything else.
+_COUNTRY = re.compile(r"(?<!\w)\+(?:\d{1,3}[ .-]?)?\Z").search
+
+
+def _apart(change: Callable[[Move, re.Match], str | None]) -> Callable[[Move, re.Match], str | None]:
+    return lambda move, m: None if _COUNTRY(m.string, max(0, m.start() - 5), m.start()) else change(move, m)
+
+
+_OTHERS: list[tuple[str, re.Pattern, Callable[[Move, re.Match], str | None]]] = [
     ("ssn", re.compile(r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])"), _ssn),
     ("ip", re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"), _address),
     ("date", re.compile(r"(?<![\d-])(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{2})(?P=s)(?P<d>\d{2})(?![\d-])"), _date("ymd")),
     ("date", re.compile(r"(?<![\d./])(?P<d>\d{2})(?P<s>[./])(?P<m>\d{2})(?P=s)(?P<y>\d{4})(?![\d/])"), _date("dmy")),
     ("date", re.compile(r"(?<![\d./])(?P<m>\d{2})(?P<s>/)(?P<d>\d{2})/(?P<y>\d{4})(?![\d/])"), _date("mdy")),
 ]
+# Patterns of the formats, tried in this order; each looks only at what those before it have left.
+FORMATS: list[tuple[str, re.Pattern | WithCountry, Callable[[Move, re.Match], str | None]]] = [
+    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"), lambda move, m: mixed_radix(move, "email", m[0])),
+    ("secret", re.compile(r"(?i:(?<=token = \")|(?<=token=\")|(?<=key = \")|(?<=key=\"))[0-9A-Za-z_-]{16,}(?=\")"), _secret),
+    ("account", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"), _account),
+    ("phone", WithCountry(COMPLETE), _phone),
+    ("card", re.compile(r"(?<![\d.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}(?:(?P=gap)\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"), _card),
+    *((kind, pattern, _apart(change)) for kind, pattern, change in _OTHERS),
+    ("phone", WithCountry(rf"{COMPLETE}|{GROUPS}"), _phone),
+    ("phone", re.compile(r"(?P<country>(?<![\w+]))(?P<number>\(\d{3}\) ?\d{3}[ .-]\d{4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])"), _phone),
+    *_OTHERS,
+]
 _SIGN = re.compile("[0-9@]").search
 
 
@@ -200,14 +239,16 @@ class Pseudonymiser:
             return text, []
         taken: list[tuple[int, int, str, str]] = []
         for kind, pattern, change in FORMATS:
-            for m in pattern.finditer(text):
-                if any(m.start() < e and s < m.end() for s, e, _, _ in taken):
-                    continue
-                new = change(self.move, m)
-                if new is not None:
-                    taken.append((m.start(), m.end(), kind, new))
+            found, at = [], 0
+            for start, end in [*((s, e) for s, e, _, _ in taken), (len(text), len(text))]:
+                for m in pattern.finditer(text, at, start):
+                    new = change(self.move, m)
+                    if new is not None:
+                        found.append((m.start(), m.end(), kind, new))
+                at = end
+            taken = sorted(taken + found)
         out, spans, at, size = [], [], 0, 0
-        for start, end, kind, new in sorted(taken):
+        for start, end, kind, new in taken:
             out += [text[at:start], new]
             size += start - at
             spans.append((kind, size, len(new)))

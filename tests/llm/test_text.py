@@ -45,6 +45,29 @@ def test_pseudonyms_keep_format_and_links():
     assert PI.Pseudonymiser(b"other")("240.56.125.154")[0] != act("240.56.125.154")[0]
 
 
+@pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+1 826 555 4081", "+44 20 7946 0958", "+49 30 123456-78", "+33 1 23 45 67 89", "+1 555-4081"])
+def test_phones_end_before_what_follows(phone):
+    act = PI.Pseudonymiser(b"secret")
+    alone = act(phone)[0]
+    assert alone != phone
+    for value, kind in [
+        ("190.137.223.204", "ip"), ("2021-05-04", "date"), ("31.12.1999", "date"), ("12/31/2001", "date"), ("123-45-6789", "ssn"),
+        ("4111 1111 1111 1111", "card"), ("und.34@mail7.example.com", "email"), ("DE89 3704 0044 0532 0130 00", "account"), ("+1 (017) 555-7713", "phone"),
+    ]:
+        out, spans = act(f"{phone} {value} {value}")
+        other = act(value)[0]
+        assert out == f"{alone} {other} {other}" and [s[0] for s in spans] == ["phone", kind, kind]
+
+
+def test_phones_leave_counts_alone():
+    act = PI.Pseudonymiser(b"secret")
+    for phone, rest in [("+1 (826) 555-4081", " 1200 units"), ("+44 20 7946 0958", " 12 units"), ("+49 170 1234567", " 12 units"), ("+49 30 1234-56", " 1200")]:
+        assert act(phone + rest) == (act(phone)[0] + rest, [("phone", 0, len(phone))])
+    for phone in ("+49.30.123.45", "+123-45-6789", "+49 123-45-6789", "+46 8 123 456 78", "+91 98765 43210"):
+        assert act(phone)[1] == [("phone", 0, len(phone))]
+    assert act("+1234567890123456") == ("+1234567890123456", [])
+
+
 def test_pseudonyms_awkward_rows(awkward):
     df = awkward.withColumn("pii", F.lit("mine")).withColumn("made", F.lit(1))
     out = PI.pseudonymise(df, "k").collect()
