@@ -126,6 +126,7 @@ INLINE_MARKS = (
     + r"|(?<!\*)\*[^*\n]+?\*(?!\*)|(?<!\w)_[^_\n]+?_(?!\w)"
 )
 INLINE_MATH = r"(?d)(?<!\$)\$(?!\$)(.+?)(?<!\$)\$(?!\$)"
+DISPLAY_MATH = r"(?d)(?<!\$)\$\$(?!\$)(.+?)(?<!\$)\$\$(?!\$)"
 INLINE_MATH_UNESCAPED = r"(?d)(?<!\$)(?<!\\)\$(?!\$)(.+?)(?<!\$)(?<!\\)\$(?!\$)"
 COLOR_SPAN = r"""(?is)<span\s+style=(['"])(.*?)\1\s*>(.*?)</span>"""
 STYLE_COLOR = r"(?i)color\s*:\s*(#[0-9A-Fa-f]{6})"

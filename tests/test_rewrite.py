@@ -144,3 +144,16 @@ def test_cleaner_before_formatting(corpus):
     c = corpus("본문 시작" + mark("cite", "turn1search0") + " 끝")
     out = G.format_corpus(c, CleanerOptions("auto")).first().text
     assert "\ue200" not in out and "[^1]" in out
+
+
+def test_equations_of_all_parts_of_a_document(corpus):
+    texts = [
+        "| a | b |\n|---|---|\n| $x$ | $y$ and $z$ |\n| 1 | 2 | $extra$ |",
+        "## Growth of $x$\n\n> [NOTE] callout $y$\n> more $z$\n\n- item $u$\n\ntext $v$ and\n$w$",
+        "| h |\n|---|\n| $$x$$ |\n| $5 |\n| $6 |\n\ntext $$y$$ text\n\n$$z$$\n\n$$\nw\n$$",
+        "text\n\n## Sources\n1. old $a$\n2. note $b$ $$c$$\n1. new\n",
+        "```\n$x$ | $y$\n```\n\n| $5 | $6 |\n|---|---|\n\nplain",
+        "",
+    ]
+    got = {r.doc_id: (r.block_equations, r.inline_equations) for r in MA.equation_counts(corpus(*texts)).collect()}
+    assert got == {1: (0, 4), 2: (0, 6), 3: (4, 0), 4: (1, 1), 5: (0, 0), 6: (0, 0)}
