@@ -8,11 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, stored
 
 #: Labelled texts that a classifier is fitted on, and the characters of all of them together, at most.
 SAMPLE_ROWS = 6_000
 SAMPLE_CHARS = 40_000_000
+#: A text of more than this part of the characters of its label is long: those that are not come first.
+LONG = 100
 
 
 def labelled(labels: DataFrame, label: str, id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> DataFrame:
@@ -26,24 +28,43 @@ def training_sample(
 ) -> list[tuple[str, int]]:
     """``(text, y)`` of at most ``limit`` documents of ``known`` ``(id, y)`` with ``chars`` characters together.
 
-    They are the first in the order of a hash of the id. Whole texts are taken; the rows, not the texts, are sampled. Only
-    ids and sizes are shuffled to choose them; the chosen ids, ``limit`` at most, are broadcast to fetch the texts.
+    Each label has the share of both budgets that it has of the documents, and what one leaves goes to the other. Within a
+    label they are the first in the order of a hash of the id, texts of more than a LONG-th of its characters last; one that
+    does not fit is skipped for those behind it. A label of which nothing fits is stood for by its shortest text, the one
+    case that passes ``chars``, so both labels are there if both are known. Whole texts are taken; the rows, not the texts,
+    are sampled. Only ids and sizes are shuffled to choose them; the chosen ids are broadcast to fetch the texts.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     at = F.xxhash64(F.lit("sample"), "id").alias("at")
-    sizes = texts.select("id", F.char_length("text").alias("n")).join(known, "id")
-    chosen, total = {}, 0
-    for r in sizes.select(at, "id", "y", "n").orderBy("at", "id").limit(limit).collect():
-        total += r["n"]
-        if total > chars and chosen:
-            break
-        chosen[r["id"]] = int(r["y"])
+    sizes = texts.select("id", F.char_length("text").alias("n")).join(known, "id").groupBy("id", "y").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    sizes = stored(sizes, "sizes")
+    counts = {r["y"]: r["rows"] for r in sizes.groupBy("y").agg(F.sum("rows").alias("rows")).collect()}
+    shares = {y: (max(1, limit * n // sum(counts.values())), max(1, chars * n // sum(counts.values()))) for y, n in sorted(counts.items())}
+    chosen, left = {}, [limit, chars]
+
+    def take(candidates: list, y: int, rows: int, size: int) -> tuple[int, int]:
+        for r in candidates:
+            if r["id"] not in chosen and r["rows"] <= min(rows, left[0]) and r["n"] <= min(size, left[1]):
+                chosen[r["id"]] = int(y)
+                rows, size = rows - r["rows"], size - r["n"]
+                left[0], left[1] = left[0] - r["rows"], left[1] - r["n"]
+        return rows, size
+
+    found = {}
+    for y, (rows, size) in shares.items():
+        own, long = sizes.filter(F.col("y") == y), F.col("n") * LONG > size
+        found[y] = [r for part in (own.filter(~long), own.filter(long & (F.col("n") <= chars))) for r in part.orderBy(at, "id").limit(limit).collect()]
+        take(found[y], y, rows, size)
+    for y in shares:
+        take(found[y], y, *left)
+    for y in set(shares) - set(chosen.values()):
+        chosen[sizes.filter(F.col("y") == y).orderBy("n", at, "id").first()["id"]] = int(y)
     if not chosen:
         return []
     kind = texts.schema["id"].dataType.simpleString()
     side = docs.sparkSession.createDataFrame(list(chosen.items()), f"id {kind}, y int")
-    found = texts.join(F.broadcast(side), "id").orderBy(at, "id").limit(limit)
-    return [(r["text"], r["y"]) for r in found.select("text", "y").collect()]
+    rows = texts.join(F.broadcast(side), "id").orderBy(at, "id").limit(max(limit, len(shares)))
+    return [(r["text"], r["y"]) for r in rows.select("text", "y").collect()]
 
 
 class Adam:

@@ -32,6 +32,19 @@ def test_area_under_curve():
     assert TR.area_under_curve(np.array([0.5, 0.5, 0.5]), np.array([0, 1, 1])) == 0.5
 
 
+def test_sample_skips_long_texts_and_keeps_both_labels(spark):
+    ids = [r.id for r in spark.range(300).orderBy(F.xxhash64(F.lit("sample"), "id")).collect()]
+    known = spark.createDataFrame([(i, int(k % 10 == 9)) for k, i in enumerate(ids)], "id long, y int")
+    size = lambda k: 50_000 if k == 0 else 9_000 if k < 6 else 20
+    docs = spark.createDataFrame([(i, "x" * size(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+    sample = TR.training_sample(docs, known, chars=10_000)
+    assert len(sample) == 294 and sum(y for _, y in sample) == 30 and sum(len(t) for t, _ in sample) <= 10_000
+    rare = spark.createDataFrame([(i, int(k == 299)) for k, i in enumerate(ids)], "id long, y int")
+    assert sorted(y for _, y in TR.training_sample(docs, rare, limit=20)) == [0] * 19 + [1]
+    first = spark.createDataFrame([(i, int(k == 0)) for k, i in enumerate(ids)], "id long, y int")
+    assert {y for _, y in TR.training_sample(docs, first, chars=10_000)} == {0, 1}
+
+
 def _toxic_rows(n=900):
     rows = []
     for i in range(n):
