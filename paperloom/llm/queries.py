@@ -12,6 +12,7 @@ from . import jaccard as JC
 from . import language as LG
 from . import mixing as MX
 from . import oracles as O
+from . import periodic_runs as PR
 from . import pii as PI
 from . import quality as QU
 from . import token_counts as TC
@@ -121,3 +122,17 @@ def op10_quality(spark, sf_dir):
 def op5_ngram_jaccard(spark, sf_dir):
     membership, _ = JC.jaccard_components(table(spark, sf_dir, "documents"))
     return JC.component_ids(membership).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", PR.rotated_text(F.col("doc_id"), F.col("text")).alias("text"))
+    found = PR.periodic_runs(docs.select("doc_id", "text"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    most = found.withColumn("most", PR.greatest_run(F.col("runs")))
+    return most.select(
+        F.col("row.doc_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "most.start", "most.length", "most.period",
+        F.floor(F.col("most.length") * 1000 / F.col("most.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
