@@ -98,3 +98,47 @@ links AS (
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, least(w.doc_id, coalesce(r.least, w.doc_id)) AS component_id
 FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1) r USING (doc_id)"""
+
+
+def _bit_votes() -> str:
+    return ", ".join(f"sum(weight * ((x{p} >> {k}) & 1)) AS v{p}_{k}" for p in range(4) for k in range(32))
+
+
+def _hex_piece(p: int) -> str:
+    bits = " + ".join(f"CASE WHEN 2 * v{p}_{k} > total THEN {1 << k}::BIGINT ELSE 0 END" for k in range(32))
+    return f"format('{{:08x}}', {bits})"
+
+
+def _likeness(a: str, b: str) -> str:
+    piece = lambda c, p: f"('0x' || {c}[{8 * p + 1}:{8 * p + 8}])::BIGINT"
+    bits = " + ".join(f"bit_count(xor({piece(a, p)}, {piece(b, p)}))" for p in range(4))
+    return f"({bits})"
+
+
+OP12 = rf"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+followed AS (
+  SELECT *, coalesce(lead(doc_id) OVER w, first(doc_id) OVER w) AS next_id, coalesce(lead(text) OVER w, first(text) OVER w) AS next_text
+  FROM docs WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+edits AS (SELECT *, text[1:n - n // 3] || next_text[1:n // 3] AS edited FROM followed),
+texts AS (SELECT doc_id, 0 AS kind, text AS t FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
+words AS (
+  SELECT doc_id, kind, regexp_extract_all(translate(t, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^ 	-]+') AS w FROM texts),
+terms AS (
+  SELECT doc_id, kind, array_to_string(w[p:p + 2], ' ') AS term FROM (
+    SELECT doc_id, kind, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM words WHERE len(w) > 0)),
+cut AS (
+  SELECT doc_id, kind, length(term) AS weight, {", ".join(f"('0x' || h[{8 * p + 1}:{8 * p + 8}])::BIGINT AS x{p}" for p in range(4))}
+  FROM (SELECT *, md5(term) AS h FROM terms)),
+votes AS (SELECT doc_id, kind, sum(weight) AS total, {_bit_votes()} FROM cut GROUP BY 1, 2),
+prints AS (SELECT doc_id, kind, {" || ".join(_hex_piece(p) for p in range(4))} AS fp FROM votes),
+each AS (
+  SELECT e.*, coalesce(a.fp, repeat('0', 32)) AS fp, coalesce(b.fp, repeat('0', 32)) AS efp, coalesce(c.fp, repeat('0', 32)) AS nfp
+  FROM edits e LEFT JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 0 LEFT JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 1
+  LEFT JOIN prints c ON c.doc_id = e.next_id AND c.kind = 0),
+near AS (
+  SELECT q.doc_id, count(*) AS n_near, count(*) FILTER (q.fp = o.fp) AS n_equal
+  FROM each q JOIN each o ON q.doc_id % 50 = 0 AND {_likeness("q.fp", "o.fp")} <= 6 GROUP BY 1)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, efp AS edited_fingerprint,
+  round(greatest(0.0, cos(pi() / 128 * {_likeness("fp", "efp")})), 6) AS near_edited,
+  round(greatest(0.0, cos(pi() / 128 * {_likeness("fp", "nfp")})), 6) AS near_next, n_near, n_equal
+FROM each LEFT JOIN near USING (doc_id)"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat as CH
 from . import decontaminate as DC
 from . import exact_dedup as ED
+from . import fingerprints as FP
 from . import jaccard as JC
 from . import language as LG
 from . import mixing as MX
@@ -136,3 +137,23 @@ def op13_periodic_runs(spark, sf_dir):
         F.floor(F.col("most.length") * 1000 / F.col("most.period")).cast("long").alias("exponent_milli"),
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_fingerprints", O.OP12)
+def op12_fingerprints(spark, sf_dir):
+    rows = FP.edited_fingerprints(table(spark, sf_dir, "documents"))
+    following = rows.select(F.col("k1").alias("next_k1"), F.col("k2").alias("next_k2"), F.col("fingerprint").alias("next_fingerprint"))
+    rows_by = rows.join(following, ["next_k1", "next_k2"])
+    # the search: every document with an id divisible by 50 against all documents
+    index = rows.groupBy("fingerprint").agg(F.sum("n_rows").alias("n"))
+    asked = rows.filter(F.col("id") % 50 == 0)
+    found = FP.near_fingerprints(asked, index).join(index.withColumnRenamed("fingerprint", "near"), "near")
+    near = found.groupBy("fingerprint").agg(F.sum("n").alias("n_near"), F.sum(F.when(F.col("bits") == 0, F.col("n"))).alias("n_equal"))
+    out = rows_by.join(near, "fingerprint", "left").withColumn("is_query", F.coalesce(F.col("id") % 50 == 0, F.lit(False)))
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
+        FP.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        FP.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        *(F.when(F.col("is_query"), F.col(c)).alias(c) for c in ("n_near", "n_equal")),
+        F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))).alias("nth"),
+    ).drop("nth")
