@@ -122,7 +122,8 @@ followed AS (
 edits AS (SELECT *, text[1:n - n // 3] || next_text[1:n // 3] AS edited FROM followed),
 texts AS (SELECT doc_id, 0 AS kind, text AS t FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
 words AS (
-  SELECT doc_id, kind, regexp_extract_all(translate(t, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^ 	-]+') AS w FROM texts),
+  SELECT doc_id, kind, regexp_extract_all(translate(t, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^ 	-
+]+') AS w FROM texts),
 terms AS (
   SELECT doc_id, kind, array_to_string(w[p:p + 2], ' ') AS term FROM (
     SELECT doc_id, kind, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM words WHERE len(w) > 0)),
@@ -142,3 +143,37 @@ SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint,
   round(greatest(0.0, cos(pi() / 128 * {_likeness("fp", "efp")})), 6) AS near_edited,
   round(greatest(0.0, cos(pi() / 128 * {_likeness("fp", "nfp")})), 6) AS near_next, n_near, n_equal
 FROM each LEFT JOIN near USING (doc_id)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    byte = "list_reduce(list_concat([xor(a, b)], range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))"
+    start = f"list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT))"
+    return f"xor(list_reduce({start}, lambda a, b: {byte}), 4294967295)"
+
+
+OP11 = f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, strlen(coalesce(text, '')) AS bytes,
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, d) AS nth FROM turns),
+own AS (SELECT conv_id, list({{'d': d, 'n': bytes}} ORDER BY nth) AS ts FROM numbered GROUP BY 1),
+convs AS (SELECT conv_id, ts, {_crc32("conv_id::VARCHAR")} % 9 AS h, conv_id - conv_id % 5 AS base FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.ts, [])[1:h], c.ts[h + 1:]) AS ts FROM convs c LEFT JOIN own b ON b.conv_id = c.base),
+paths AS (
+  SELECT conv_id, len(ts) AS n, unnest(range(0, len(ts) + 1)) AS depth, ts FROM rebuilt),
+members AS (
+  SELECT conv_id, n, depth, array_to_string(list_transform(ts[1:depth], lambda t: t.d), '') AS path,
+    array_to_string(list_transform(ts[1:depth - 1], lambda t: t.d), '') AS parent, CASE WHEN depth > 0 THEN ts[depth].n ELSE 0 END AS bytes
+  FROM paths),
+nodes AS (
+  SELECT path, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM members GROUP BY 1, 2),
+children AS (SELECT parent AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (path)),
+above AS (SELECT path[1:32 * up] AS top, n_children, (n_convs - 1) * bytes AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted)),
+sums AS (SELECT top AS path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY 1)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN sums USING (path) LEFT JOIN nodes p ON c.depth > 0 AND p.path = c.parent"""

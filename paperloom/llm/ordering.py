@@ -49,3 +49,20 @@ def numbered(ordered: DataFrame, key: str) -> DataFrame:
     rows = ordered.withColumn("part", part())
     joined = rows.join(pieces, (rows["part"] == pieces["part"]) & rows[key].eqNullSafe(pieces["of"])).drop(pieces["part"])
     return joined.withColumn("nth", F.col("at") - F.col("from_at") + F.col("earlier") + 1).drop("part", "of", "from_at", "earlier")
+
+
+def running_before(ordered: DataFrame, key: str, **aggregates: tuple) -> DataFrame:
+    """Rows of ``in_order`` (by ``key`` first) with a combination of all earlier rows of their key, 0 where there is none.
+
+    ``aggregates`` are ``name=(function, combine, column)``: an aggregate function, and how two of its results combine (as a
+    sum or ``bit_xor``). Only one row per key and part meets the others of its key.
+    """
+    rows = ordered.withColumn("part", part())
+    inside = Window.partitionBy("part", key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({n: F.coalesce(f(c).over(inside), F.lit(0)) for n, (f, _, c) in aggregates.items()})
+    pieces = ordered.groupBy(part().alias("part"), F.col(key).alias("of")).agg(*(f(c).alias(f"{n}_earlier") for n, (f, _, c) in aggregates.items()))
+    before = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = {f"{n}_earlier": F.coalesce(f(f"{n}_earlier").over(before), F.lit(0)) for n, (f, _, _) in aggregates.items()}
+    pieces = pieces.withColumns(earlier)
+    joined = rows.join(pieces, (rows["part"] == pieces["part"]) & rows[key].eqNullSafe(pieces["of"])).drop(pieces["part"])
+    return joined.withColumns({n: combine(F.col(n), F.col(f"{n}_earlier")) for n, (_, combine, _) in aggregates.items()}).drop("part", "of", *earlier)

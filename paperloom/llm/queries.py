@@ -15,6 +15,7 @@ from . import mixing as MX
 from . import oracles as O
 from . import periodic_runs as PR
 from . import pii as PI
+from . import prefix_trie as PT
 from . import quality as QU
 from . import token_counts as TC
 from . import toxicity as TX
@@ -157,3 +158,9 @@ def op12_fingerprints(spark, sf_dir):
         *(F.when(F.col("is_query"), F.col(c)).alias(c) for c in ("n_near", "n_equal")),
         F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))).alias("nth"),
     ).drop("nth")
+
+
+@query("op11_prefix_trie", O.OP11)
+def op11_prefix_trie(spark, sf_dir):
+    turns = PT.numbered_turns(table(spark, sf_dir, "conversations"))
+    return PT.prefix_trie(*PT.with_shared_starts(turns))
