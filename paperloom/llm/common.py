@@ -27,13 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``scratch`` collects the paths of tables that nothing needs once the result is written (see ``discard``).
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete stored tables by Hadoop's file system, whatever store the shared folder is in."""
+    for name in scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    scratch.clear()
+
+
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
     """The whole row as one struct ``row`` beside named working columns, so no column of the user's can clash."""
     return df.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in columns.items()))

@@ -21,16 +21,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """``(node, component)`` for every end of ``links`` ``(a, b)``; the component is its least node."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = stored(edges, "edges"), None
+    edges, before = stored(edges, "edges", scratch), None
     while True:
         # every node linked to one smaller node that is itself linked to nothing smaller: stars, nothing moves any more
         state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")).first()
         if state == before or not state["n"]:
             break
         before = state
-        edges = stored(_star(_star(edges, True), False), "edges")
+        edges = stored(_star(_star(edges, True), False), "edges", scratch)
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -1,63 +1,62 @@
 """Jaccard join on word shingles with token-combination prefixes.
 
 A document is the set of its distinct five-word shingles ("tokens"). Two sets link when 100 * intersection >= 75 *
-union. Candidates come from an index on prefixes: tokens are put in one order for all sets, by frequency level and then
-by hash. A set of n tokens can miss at most n // 4 of them in a partner, so it suffices to index a prefix that has one
-unit more than that:
-
-* a token of the rare class is one unit and is indexed alone;
-* tokens of the frequent class are dealt by a hash into parts; m tokens of a part are m - 1 units, and their pairs are
-  indexed (if m - 1 of them are lost there may be no common pair, if fewer are lost there is). The prefix is extended
-  until it has the units. The number of parts follows the size class of the set (sizes within 4/3), and a set is indexed
-  under its own class and the next, so that two sets that can link always share a class.
-
-Frequency levels come from counts of all tokens in ``BUCKETS`` hash buckets: quantiles for the rare class, doublings for
-the frequent. They steer cost only: any order that is the same for all sets finds every link.
-
-Sets that are equal are one node. Every node is first compared with one hub, the first node of the index entries that it
-shares with most others, so that a group of thousands of near copies costs a comparison per member, not one per pair.
-Links make components; entries whose nodes are all in one component are done. Of what remains, nodes outside the largest
-component of an entry are paired with the entry's other nodes. Two sets that link share a number of entries that their
-sizes tell; so they meet in one that is not among the largest entries of either, and only such meetings count. Where that would be many rows (a large group of near
-copies, some of which are apart from it), those nodes are first compared with a few more nodes of the component, and
-what then is still apart is compared, in blocks, with all nodes of the components that it shares an entry with. So every link
-between nodes of different components is found, and the components are exact. All comparisons are exact on the whole
-sets.
+union. Sets that are equal are one node. A set of n tokens can miss at most n // 4 of them in a partner, and nothing but
+this is used to leave anything out, so no link is lost:
+
+* **First counts.** Of the ``n // 4 + t`` tokens of least hash, t = n // 6, a partner has t. So only these tokens are
+  dealt out and sorted, and a node stays when enough of them occur in another node. Most documents have no partner and
+  end here.
+* **Exact frequencies.** For the nodes that stay all tokens are counted exactly, among those nodes. Tokens are put in one
+  order for all sets: by frequency, then by hash. Tokens of frequency 1 meet nothing; they come first, and a set with
+  more than n // 4 of them has no prefix left.
+* **Index.** The prefix has ``n // 4 + 1`` units. A token of the rare class is a unit and is indexed alone. Tokens of
+  more frequent classes are indexed in combinations of k (two, then three): they are dealt by a hash into parts, and m
+  tokens of a part are m - k + 1 units (if fewer of them are missing, k of them are common). The prefix is extended until
+  it has the units. The number of parts follows the size class of the set (bounds a factor 4/3 apart), and a set is
+  indexed under its own class and the next, so that two sets that can link always share a class.
+* **Verification.** Nodes that share an entry of at most ``LIGHT`` nodes are paired; of such a pair, both sets must share
+  as many entries as their sizes demand, and then the sets are compared. Larger entries (groups of hundreds of near copies,
+  passages that hundreds of documents hold) are not paired: their nodes are dealt into blocks of similar nodes, and blocks
+  that share an entry are compared as matrices, which costs a table row per block pair and not per pair. A first round
+  compares every block with itself and with one of its group; blocks that are then in one component as a whole are never
+  compared with each other in the second round.
+
+So a frequent passage costs combinations, a hub is in no join as such, and only links that span their blocks are written.
+Links make components. All comparisons are exact on the whole sets.
 
 Defined cases: a text of fewer than five words is one shingle; null texts and texts without words have no shingle and
 link with nothing; ids may be null (never a component's id) or repeat; equal rows share a component; texts of any length
-are used whole; an empty table gives an empty result; the user's other columns are carried along.
+are used whole; an empty table gives an empty result. ``near_dedup`` carries the user's other columns along, whatever
+their names; ``jaccard_components`` reads none of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored
+from .common import discard, packed, stored
 from .components import connected_components
 
 SHINGLE = 5
-#: Hash buckets in which tokens are counted: a table of fixed size.
-BUCKETS = 1 << 18
-#: A bucket is frequent beyond twice the mean count and this.
-FREQUENT_FROM = 32
-#: Up to so many pairs per node of the unresolved entries, they are paired entry by entry.
-PAIRS_PER_NODE = 64
-#: Beyond, in so many rounds, nodes apart are compared with the nearest few of some hubs of every entry.
-HUB_ROUNDS, HUBS, NEAREST = 2, 8, 6
-#: Nodes of a block when a component is compared as a whole.
-BLOCK = 64
-#: Levels below are quantiles of the rare class, levels from here on are the frequent class.
-FREQUENT = 256
-#: Distinct sets that a task remembers, so as to index copies once.
+#: The first counts take n // 4 + n // EXTRA tokens of a set.
+EXTRA = 6
+#: Tokens of more than so many nodes are indexed in combinations of two, three, ...
+CLASS_FROM = (64, 2048)
+#: Entries of at most so many nodes are paired, larger ones are compared in blocks.
+LIGHT = 64
+#: Tokens of a block, and nodes at most; columns of a matrix.
+BLOCK_TOKENS, BLOCK_NODES, COLUMNS = 1 << 18, 256, 1 << 13
+#: Distinct sets that a task remembers, so as to deal out copies once.
 REMEMBERED = 100_000
 #: Up to so many keys (about 60 bytes each) are broadcast to fetch texts; beyond, keys and texts are shuffled.
 MAX_BROADCAST_KEYS = 200_000
@@ -97,158 +96,192 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(both and 100 * both >= 75 * (len(a) + len(b) - both))
 
 
-def bucket_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - 18)).astype(np.int64)
+def parts_of(size_class: int) -> int:
+    """Into how many parts the tokens of a class are dealt under a size class; 0: they are indexed alone."""
+    return int(BOUNDS[max(size_class - 1, 0)]) // 6
 
 
-def frequency_levels(counts: np.ndarray) -> np.ndarray:
-    """The level of every bucket: its quantile among the rare ones, or FREQUENT and the doublings of the mean count."""
-    mean = counts.sum() / max(np.count_nonzero(counts), 1)
-    frequent = counts > 2 * mean + FREQUENT_FROM
-    bounds = np.quantile(counts[counts > 0], np.linspace(0, 1, FREQUENT)[1:-1]) if counts.any() else np.zeros(1)
-    doublings = np.log2(np.maximum(counts, 1) / max(mean, 1)).astype(np.int64)
-    return np.where(frequent, FREQUENT + np.maximum(doublings, 0), np.searchsorted(bounds, counts)).astype(np.uint16)
+def size_class(n: int | np.ndarray) -> int | np.ndarray:
+    return np.searchsorted(BOUNDS, n, side="right") - 1
 
 
-def parts_of(size_class: int) -> int:
-    """Into how many parts the frequent tokens are dealt under a size class; 0: they are indexed alone."""
-    return int(BOUNDS[max(size_class - 1, 0)]) // 6
+def first_tokens(tokens: np.ndarray) -> np.ndarray:
+    """Those of a set that the first counts take."""
+    n = len(tokens)
+    return tokens[: n // 4 + max(n // EXTRA, 1)]
 
 
-def index_entries(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The index entries (64-bit hashes) of a sorted set of tokens."""
-    n = len(tokens)
-    if not n:
-        return tokens
-    need = n // 4 + 1
-    level = levels[bucket_of(tokens)]
-    order = np.argsort(level, kind="stable")  # within a level by hash, as the set is sorted
-    n_rare = int(np.count_nonzero(level < FREQUENT))
-    if n_rare >= need:
-        return tokens[order[:need]]
-    rare, frequent = tokens[order[:n_rare]], tokens[order[n_rare:]]
-    need -= n_rare
-    own = int(np.searchsorted(BOUNDS, n, side="right")) - 1
-    dealt, reach = {}, 0
+def least_common(n: Column) -> Column:
+    """How many of a set's first tokens are in another node if it has a partner: the partner may be the smaller one."""
+    t = lambda x: F.greatest(F.lit(1), F.floor(x / EXTRA))
+    return F.least(t(n), t(F.ceil(n * 3 / 4)))
+
+
+def index_entries(tokens: np.ndarray, frequency: np.ndarray, n: int) -> np.ndarray:
+    """The index entries (64-bit hashes) of a set of ``n`` tokens, of which ``tokens`` occur in other sets as well."""
+    need = n // 4 + 1 - (n - len(tokens))
+    if need <= 0:
+        return np.zeros(0, np.uint64)
+    order = np.lexsort((tokens, frequency))
+    tokens, combined = tokens[order], 1 + np.searchsorted(CLASS_FROM, frequency[order])  # in combinations of so many
+    own = int(size_class(n))
+    dealt, reach = [], 0
     for c in (own, own + 1):
-        m = parts_of(c)
+        m, part, units = parts_of(c), np.zeros(len(tokens), np.int64), np.ones(len(tokens), np.int64)
         if m:
-            part = (_mix(frequent ^ np.uint64(c)) % np.uint64(m)).astype(np.int64)
-            units = np.ones(len(frequent), np.int64)
-            units[np.unique(part, return_index=True)[1]] = 0
-        else:
-            part, units = None, np.ones(len(frequent), np.int64)
-        dealt[c] = part
-        reach = max(reach, int(np.searchsorted(np.cumsum(units), need)) + 1)
-    found = [rare]
-    for c, part in dealt.items():
-        chosen = frequent[:reach]
-        if part is None:
-            found.append(_mix(chosen + np.uint64(c + 1)))
-            continue
-        by = np.argsort(part[:reach], kind="stable")
-        chosen, part = chosen[by], part[:reach][by]
-        for gap in range(1, len(chosen)):
-            same = part[gap:] == part[:-gap]
-            if not same.any():
-                break
-            a, b = chosen[:-gap][same], chosen[gap:][same]
-            # the order of the two within a pair must not depend on the set
-            found.append(_mix(_mix(np.minimum(a, b) + np.uint64(c)) ^ np.maximum(a, b)))
-    return np.concatenate(found)
-
-
-MEMBERS = "id {kind}, text_hash long, node binary, n long, bucket int, count long"
+            part = (_mix(tokens ^ np.uint64(c)) % np.uint64(m)).astype(np.int64)
+            for k in np.unique(combined[combined > 1]):
+                of = np.flatnonzero(combined == k)
+                by = of[np.argsort(part[of], kind="stable")]
+                begins = np.concatenate([[0], np.flatnonzero(np.diff(part[by])) + 1])
+                place = np.arange(len(by)) - np.repeat(begins, np.diff(np.append(begins, len(by))))
+                units[by[place < k - 1]] = 0
+        dealt.append((c, m, part))
+        reach = max(reach, min(int(np.searchsorted(np.cumsum(units), need)) + 1, len(tokens)))
+    alone = combined == 1
+    found = [tokens[:reach][alone[:reach]]]
+    for c, m, part in dealt:
+        for k in np.unique(combined[:reach][~alone[:reach]]):
+            of = np.flatnonzero(combined[:reach] == k)
+            if not m:
+                found.append(_mix(tokens[of] + np.uint64(c + 1)))
+                continue
+            groups: dict[int, list] = {}
+            for at in of:
+                groups.setdefault(int(part[at]), []).append(tokens[at])
+            several = [pair for g in groups.values() if len(g) >= k for pair in itertools.combinations(sorted(g), int(k))]
+            if several:
+                x = np.array(several, np.uint64)
+                h = np.full(len(x), (c << 2) + int(k), np.uint64)
+                for column in x.T:
+                    h = _mix(_mix(h ^ column) * np.uint64(0x9E3779B97F4A7C15))
+                found.append(h)
+    return np.unique(np.concatenate(found))
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """One pass over ``(id, text_hash, text)``: a row per document, and rows with a task's counts per bucket."""
+    """``(id, text_hash, node, key, n)``: one pass over ``(id, text_hash, text)``; key is half of node, as a number."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, schema = np.zeros(BUCKETS, np.int64), set(), None
         for batch in batches:
-            nodes, sizes = [], []
-            for text in batch.column("text"):
-                tokens = shingle_set(text.as_py())
-                node = set_digest(tokens) if len(tokens) else None
-                nodes.append(node)
-                sizes.append(len(tokens))
-                if node and node not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(node)
-                    counts += np.bincount(bucket_of(tokens), minlength=BUCKETS) if len(tokens) > BUCKETS // 8 else 0
-                    if len(tokens) <= BUCKETS // 8:
-                        np.add.at(counts, bucket_of(tokens), 1)
-            schema = pa.schema([("id", batch.schema.field("id").type), ("text_hash", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("bucket", pa.int32()), ("count", pa.int64())])
-            none = pa.nulls(len(nodes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema
-            )
-        if schema is not None:
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), f.type) for f in schema][:4] + [pa.array(at.astype(np.int32)), pa.array(counts[at])], schema=schema
-            )
-
-    return rows.mapInArrow(read, MEMBERS.format(kind=rows.schema["id"].dataType.simpleString()))
-
-
-def _postings(rows: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``(entry, node, n)``: the index entries of all sets."""
-    shared = rows.sparkSession.sparkContext.broadcast(levels)  # BUCKETS bytes
+            sets = [shingle_set(text.as_py()) for text in batch.column("text")]
+            nodes = [set_digest(s) if len(s) else None for s in sets]
+            columns = [
+                batch.column("id"), batch.column("text_hash"), pa.array(nodes, pa.binary()),
+                pa.array([_key(x) if x else None for x in nodes], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "key", "n"])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, entries, nodes, sizes, size = set(), [], [], [], 0
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(read, f"id {kind}, text_hash long, node binary, key long, n long")
+
+
+def _key(node: bytes) -> int:
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
+def _first_counts(rows: DataFrame) -> DataFrame:
+    """``(key, common)``: how many of a node's first tokens other nodes have among theirs.
+
+    Keys that fall together only raise the counts, so that a node may stay in vain.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, tokens, keys, size = set(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            each = np.array([len(e) for e in entries])
-            data = np.repeat(np.frombuffer(b"".join(nodes), np.uint8).reshape(-1, 16), each, axis=0)
-            offsets = np.arange(len(data) + 1, dtype=np.int32) * 16
-            node = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-            entry = pa.array(np.concatenate(entries).view(np.int64))
-            return pa.RecordBatch.from_arrays([entry, node, pa.array(np.repeat(np.array(sizes, np.int32), each))], names=["entry", "node", "n"])
+            each = np.repeat(np.array(keys, np.int64), [len(t) for t in tokens])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(each)], names=["token", "key"])
 
         for batch in batches:
             for text in batch.column("text"):
-                tokens = shingle_set(text.as_py())
-                if not len(tokens):
+                own = shingle_set(text.as_py())
+                if not len(own):
                     continue
-                node = set_digest(tokens)
-                if node in seen:
+                key = _key(set_digest(own))
+                if key in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
-                seen.add(node)
-                own = index_entries(tokens, shared.value)
-                entries.append(own)
-                nodes.append(node)
-                sizes.append(len(tokens))
-                size += len(own)
+                seen.add(key)
+                tokens.append(first_tokens(own))
+                keys.append(key)
+                size += len(tokens[-1])
                 if size >= FLUSH_ROWS:
                     yield flush()
-                    entries, nodes, sizes, size = [], [], [], 0
-        if entries:
+                    tokens, keys, size = [], [], 0
+        if tokens:
             yield flush()
 
-    return rows.select("text").mapInArrow(read, "entry long, node binary, n int")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come in order of token and key; the last one waits for what follows it
+        token, key, known = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                token = np.concatenate([token, batch.column("token").to_numpy()])
+                key = np.concatenate([key, batch.column("key").to_numpy()])
+            if not len(token):
+                continue
+            first = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])])
+            token, key = token[first], key[first]
+            same = token[1:] == token[:-1]
+            common = np.concatenate([[known], same]) | np.concatenate([same, [False]])
+            end = len(token) if batch is None else len(token) - 1
+            keys, counts = np.unique(key[:end][common[:end]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "common"])
+            token, key, known = token[end:], key[end:], bool(common[-1])
+
+    dealt = rows.select("text").mapInArrow(deal, "token long, key long")
+    sorted_tokens = dealt.repartition("token").sortWithinPartitions("token", "key")
+    return sorted_tokens.mapInArrow(count, "key long, common long").groupBy("key").agg(F.sum("common").alias("common"))
+
+
+def _sets(staying: DataFrame, rows: DataFrame, scratch: list[str]) -> DataFrame:
+    """``(sid, node, n, tokens)`` of the nodes ``(node, at_id, at_hash)``: a number for each, and its whole set."""
+    keys = stored(staying, "keys", scratch)
+    side = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+    found = rows.join(side, (F.col("text_hash") == F.col("at_hash")) & F.col("id").eqNullSafe(F.col("at_id"))).select("node", "text")
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py()).view(np.int64) for text in batch.column("text")]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            tokens = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(sets) if sets else [])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes), tokens], names=["node", "n", "tokens"])
+
+    whole = found.mapInArrow(read, "node binary, n long, tokens array<long>")
+    # rows that are equal in id and text give one set
+    one = whole.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    return stored(one.withColumn("sid", F.monotonically_increasing_id()), "sets", scratch)
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    """``(entry, sid, n)``: the index entries of all sets, by the exact frequencies of their tokens."""
+    each = sets.select("sid", F.explode("tokens").alias("token"))
+    frequent = each.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
+    known = each.join(frequent, "token").groupBy("sid").agg(F.collect_list(F.struct("token", "f")).alias("common"))  # of one set
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common, sizes = batch.column("common"), batch.column("n").to_numpy()
+            values, ends = common.flatten(), np.cumsum([len(x) for x in common])
+            tokens, frequency = (values.field(c).to_numpy(zero_copy_only=False) for c in ("token", "f"))
+            begins = np.concatenate([[0], ends[:-1]])
+            entries = [index_entries(tokens[a:b].view(np.uint64), frequency[a:b], int(n)) for a, b, n in zip(begins, ends, sizes, strict=True)]
+            each = [len(e) for e in entries]
+            columns = [
+                np.concatenate(entries).view(np.int64) if entries else np.zeros(0, np.int64), np.repeat(batch.column("sid").to_numpy(), each), np.repeat(sizes, each),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["entry", "sid", "n"])
 
-def _first_nodes(postings: DataFrame) -> DataFrame:
-    """Every posting but the first node's of its entry, beside that node as ``hub``."""
-    order = Window.partitionBy("entry").orderBy("node")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"))).over(running)
-    rows = postings.withColumn("first", first).withColumn("last", F.lag("node").over(order))
-    rows = rows.filter((F.col("node") != F.col("first.hub")) & (F.col("node") != F.col("last")))
-    return rows.select("entry", "node", "n", "first.*")
+    return known.join(sets.select("sid", "n"), "sid").select("sid", "n", "common").mapInArrow(read, "entry long, sid long, n long")
 
 
-def _sizes_fit(a: str = "n", b: str = "hub_n") -> Column:
+def _sizes_fit(a: str = "a_n", b: str = "b_n") -> Column:
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
-def _least_shared(a: str = "n", b: str = "hub_n") -> Column:
+def _least_shared(a: str = "a_n", b: str = "b_n") -> Column:
     """How many entries two sets that link share at least.
 
     A prefix has n // 4 + 1 units; every token that the partner lacks costs one at most, and every unit that is left is a
@@ -260,127 +293,126 @@ def _least_shared(a: str = "n", b: str = "hub_n") -> Column:
 
 
 def _linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    known, tokens = None, None
     for ones, others in batches:
-        out = []
-        for one, other in zip(ones, others, strict=True):
-            if other != known:  # rows of a hub follow each other
-                known, tokens = other, shingle_set(other)
-            out.append(linked(shingle_set(one), tokens))
-        yield pd.Series(out, dtype=bool)
-
-
-def _texts(nodes: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """``(node, text)`` of the given nodes.
-
-    ``sources`` names, for every node, the id and hash of a text in ``rows``.
-    """
-    keys = stored(sources.join(nodes, "node", "left_semi"), "keys")
-    side = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
-    found = rows.join(side, (F.col("text_hash") == F.col("at_hash")) & F.col("id").eqNullSafe(F.col("at_id")))
-    # rows that are equal in id and text give one text
-    return stored(found.select("node", "text"), "texts").groupBy("node").agg(F.first("text").alias("text"))
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that link, by their whole sets; only texts of the pairs are fetched."""
+        yield pd.Series([linked(np.asarray(a), np.asarray(b)) for a, b in zip(ones, others, strict=True)], dtype=bool)
+
+
+def _light_links(postings: DataFrame, sets: DataFrame, scratch: list[str]) -> DataFrame:
+    """Links ``(a, b)`` of nodes that share an entry of at most ``LIGHT`` nodes."""
+    part = lambda x: postings.select("entry", F.col("sid").alias(x), F.col("n").alias(f"{x}_n"))
+    met = part("a").join(part("b"), "entry").filter((F.col("a") < F.col("b")) & _sizes_fit())
+    # a pair that shares a larger entry as well may fail this and is found there
+    enough = met.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared")).filter(F.col("shared") >= _least_shared())
+    pairs = stored(enough.select("a", "b"), "pairs", scratch)
+    tokens = lambda x: sets.select(F.col("sid").alias(x), F.col("tokens").alias(f"{x}_tokens"))
+    both = pairs.join(tokens("a"), "a").join(tokens("b"), "b")
     compare = F.pandas_udf(_linked, "boolean")
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = _texts(wanted, rows, sources)
-    first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(both.select("a", "b", compare("text_a", "text_b").alias("link")).filter("link").select("a", "b"), "links")
-
-
-def _with_components(rows: DataFrame, components: DataFrame, *columns: str) -> DataFrame:
-    for c in columns:
-        own = components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-        rows = rows.join(own, c, "left").withColumn(f"{c}_component", F.coalesce(f"{c}_component", c))
-    return rows
-
-
-def _unresolved(postings: DataFrame, components: DataFrame) -> DataFrame:
-    """The postings of entries with more than one component, with ``size`` and largest component (``main``) of the entry."""
-    known = _with_components(postings, components, "node")
-    per = known.groupBy("entry", "node_component").agg(F.count("*").alias("k"))
-    entries = per.groupBy("entry").agg(
-        F.sum("k").alias("size"), F.max("k").alias("main_size"), F.max_by("node_component", "k").alias("main")
-    ).filter("size > main_size")
-    return known.join(entries, "entry")
+    return stored(both.select("a", "b", compare("a_tokens", "b_tokens").alias("link")).filter("link").select("a", "b"), "links", scratch)
 
 
-def _possible_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of different components that share enough entries to link.
+def spanning_links(ones: list[np.ndarray], others: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """Links between the sets of two blocks (or within one), as many as span their components.
 
-    Of the entries that they share, the smallest has at least so many others above it, among the entries of either set.
+    Places in ``others`` follow those in ``ones``. Intersections are products of 0/1 matrices, some columns at a time.
     """
-    by_size = Window.partitionBy("node").orderBy(F.col("size").desc(), "entry")
-    ranked = postings.withColumn("above", F.row_number().over(by_size) - 1)
-    part = lambda x: ranked.select(
-        "entry", *(F.col(c).alias(f"{x}_{c}") for c in ("n", "above", "node_component")), F.col("node").alias(x), (F.col("node_component") != F.col("main")).alias(f"{x}_outside")
-    )
-    # one side outside the main component; if both are, once
-    paired = part("a").filter("a_outside").join(part("b"), "entry").filter(
-        (F.col("a_node_component") != F.col("b_node_component")) & (~F.col("b_outside") | (F.col("a") < F.col("b")))
-        & _sizes_fit("a_n", "b_n") & (F.least("a_above", "b_above") + 1 >= _least_shared("a_n", "b_n"))
-    )
-    return paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _hub_pairs(postings: DataFrame, turn: int) -> DataFrame:
-    """Every node outside its entries' largest components, with the ``NEAREST`` of up to ``HUBS`` nodes of each."""
-    inside = postings.filter(F.col("node_component") == F.col("main"))
-    order = Window.partitionBy("entry").orderBy(F.xxhash64("node", F.lit(turn)))
-    hubs = inside.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= HUBS)
-    hubs = hubs.groupBy("entry").agg(F.collect_list(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("hubs"))
-    outside = postings.filter(F.col("node_component") != F.col("main")).join(hubs, "entry")
-    pairs = outside.select("node", "n", F.explode("hubs").alias("h")).select("node", "n", "h.*").filter(_sizes_fit())
-    counted = pairs.groupBy("node", "hub").agg(F.count("*").alias("shared"))
-    nearest = Window.partitionBy("node").orderBy(F.col("shared").desc(), "hub")
-    return counted.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= NEAREST).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-
-
-def _linked_blocks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The links between the nodes of two blocks of ``(node, text)``."""
+    sets = [*ones, *(others or [])]
+    sizes, n_ones = np.array([len(s) for s in sets]), len(ones)
+    column, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    number = np.concatenate([[0], np.cumsum(column[1:] != column[:-1])])
+    in_ones = np.bincount(number[row < n_ones], minlength=number[-1] + 1)
+    in_others = np.bincount(number, minlength=number[-1] + 1) - in_ones
+    useful = (in_ones > 0) & (in_others > 0) if others is not None else in_ones > 1
+    number, row = (np.cumsum(useful) - 1)[number[useful[number]]], row[useful[number]]
+    common = np.zeros((n_ones, len(sets)), np.float32)
+    for begin in range(0, int(useful.sum()), COLUMNS):
+        a, b = np.searchsorted(number, [begin, begin + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[a:b], number[a:b] - begin] = 1
+        common += held[:n_ones] @ held.T
+    union = sizes[:n_ones, None] + sizes[None, :] - common
+    near = np.zeros((len(sets), len(sets)), bool)
+    near[:n_ones] = (common > 0) & (100 * common >= 75 * union)
+    if others is not None:
+        near[:n_ones, :n_ones] = False
+    near |= near.T
+    np.fill_diagonal(near, False)
+    found, unseen = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        todo = [start] if unseen[start] else []
+        unseen[start] = False
+        while todo:
+            at = todo.pop()
+            following = np.flatnonzero(near[at] & unseen)
+            unseen[following] = False
+            found += [(at, int(k)) for k in following]
+            todo += following.tolist()
+    return found
+
+
+def _block_links(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         out = []
         for ones, others in zip(left, right, strict=True):
-            known = [(o["node"], shingle_set(o["text"])) for o in others]
-            out.append([
-                {"a": bytes(one["node"]), "b": bytes(node)}
-                for one in ones for tokens in (shingle_set(one["text"]),)
-                for node, other in known if 4 * min(len(tokens), len(other)) >= 3 * max(len(tokens), len(other)) and linked(tokens, other)
-            ])
+            nodes = [*ones, *(others if others is not None else [])]
+            sets = [np.asarray(x["tokens"]) for x in nodes]
+            links = spanning_links(sets[: len(ones)], None if others is None else sets[len(ones) :])
+            out.append([{"a": nodes[i]["sid"], "b": nodes[j]["sid"]} for i, j in links])
         yield pd.Series(out, dtype=object)
 
 
-def _component_links(postings: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Links of the nodes outside their entries' largest components with all nodes of the components that they meet.
-
-    Both sides are dealt into blocks of ``BLOCK`` nodes, and blocks meet, so that a text travels once per block.
-    """
-    met = postings.select("entry", F.col("node_component").alias("other")).distinct()
-    outside = postings.filter(F.col("node_component") != F.col("main")).select("entry", "node", "node_component")
-    meets = stored(outside.join(met, "entry").filter("other <> node_component").select("node", "other").distinct(), "meets")
-    nodes = postings.select("node", F.col("node_component").alias("other")).distinct().join(meets.select("other").distinct(), "other", "left_semi")
-    texts = _texts(meets.select("node").unionByName(nodes.select("node")).distinct(), rows, sources)
-    order = Window.partitionBy("other").orderBy("node")
-
-    def blocks(side: DataFrame, name: str) -> DataFrame:
-        dealt = side.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-        return dealt.join(texts, "node").groupBy("other", "block").agg(F.collect_list(F.struct("node", "text")).alias(name)).drop("block")
-
-    compare = F.pandas_udf(_linked_blocks, "array<struct<a: binary, b: binary>>")
-    found = blocks(meets, "ones").join(blocks(nodes, "others"), "other").select(F.explode(compare("ones", "others")).alias("x"))
-    return stored(found.select("x.a", "x.b"), "links")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _class_of(n: str) -> Column:
+    """The size class, for the bounds in ``BOUNDS``."""
+    return F.size(F.filter(F.array(*(F.lit(int(b)) for b in BOUNDS)), lambda b: b <= F.col(n)))
+
+
+def _compared_blocks(pairs: DataFrame, blocks: DataFrame, scratch: list[str]) -> DataFrame:
+    """Links between the nodes of the blocks in ``pairs`` ``(one, other)``; other is null where a block meets itself."""
+    of = lambda name, x: blocks.select(F.col("block").alias(name), F.col("nodes").alias(x))
+    both = pairs.join(of("one", "ones"), "one").join(of("other", "others"), "other", "left")
+    compare = F.pandas_udf(_block_links, "array<struct<a: long, b: long>>")
+    found = both.repartition("one", "other").select(F.explode(compare("ones", "others")).alias("x"))
+    return stored(found.select(F.least("x.a", "x.b").alias("a"), F.greatest("x.a", "x.b").alias("b")), "links", scratch)
+
+
+def _dealt(nodes: DataFrame, sets: DataFrame, by: list[str], scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``(sid, primary, class, component)`` dealt into blocks: ``(block, nodes)``, and the nodes with ``block``."""
+    room = F.least(F.lit(BLOCK_NODES), F.greatest(F.lit(1), F.floor(BLOCK_TOKENS / F.max("n"))))
+    counts = nodes.groupBy(*by).agg(F.ceil(F.count("*") / room).alias("n_blocks"))
+    with_block = nodes.join(counts, by).withColumn("nth", F.pmod(F.xxhash64("sid"), F.col("n_blocks")))
+    with_block = stored(with_block.withColumn("block", F.xxhash64(*by, "nth")).drop("n_blocks"), "dealt", scratch)
+    filled = with_block.select("sid", "block").join(sets.select("sid", "tokens"), "sid").groupBy("block")
+    return stored(filled.agg(F.collect_list(F.struct("sid", "tokens")).alias("nodes")), "blocks", scratch), with_block
+
+
+def _heavy_links(postings: DataFrame, sets: DataFrame, light: DataFrame, scratch: list[str]) -> list[DataFrame]:
+    """Links of nodes that share an entry of more than ``LIGHT`` nodes: ``postings`` with ``size``, the entry's nodes."""
+    primary = postings.groupBy("sid", "n").agg(F.max_by("entry", F.struct("size", "entry")).alias("primary"))
+    nodes = stored(primary.withColumn("class", _class_of("n")), "heavy", scratch)
+    blocks, dealt = _dealt(nodes, sets, ["primary", "class"], scratch)
+    group = dealt.select("primary", "class", "nth", "block").distinct()
+    least = group.groupBy("primary", "class").agg(F.min("nth").alias("nth")).join(group, ["primary", "class", "nth"])
+    others = group.join(least.select("primary", "class", F.col("block").alias("one")), ["primary", "class"]).filter("block <> one")
+    itself = group.select(F.col("block").alias("one"), F.lit(None).cast("long").alias("other"))
+    first = _compared_blocks(itself.unionByName(others.select("one", F.col("block").alias("other"))), blocks, scratch)
+
+    components = stored(connected_components(light.unionByName(first), scratch), "components", scratch)
+    known = nodes.join(components.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    sizes = known.groupBy("primary", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("primary").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    known = known.join(main, "primary").withColumn("inside", F.col("component") == F.col("main"))
+    blocks, dealt = _dealt(known.drop("main"), sets, ["primary", "class", "inside"], scratch)
+    span = dealt.groupBy("block", "class").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    met = postings.select("entry", "sid").join(dealt.select("sid", "block"), "sid").select("entry", "block").distinct().join(span, "block")
+    met = stored(met, "met", scratch)
+    part = lambda x: met.select("entry", *(F.col(c).alias(f"{x}_{c}") for c in ("block", "class", "low", "high")))
+    pairs = part("a").join(part("b"), "entry").filter(
+        (F.col("a_block") <= F.col("b_block")) & (F.abs(F.col("a_class") - F.col("b_class")) <= 1)
+        & (F.least("a_low", "b_low") != F.greatest("a_high", "b_high"))
+    )
+    pairs = pairs.select(F.col("a_block").alias("one"), F.when(F.col("a_block") != F.col("b_block"), F.col("b_block")).alias("other")).distinct()
+    return [first, _compared_blocks(pairs, blocks, scratch)]
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -389,44 +421,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Membership has one row per row of ``docs``: ``id, text_hash, node, n, component``; node and component are null for
     documents without shingles. Links are ``(a, b)``, pairs of nodes that were verified and that span the components.
     """
+    spark, scratch = docs.sparkSession, []
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    passed = stored(_members(rows), "members")
-    members = passed.filter("bucket IS NULL").drop("bucket", "count")
-    counted = passed.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("n")).toPandas()  # BUCKETS rows
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[counted["bucket"].to_numpy(dtype=np.int64)] = counted["n"]
-    left = stored(_first_nodes(_postings(rows, frequency_levels(counts))), "postings")
-
-    # the row that a node's text is read from
-    source = members.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("at"))
-    source = stored(source.select("node", F.col("at.id").alias("at_id"), F.col("at.text_hash").alias("at_hash")), "sources")
-
-    pairs = left.filter(_sizes_fit()).groupBy("node", "hub", "n", "hub_n").agg(F.count("*").alias("shared"))
-    pairs = pairs.filter(F.col("shared") >= _least_shared())  # others get their turn below
-    nearest = pairs.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("b"))
-    tried = stored(nearest, "nearest")
-    links = [_verified(tried, rows, source)]
-    components = stored(connected_components(links[0]), "components")
-    hubs = left.select("entry", F.col("hub").alias("node"), F.col("hub_n").alias("n")).distinct()
-    rest = left.select("entry", "node", "n").unionByName(hubs)
-    for turn in range(HUB_ROUNDS + 1):
-        rest = stored(_unresolved(rest.select("entry", "node", "n"), components), "unresolved")
-        pairs = F.sum(F.when(F.col("node_component") != F.col("main"), F.col("size")))
-        cost = rest.agg(F.count("*").alias("rows"), pairs.alias("pairs")).first()
-        if not cost["rows"]:
-            break
-        few = cost["pairs"] <= PAIRS_PER_NODE * cost["rows"]
-        if few or turn < HUB_ROUNDS:
-            apart = _possible_pairs(rest) if few else _hub_pairs(rest, turn)
-            links.append(_verified(apart.join(tried, ["a", "b"], "left_anti"), rows, source))
-        else:
-            links.append(_component_links(rest, rows, source))
-        components = stored(connected_components(_union(links)), "components")
-        if few:
-            break
-    membership = _with_components(members, components, "node").withColumnRenamed("node_component", "component")
-    return membership, _union(links)
+    members = stored(_members(rows), "members", scratch)
+    nodes = members.filter("n > 0").groupBy("node", "key", "n").agg(F.min(F.struct("id", "text_hash")).alias("at"))
+    counts = stored(_first_counts(rows), "first-counts", scratch)
+    staying = nodes.join(counts, "key").filter(F.col("common") >= least_common(F.col("n")))
+    sets = _sets(staying.select("node", F.col("at.id").alias("at_id"), F.col("at.text_hash").alias("at_hash")), rows, scratch)
+
+    entries = stored(_postings(sets), "postings", scratch)
+    sizes = entries.groupBy("entry").agg(F.count("*").alias("size")).filter("size > 1")
+    postings = stored(entries.join(sizes, "entry"), "shared-postings", scratch)
+    light = _light_links(postings.filter(F.col("size") <= LIGHT), sets, scratch)
+    found = [light, *_heavy_links(postings.filter(F.col("size") > LIGHT), sets, light, scratch)]
+    links = found[0].unionByName(found[1]).unionByName(found[2])
+    components = connected_components(links, scratch)
+
+    named = lambda c: sets.select(F.col("sid").alias(c), F.col("node").alias(f"{c}_node"))
+    told = components.join(named("node"), "node").join(named("component"), "component").select(F.col("node_node").alias("node"), F.col("component_node").alias("component"))
+    membership = members.join(told, "node", "left").select("id", "text_hash", "node", "n", F.coalesce("component", "node").alias("component"))
+    membership = stored(membership, "membership")
+    links = stored(links.join(named("a"), "a").join(named("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "node-links")
+    discard(spark, scratch)
+    return membership, links
 
 
 def component_ids(membership: DataFrame) -> DataFrame:
