@@ -60,13 +60,15 @@ def style_levels(styles: DataFrame, scope: list[str] | None = None) -> DataFrame
 
 def heading_level(blocks: DataFrame, levels: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Style level, else paragraph outline, else level 2 for short all-bold text."""
+    joined = blocks.join(levels, [*(scope or []), "style_id"], "left")
+    return joined.select(*KEY, heading_of().alias("heading_level"))
+
+
+def heading_of() -> Column:
+    """Heading level of blocks that carry the ``level`` of their style."""
     text = strip(F.col("text"))
     bold = F.col("all_bold") & (text != "") & (F.length(text) <= 80) & ~text.endswith(".")
-    joined = blocks.join(levels, [*(scope or []), "style_id"], "left")
-    return joined.select(
-        *KEY,
-        F.coalesce(F.col("level"), F.col("outline_lvl") + 1, F.when(bold, F.lit(2))).alias("heading_level"),
-    )
+    return F.coalesce(F.col("level"), F.col("outline_lvl") + 1, F.when(bold, F.lit(2)))
 
 
 # --- lists ------------------------------------------------------------------------
@@ -95,9 +97,14 @@ def list_type(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = No
 
 def with_list_type(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """``blocks`` with ``list_type``."""
+    return _named(blocks, styles, scope).select(*blocks.columns, list_type_of().alias("list_type"))
+
+
+def list_type_of() -> Column:
+    """List type of blocks that carry ``num_fmt`` and the ``name`` of their style."""
     text = strip(F.col("text"))
     name = F.coalesce("name", F.lit(""))
-    kind = F.coalesce(
+    return F.coalesce(
         F.when(F.col("num_fmt").isNotNull(), F.when(F.col("num_fmt") == "bullet", "bullet").otherwise("number")),
         F.when(F.col("style_id").isin(*K.BULLET_STYLE_IDS), "bullet"),
         F.when(F.col("style_id").isin(*K.NUMBER_STYLE_IDS), "number"),
@@ -106,7 +113,6 @@ def with_list_type(blocks: DataFrame, styles: DataFrame, scope: list[str] | None
         F.when(text.rlike(K.BULLET_TEXT), "bullet"),
         F.when(text.rlike(K.NUMBERED_TEXT), "number"),
     )
-    return _named(blocks, styles, scope).select(*blocks.columns, kind.alias("list_type"))
 
 
 def list_level(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -115,15 +121,19 @@ def list_level(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = N
 
 def with_list_level(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """``blocks`` with ``list_level``."""
+    return _named(blocks, styles, scope).select(*blocks.columns, list_level_of().alias("list_level"))
+
+
+def list_level_of() -> Column:
+    """List level of blocks that carry the ``name`` of their style."""
     name = F.coalesce("name", F.lit(""))
     indent = F.col("left_indent_pt")
-    level = F.coalesce(
+    return F.coalesce(
         F.col("ilvl").cast("int"),
         F.when(name.rlike(r"(?U)\d+$"), F.greatest(F.lit(0), group(name, r"(?U)(\d+)$", 1).try_cast("int") - 1)),
         F.when(indent != 0, F.greatest(F.lit(0), (F.bround(F.greatest(F.lit(0.0), indent) / 18.0, 0) - 1).cast("int"))),
         F.lit(0),
     )
-    return _named(blocks, styles, scope).select(*blocks.columns, level.alias("list_level"))
 
 
 def list_key(num_id: Column, style_id: Column, style_name: Column, level: Column) -> Column:

@@ -149,3 +149,16 @@ def props(spark: SparkSession, sf_dir: str) -> DataFrame:
         "d AS doc_id", "CAST(-1 AS BIGINT) AS ord", "'generator' AS name", "' Report Writer ' AS value"
     )
     return own.unionByName(named)
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block ranges: single blocks, overlapping ranges, open ones, one over a whole document, empty ones."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS r", f"o_orderkey DIV {DOC_SIZE} AS doc_id", f"o_orderkey % {DOC_SIZE} + {BODY} AS i").selectExpr(
+        "doc_id",
+        """explode(filter(array(
+          CASE WHEN r % 64 = 63 THEN named_struct('start_idx', i, 'end_idx', i + 1) END,
+          CASE WHEN r % 128 IN (100, 105) THEN named_struct('start_idx', i, 'end_idx', i + 20) END,
+          CASE WHEN r % 512 = 401 AND doc_id % 8 = 3 THEN named_struct('start_idx', i, 'end_idx', CAST(NULL AS BIGINT)) END,
+          CASE WHEN r % 512 = 50 AND doc_id % 16 = 5 THEN named_struct('start_idx', CAST(-5 AS BIGINT), 'end_idx', 4611686018427387904) END,
+          CASE WHEN r % 256 = 7 THEN named_struct('start_idx', i, 'end_idx', i) END), x -> x IS NOT NULL)) AS s""",
+    ).select("doc_id", "s.start_idx", "s.end_idx")

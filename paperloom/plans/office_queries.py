@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import office as OF
 from ..operators import office as W
+from ..operators import office_flow as OW
 from . import office_corpus as X
 from .corpora import table
 from .registry import query
@@ -281,3 +283,106 @@ def native_notes(spark, sf_dir):
         "CASE WHEN o_orderkey % 4 = 2 THEN '  ' ELSE ' p' || o_orderkey || ' ' END AS piece",
     )
     return W.native_notes(notes)
+
+
+# --- flow: ranges, typed blocks, Markdown --------------------------------------------------
+
+_SPANS = f"""spans AS (
+  SELECT doc_id, block_idx AS s, CASE WHEN r % 64 = 63 THEN block_idx + 1 END AS e FROM b WHERE r % 64 = 63
+  UNION ALL SELECT doc_id, block_idx, block_idx + 20 FROM b WHERE r % 128 IN (100, 105)
+  UNION ALL SELECT doc_id, block_idx, NULL FROM b WHERE r % 512 = 401 AND doc_id % 8 = 3
+  UNION ALL SELECT doc_id, -5, NULL FROM b WHERE r % 512 = 50 AND doc_id % 16 = 5),
+held AS (SELECT DISTINCT b.r FROM b JOIN spans USING (doc_id) WHERE block_idx >= s AND (e IS NULL OR block_idx < e))"""
+
+
+#: The body's texts, types and numbers from the base table.
+_TYPED = f"""texts AS (
+  SELECT o_orderkey AS r, CASE WHEN o_orderkey % 32 = 22 THEN '• item ' || o_orderkey WHEN o_orderkey % 32 = 30 THEN '3) item ' || o_orderkey
+    WHEN o_orderkey % 32 = 6 AND o_orderkey % 5 = 0 THEN 'Full stop ' || o_orderkey || '.' ELSE o_orderpriority || ' ' || o_orderkey END AS text FROM orders),
+facts AS (
+  SELECT b.*, t.text, CASE r % 8 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 4 THEN 1 ELSE CASE WHEN r % 32 = 14 THEN 3 WHEN r % 32 = 6 AND r % 5 <> 0 THEN 2 END END AS h,
+    {_FMT} AS fmt, {_LEVEL} AS lv, regexp_matches(t.text, '^[0-9]+[.)]\\s+.') AS vis,
+    CASE WHEN r % 8 IN (3, 7) AND r % 3 < 2 THEN 'num:' || CASE WHEN r % 5 < 3 THEN '1' ELSE '2' END
+      ELSE CASE r % 8 WHEN 3 THEN 'ListNumber2' WHEN 7 THEN 'ListParagraph' ELSE 'generic' END END AS k
+  FROM b JOIN texts t USING (r)),
+typed AS (
+  SELECT *, CASE WHEN r % 6 = 0 THEN 'separator' WHEN r % 6 IN (1, 3) THEN 'code' WHEN r % 6 = 2 THEN 'diagram' WHEN h > 0 THEN 'heading'
+    WHEN fmt = 'bullet' THEN 'bullet' WHEN fmt IS NOT NULL THEN 'number' WHEN r % 8 = 2 THEN 'bullet' WHEN r % 8 IN (3, 7) THEN 'number'
+    WHEN r % 32 = 22 THEN 'bullet' WHEN vis THEN 'number' ELSE 'paragraph' END AS type FROM facts)"""
+
+
+def _numbers(skipped: str) -> str:
+    """CTEs ending in ``numbers(r, number)`` of the items without a visible number; ``skipped`` has the ``r`` of breaks."""
+    return f"""brk AS (SELECT doc_id, block_idx AS brk_idx FROM b SEMI JOIN {skipped} USING (r)),
+i AS (
+  SELECT t.*, (SELECT count(*) FROM brk WHERE brk.doc_id = t.doc_id AND brk_idx < t.block_idx) AS g
+  FROM typed t ANTI JOIN {skipped} USING (r) WHERE type = 'number' AND NOT vis),
+lvs AS (SELECT unnest(range(0, 11)) AS n),
+c AS (SELECT a.r, n,
+  (SELECT count(*) FROM i x WHERE x.doc_id = a.doc_id AND x.g = a.g AND x.k = a.k AND x.lv = n AND x.block_idx <= a.block_idx
+     AND x.block_idx > coalesce((SELECT max(y.block_idx) FROM i y WHERE y.doc_id = a.doc_id AND y.g = a.g AND y.k = a.k AND y.lv < n AND y.block_idx <= a.block_idx), -1)) AS v,
+  coalesce((SELECT arg_max(x.fmt, x.block_idx) FROM i x WHERE x.doc_id = a.doc_id AND x.g = a.g AND x.k = a.k AND x.lv = n AND x.block_idx <= a.block_idx AND x.fmt IS NOT NULL), 'decimal') AS f
+  FROM i a, lvs WHERE n <= a.lv),
+numbers AS (SELECT r, string_agg(CASE
+    WHEN f = 'lowerLetter' THEN CASE WHEN v <= 26 THEN chr(CAST(96 + v AS INT)) ELSE chr(CAST(96 + (v - 1) // 26 AS INT)) || chr(CAST(97 + (v - 1) % 26 AS INT)) END
+    WHEN f = 'lowerRoman' THEN lower(ro) WHEN f = 'upperRoman' THEN ro ELSE CAST(v AS VARCHAR) END, '.' ORDER BY n) AS number
+  FROM (SELECT *, ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][v // 10 % 10 + 1]
+                  || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][v % 10 + 1] AS ro FROM c) WHERE v > 0 GROUP BY 1)"""
+
+
+_TYPED_ROWS = """SELECT r, doc_id, block_idx AS source_idx, type,
+    CASE type WHEN 'heading' THEN h WHEN 'bullet' THEN lv WHEN 'number' THEN lv END AS level,
+    CASE WHEN type = 'number' THEN CASE WHEN vis THEN regexp_extract(text, '^([0-9]+)', 1) ELSE number END END AS number,
+    CASE type WHEN 'code' THEN CASE r % 6 WHEN 1 THEN 'sql' ELSE 'py' END WHEN 'diagram' THEN '' END AS language,
+    CASE WHEN type = 'bullet' AND text LIKE '• %' THEN text[3:] WHEN type = 'number' AND vis THEN regexp_replace(text, '^[0-9]+[.)]\\s+', '') ELSE text END AS text
+  FROM typed LEFT JOIN numbers USING (r)"""
+
+
+@query("drop_spans", f"{_BODY.rstrip()}, {_SPANS}, {_TYPED} SELECT doc_id, block_idx, text FROM typed ANTI JOIN held USING (r)")
+def drop_spans(spark, sf_dir):
+    return OW.drop_spans(X.body(spark, sf_dir), X.spans(spark, sf_dir)).select("doc_id", "block_idx", "text")
+
+
+def _typed(blocks, spark, spans):
+    return OW.office_to_blocks(blocks, X.styles(spark), X.numbering(spark), X.numbering_levels(spark), spans)
+
+
+@query(
+    "office_to_blocks",
+    f"""{_BODY.rstrip()}, {_SPANS}, {_TYPED}, {_numbers("held")}, kept AS ({_TYPED_ROWS} ANTI JOIN held USING (r))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY source_idx) - 1 AS block_idx, source_idx, type, CAST(level AS INT) AS level, number,
+      CAST(NULL AS VARCHAR) AS title, language, text FROM kept""",
+)
+def office_to_blocks(spark, sf_dir):
+    return _typed(X.body(spark, sf_dir), spark, X.spans(spark, sf_dir))
+
+
+def _boilerplate(spark, sf_dir):
+    blocks, signals, marks = _marks(spark, sf_dir)
+    profiles = W.document_profile(blocks, signals, X.props(spark, sf_dir), X.GENERATOR)
+    return blocks, marks.join(profiles.filter("profile = 'GENERATED'"), "doc_id", "left_semi"), OW.boilerplate_spans(marks, profiles)
+
+
+_NONE = "none AS (SELECT r FROM b WHERE false)"
+
+
+@query(
+    "office_to_markdown",
+    f"""{_BODY.rstrip()}, {_NONE}, {_TYPED}, {_numbers("none")}, kept AS ({_TYPED_ROWS}),
+    body AS (SELECT doc_id, source_idx AS p, CASE type WHEN 'heading' THEN repeat('#', level) || ' ' || text
+      WHEN 'bullet' THEN repeat('  ', level) || '- ' || text WHEN 'number' THEN repeat('  ', level) || number || '. ' || text
+      WHEN 'separator' THEN '---' WHEN 'code' THEN '```' || language || chr(10) || text || chr(10) || '```'
+      WHEN 'diagram' THEN '```diagram' || chr(10) || text || chr(10) || '```' ELSE text END AS md FROM kept),
+    docs AS (SELECT DISTINCT doc_id AS d FROM b),
+    extra AS (SELECT d, unnest([(6, '{K.TOC_TITLE}'), (7, 'field'), (8, 'x' || d), (9, 'Press {K.TOC_NOTE} now'), ({X.TAIL}, '{K.ENDNOTES_TITLE}'),
+      ({X.TAIL + 1}, '1 first of ' || d), ({X.TAIL + 2}, '2 second of ' || d), ({X.TAIL + 3}, 'no note'), ({X.TAIL + 4}, '2 third of ' || d),
+      ({X.TAIL + 5}, '{K.DISCLAIMER_TITLE}'), ({X.TAIL + 6}, 'closing words')]) AS x FROM docs WHERE d % 4 = 2),
+    parts AS (SELECT doc_id, p, md FROM body UNION ALL SELECT d, x[1], x[2] FROM extra)
+    SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY p) || chr(10)
+      || CASE WHEN doc_id % 4 <> 2 THEN chr(10) || '## Citations' || chr(10) || '1. first of ' || doc_id || chr(10) || '2. third of ' || doc_id || chr(10) ELSE '' END AS markdown
+    FROM parts GROUP BY doc_id""",
+)
+def office_to_markdown(spark, sf_dir):
+    blocks, marks, spans = _boilerplate(spark, sf_dir)
+    notes = W.endnote_rows(blocks, X.runs(spark, sf_dir), marks)  # of generated documents
+    return OW.office_to_markdown(_typed(blocks, spark, spans), X.cells(spark, sf_dir), notes)
