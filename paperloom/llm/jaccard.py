@@ -388,8 +388,10 @@ def _dealt(nodes: DataFrame, sets: DataFrame, by: list[str], scratch: list[str])
 
 def _heavy_links(postings: DataFrame, sets: DataFrame, light: DataFrame, scratch: list[str]) -> list[DataFrame]:
     """Links of nodes that share an entry of more than ``LIGHT`` nodes: ``postings`` with ``size``, the entry's nodes."""
-    primary = postings.groupBy("sid", "n").agg(F.max_by("entry", F.struct("size", "entry")).alias("primary"))
-    nodes = stored(primary.withColumn("class", _class_of("n")), "heavy", scratch)
+    # the entries of a node stay together, so that joins have a row per node
+    own = postings.groupBy("sid", "n").agg(F.max_by("entry", F.struct("size", "entry")).alias("primary"), F.collect_list("entry").alias("entries"))
+    heavy = stored(own.withColumn("class", _class_of("n")), "heavy", scratch)
+    nodes = heavy.drop("entries")
     blocks, dealt = _dealt(nodes, sets, ["primary", "class"], scratch)
     group = dealt.select("primary", "class", "nth", "block").distinct()
     least = group.groupBy("primary", "class").agg(F.min("nth").alias("nth")).join(group, ["primary", "class", "nth"])
@@ -404,7 +406,7 @@ def _heavy_links(postings: DataFrame, sets: DataFrame, light: DataFrame, scratch
     known = known.join(main, "primary").withColumn("inside", F.col("component") == F.col("main"))
     blocks, dealt = _dealt(known.drop("main"), sets, ["primary", "class", "inside"], scratch)
     span = dealt.groupBy("block", "class").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    met = postings.select("entry", "sid").join(dealt.select("sid", "block"), "sid").select("entry", "block").distinct().join(span, "block")
+    met = heavy.select("sid", "entries").join(dealt.select("sid", "block"), "sid").select("block", F.explode("entries").alias("entry")).distinct().join(span, "block")
     met = stored(met, "met", scratch)
     part = lambda x: met.select("entry", *(F.col(c).alias(f"{x}_{c}") for c in ("block", "class", "low", "high")))
     pairs = part("a").join(part("b"), "entry").filter(
@@ -449,7 +451,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def component_ids(membership: DataFrame) -> DataFrame:
     """``membership`` with ``component_id``: the smallest id of the component, or a document's own id without shingles."""
-    least = membership.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id"))
+    # written, so that Spark can split a component with most of all rows when it joins
+    least = stored(membership.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id")), "least")
     joined = membership.join(least, "component", "left")
     return joined.withColumn("component_id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")))
 
