@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as AU
 from ..operators import structure as S
+from ..sources import versions as V
 from ..sources import writers as WR
 from ..streaming import ingest as ST
 from . import corpora as C
@@ -73,3 +74,65 @@ def write_document_tables(spark, sf_dir):
         for name in ("blocks", "documents", "footnotes", "tables", "table_cells", "runs")
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _changed(spark, sf_dir, edited: str, removed: str = "false"):
+    """The reports, some of them edited, some gone."""
+    before, after = C.versions(spark, sf_dir)
+    after = after.withColumnRenamed("text", "new_text")
+    both = before.join(after, "doc_id").filter(f"NOT ({removed})")
+    return before, both.select("doc_id", F.expr(f"CASE WHEN {edited} THEN new_text ELSE text END").alias("text"))
+
+
+_LEFT = "doc_id % 50 <> 7"
+
+
+@query(
+    "update_document_tables",
+    O.with_(O.DOC, O.BLK, O.TROW, O.RUNS, O.NOTES) + f""", n AS (SELECT 'blocks' AS relation, count(*) AS n FROM blk WHERE {_LEFT}
+    UNION ALL SELECT 'documents', count(*) FROM doc WHERE {_LEFT} UNION ALL SELECT 'footnotes', count(*) FROM notes WHERE {_LEFT}
+    UNION ALL SELECT 'tables', count(*) FROM blk WHERE type = 'TABLE' AND {_LEFT} UNION ALL SELECT 'table_cells', count(*) FROM cell WHERE {_LEFT}
+    UNION ALL SELECT 'runs', (SELECT count(*) FROM runs WHERE {_LEFT}) + (SELECT count(*) FROM cell WHERE text <> '' AND {_LEFT}))
+    SELECT *, true AS same_as_whole, (SELECT count(*) FROM doc WHERE {_LEFT} AND k % 20 = 6) AS parsed, 2 AS generation FROM n""",
+)
+def update_document_tables(spark, sf_dir):
+    root = scratch(spark, "corpus")
+    before, after = _changed(spark, sf_dir, "doc_id % 20 = 6", "doc_id % 50 = 7")
+    V.update_document_tables(before, root)
+    told = V.update_document_tables(after, root)
+    whole = V.parsed_tables(after, scratch(spark, "parsed"))
+    parts = []
+    for name, rows in whole.items():
+        hashed = lambda df, side: df.select(F.xxhash64(F.to_json(F.struct(*sorted(rows.columns)))).alias("h"), F.lit(side).alias("side"))  # noqa: B023, E731
+        both = hashed(V.read_relation(spark, root, name), 1).unionByName(hashed(rows, -1)).groupBy("h").agg(F.sum("side").alias("d"), F.count_if(F.col("side") == 1).alias("n"))
+        parts.append(both.agg(F.lit(name).alias("relation"), F.sum("n").alias("n"), F.every(F.col("d") == 0).alias("same_as_whole")))
+    return reduce(lambda a, b: a.unionByName(b), parts).select("*", F.lit(told["parsed"]).cast("long").alias("parsed"), F.lit(told["generation"]).alias("generation"))
+
+
+@query(
+    "audit_incremental",
+    O.with_(O.DOC) + "SELECT doc_id, CASE WHEN k % 10 < 3 AND NOT (k % 5 = 0 OR k % 5 = 1 AND k % 3 = 0) THEN 'FAIL' ELSE 'PASS' END AS status FROM doc",
+)
+def audit_incremental(spark, sf_dir):
+    root = scratch(spark, "corpus")
+    for corpus in _changed(spark, sf_dir, "doc_id % 10 < 3"):
+        V.update_document_tables(corpus, root, V.no_tables)
+    return V.audit_incremental(spark, root, 1, 2)
+
+
+@query(
+    "audit_stream_changes",
+    O.BASE + """SELECT type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents
+    FROM (SELECT doc_id, type FROM blk WHERE in_body UNION ALL SELECT doc_id, 'HEADING_3' FROM doc WHERE k % 10 = 4)
+    GROUP BY 1""",
+)
+def audit_stream_changes(spark, sf_dir):
+    """All reports, then some of them again, then edited ones (a heading more), over three runs of one stream."""
+    source, target, checkpoint = scratch(spark, "changes"), scratch(spark, "deltas"), scratch(spark, "state")
+    before, after = C.versions(spark, sf_dir)
+    deliveries = [(before, 1), (before.filter("doc_id % 3 = 0"), 1), (after.filter("doc_id % 10 = 4"), 2), (before.filter("doc_id % 10 = 4"), 1)]
+    for rows, version in deliveries:
+        rows.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id long, text string, version long").parquet(source)
+        ST.follow_counts(stream, target, checkpoint).awaitTermination()  # a restart from the checkpoint each time
+    return ST.current_counts(spark.read.parquet(target)).groupBy("type").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))

@@ -1,17 +1,25 @@
 """New files through the same per-document expressions, exactly once.
 
-Parsing is local to a document, so a stream needs no state: every file is a row,
-and the batch expressions apply unchanged in append mode.
+Parsing is local to a document, so a stream of new documents needs no state: every file is a row, and the batch
+expressions apply unchanged in append mode. Documents that come again or changed (``follow_counts``) keep a small state
+each: the version, digest and block counts that they stand for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import blocks as B
+from ..functions import exprs as E
+from ..operators import footnotes as N
+from ..operators import inline as I
+from ..operators import metadata as MD
 from ..operators import structure as S
 from ..operators import tables as T
 from ..sources.readers import decode_bytes
@@ -20,7 +28,11 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length long, content bin
 
 RELATIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "blocks": S.blocks,
+    "documents": MD.infer_metadata,
+    "runs": lambda corpus: I.block_runs(S.segment_blocks(corpus)),
+    "tables": lambda corpus: T.tables(S.segment_blocks(corpus)),
     "table_cells": lambda corpus: T.table_cells(S.segment_blocks(corpus)),
+    "footnotes": N.footnote_defs,
 }
 
 
@@ -75,3 +87,52 @@ def ingest_batches(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def _replace(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """What a document's newest delivery changes: its former counts taken back, its present ones added."""
+    version, digest, counts = state.get if state.exists else (None, None, "")
+    newest = None
+    for rows in batches:
+        for row in rows.itertuples(index=False):
+            if newest is None or (row.version, row.digest) > newest[:2]:
+                newest = (row.version, row.digest, row.counts)
+    out = []
+    if newest is not None and (version is None or newest[:2] > (version, digest)):
+        former, present = (dict(x.rsplit("=", 1) for x in c.split(",") if x) for c in (counts, newest[2]))
+        for name in sorted(former.keys() | present.keys()):
+            change = int(present.get(name, 0)) - int(former.get(name, 0))
+            if change:
+                out.append((*key, name, change))
+        state.update(newest)
+    yield pd.DataFrame(out, columns=["doc_id", "type", "change"]).astype({"change": "int64"})
+
+
+def follow_counts(corpus: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Append to ``target`` how the block counts of documents change: ``(doc_id, type, change)``.
+
+    ``corpus`` is a stream ``(doc_id, version, text)`` in which documents may come again, changed, late or in several
+    batches. Of a document the greatest version counts (of equal ones, the greatest digest), once: its counts replace what
+    the document stood for. Texts are parsed once, before the state, and only counts of a few dozen types are kept. A row
+    without id or version is left out, a null text is a document without blocks.
+    """
+    rows = corpus.filter("doc_id IS NOT NULL AND version IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
+    types = F.transform(E.body_spans(), lambda b: B.block_type(b["code"]))
+    said = rows.select("doc_id", "version", "text", types.alias("types"))
+    pairs = F.transform(F.array_distinct("types"), lambda t: F.concat(t, F.lit("="), F.size(F.filter("types", lambda x: x == t)).cast("string")))
+    counted = said.select("doc_id", "version", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.array_join(pairs, ",").alias("counts"))
+    kind = dict(corpus.dtypes)["doc_id"]
+    changes = counted.groupBy("doc_id").applyInPandasWithState(
+        _replace, f"doc_id {kind}, type string, change long", "version long, digest string, counts string", "append", GroupStateTimeout.NoTimeout
+    )
+    return (
+        changes.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+
+
+def current_counts(changes: DataFrame) -> DataFrame:
+    """``(doc_id, type, n)``: what documents stand for after all changes."""
+    return changes.groupBy("doc_id", "type").agg(F.sum("change").alias("n")).filter("n <> 0")
