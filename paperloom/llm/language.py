@@ -8,8 +8,8 @@ language costs half the logarithm of their number), and the proportions within i
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any labelled document every
 text is; rows with a null label or id are not learned from; texts are read whole, whatever their length; repeated rows
-agree; an empty table gives an empty result; the added column gets a free name if one of that name is there. The work
-grows with the number of languages that are learned; none is left out.
+agree; an empty table gives an empty result; the added column gets a free name if one of that name is there. All sets
+are tried down to the least proportions, so the work grows with the square of the number of languages that are learned.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ BUCKETS = 1 << 15
 AT_ONCE = 300_000
 SMOOTHING = 0.5
 ROUNDS, FINAL_ROUNDS = 8, 6
-#: A language below this proportion in the full mixture is not tried in a set.
-LEAST_SHARE = 0.01
 
 
 def letter_table() -> np.ndarray:
@@ -117,13 +115,12 @@ class LanguageModel:
         if m > 1:
             full, _ = em(np.full((len(present), m), 1 / m, np.float32), ROUNDS)
             rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-            likely = (full >= LEAST_SHARE).sum(axis=1)
-            for k in range(2, int(likely.max()) + 1):
+            for k in range(2, m + 1):  # the penalty alone decides
                 inside = rank < k
                 pi = np.where(inside, np.maximum(full, 1e-6), 0).astype(np.float32)
                 pi, fit = em(pi / pi.sum(axis=1, keepdims=True), FINAL_ROUNDS)
                 value = fit / 3 - (k - 1) * 0.5 * np.log(np.maximum(total, 2))
-                better = (likely >= k) & (value > best)
+                better = value > best
                 best_share[better], best[better] = pi[better], value[better]
                 best_score[better] = pi[better].max(axis=1)
         share[present], score[present] = best_share, best_score

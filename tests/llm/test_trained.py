@@ -134,6 +134,12 @@ def test_languages_and_mixtures(spark):
     share = model.mixtures([mixed], LG.letter_table())[0][0]
     assert share[0] > share[2] > 0.1 and share[1] == 0 and abs(share.sum() - 1) < 1e-5
 
+    # a short passage of a very long text is found where its gain in likelihood exceeds the penalty
+    for words, passage in ((20_000, 150), (20_000, 180), (2_000, 30)):
+        share = model.mixtures([f"{_text('de', words // 2)} {_text('en', passage)} {_text('de', words // 2)}"], LG.letter_table())[0][0]
+        assert 0 < share[1] < 0.05 and share[0] > 0.95
+    assert (model.mixtures([_text("de", 20_000)], LG.letter_table())[0][0] > 0).tolist() == [True, False, False]
+
 
 def test_mixture_of_a_text_does_not_depend_on_its_neighbours():
     counts = np.random.default_rng(1).integers(0, 50, (LG.BUCKETS, 3)).astype(float)
