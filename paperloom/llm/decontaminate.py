@@ -25,8 +25,8 @@ NGRAM = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ORIGINAL_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ORIGINAL_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows (about 250 bytes each) up to which the set is broadcast; beyond, the windows are joined by a shuffle.
-MAX_BROADCAST_WINDOWS = 200_000
+#: Windows, and bytes of their words and items, up to which the set is broadcast; beyond, windows are joined by a shuffle.
+MAX_BROADCAST_WINDOWS, MAX_BROADCAST_BYTES = 200_000, 100_000_000
 
 
 def normal_words(text: Column) -> Column:
@@ -57,8 +57,9 @@ def benchmark_hits(
     windows = stored(benchmark_windows(benchmark, n, item_col, item_text_col), "windows")
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect()) or [n]  # at most n numbers
     side = windows.select(F.col("len").alias("gram_len"), F.col("h").alias("gram_h"), "gram", "items")
-    if windows.count() <= max_broadcast:
-        side = F.broadcast(side)
+    length = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w))
+    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(length(F.col("gram")) + length(F.col("items"))), F.lit(0)).alias("bytes")).first()
+    small = size["n"] <= max_broadcast and size["bytes"] <= MAX_BROADCAST_BYTES
     words = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
         normal_words(F.col(text_col)).alias("words"),
@@ -75,12 +76,41 @@ def benchmark_hits(
         "id", "text_hash", "words", "hashes", "len", F.explode_outer(F.sequence(first, last)).alias("at")
     ).filter((F.col("at") == 0) | (F.col("at") + F.col("len") <= F.size("words") + 1))
     scanned = scanned.withColumn("h", F.when(F.col("at") > 0, F.xxhash64(F.slice("hashes", F.greatest("at", F.lit(1)), F.col("len")))))
-    joined = scanned.join(side, (F.col("h") == F.col("gram_h")) & (F.col("len") == F.col("gram_len")), "left")
+    if not small:
+        found = _found_by_shuffle(scanned, words, side)
+        return _per_document(found)
+    joined = scanned.join(F.broadcast(side), (F.col("h") == F.col("gram_h")) & (F.col("len") == F.col("gram_len")), "left")
     verified = F.col("gram") == F.slice("words", F.greatest("at", F.lit(1)), F.col("len"))
     found = joined.filter((F.col("at") == 0) | (F.col("gram").isNotNull() & verified)).select(
         "id", "text_hash", F.size("words").alias("n_words"), "at", "items",
         F.when(F.col("at") > 0, F.sequence("at", F.col("at") + F.col("len") - 1)).alias("span"),
     )
+    return _per_document(found)
+
+
+def _found_by_shuffle(scanned: DataFrame, words: DataFrame, windows: DataFrame) -> DataFrame:
+    """As the join with the broadcast set, for sets of any size.
+
+    Only places and hashes of document windows are shuffled, against the distinct hashes of the set; the words of documents
+    that are hit, one row each, are fetched afterwards to verify.
+    """
+    key = ["id", "text_hash"]
+    places = scanned.filter("at > 0").select(*key, "at", "len", "h")
+    hashes = windows.select(F.col("gram_len").alias("len"), F.col("gram_h").alias("h")).distinct()
+    per_document = places.join(hashes, ["len", "h"], "left_semi").groupBy(*key).agg(F.collect_set(F.struct("at", "len", "h")).alias("places"))  # of one text
+    of = per_document.select(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "places")
+    same = (F.col("text_hash") == F.col("hit_hash")) & F.col("id").eqNullSafe(F.col("hit_id"))
+    texts = words.join(of, same).groupBy(*key).agg(F.first("words").alias("words"), F.first("places").alias("places"))
+    grams = texts.select(*key, F.size("words").alias("n_words"), "words", F.explode("places").alias("p")).select(
+        *key, "n_words", "p.*", F.slice("words", F.col("p.at"), F.col("p.len")).alias("found")
+    )
+    hits = grams.join(windows, (F.col("h") == F.col("gram_h")) & (F.col("len") == F.col("gram_len"))).filter(F.col("found") == F.col("gram"))
+    hits = hits.select(*key, "n_words", "at", "items", F.sequence("at", F.col("at") + F.col("len") - 1).alias("span"))
+    every = words.select(*key, F.size("words").alias("n_words"), F.lit(0).alias("at"))
+    return every.unionByName(hits, allowMissingColumns=True)
+
+
+def _per_document(found: DataFrame) -> DataFrame:
     return found.groupBy("id", "text_hash").agg(
         F.sum((F.col("at") == 0).cast("long")).alias("n_rows"), F.max("n_words").cast("long").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("span"))).alias("hit"),
