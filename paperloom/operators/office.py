@@ -58,6 +58,36 @@ def style_levels(styles: DataFrame, scope: list[str] | None = None) -> DataFrame
     return sets.select(*keys, found.alias("x")).select(*keys, F.col("x.style_id"), F.col("x.level").alias("level"))
 
 
+def style_levels_stored(styles: DataFrame, folder: str, scope: list[str] | None = None) -> DataFrame:
+    """As ``style_levels``, for relations of any size: pointer doubling by joins.
+
+    Every round joins all styles with the style that their pointer shows to, takes its level if they have none, and moves
+    the pointer to where that one points, so chains of n styles take log2(n) rounds and no row is larger than a style. A
+    pointer ends at a level, at the end of a chain or, in a cycle, with the last round; styles in or before a cycle without
+    a level have none. Rounds are written to ``folder``, which all executors must share. Scope columns must not be null; of
+    equal style ids in a scope the one with the least level counts.
+    """
+    keys = [*(scope or []), "style_id"]
+    spark = styles.sparkSession
+    own = F.coalesce(O.heading_hint(F.col("name")), O.heading_hint(F.col("style_id")), F.col("outline_lvl") + 1)
+    rows = styles.filter("style_id IS NOT NULL").groupBy(*keys).agg(F.min(F.struct(own.isNull().alias("none"), own.alias("level"), F.col("base_style_id").alias("next"))).alias("s"))
+    state = rows.select(*keys, "s.level", F.when(F.col("s.level").isNull(), F.col("s.next")).alias("next"))
+    todo, done = None, 0
+    while True:
+        path = f"{folder}/round={done}"
+        state.write.mode("overwrite").parquet(path)
+        state = spark.read.schema(state.schema).parquet(path)
+        open_now = state.agg(F.count("*").alias("all"), F.count("next").alias("open")).first()
+        todo = max(open_now["all"], 1).bit_length() + 1 if todo is None else todo
+        if not open_now["open"] or done > todo:
+            return state.select(*keys, "level")
+        base = state.select(*(scope or []), F.col("style_id").alias("next"), F.col("level").alias("_level"), F.col("next").alias("_next"))
+        joined = state.join(base, [*(scope or []), "next"], "left")
+        level = F.coalesce("level", "_level")
+        state = joined.select(*keys, level.alias("level"), F.when(level.isNull(), F.col("_next")).alias("next"))
+        done += 1
+
+
 def heading_level(blocks: DataFrame, levels: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Style level, else paragraph outline, else level 2 for short all-bold text."""
     joined = blocks.join(levels, [*(scope or []), "style_id"], "left")

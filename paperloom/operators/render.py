@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import exprs as E
 from ..functions import render as R
 from ..options import ParseOptions, RenderOptions
@@ -60,3 +63,45 @@ def normalize_documents(corpus: DataFrame) -> DataFrame:
 def roundtrip_corpus(corpus: DataFrame, options: RenderOptions = DEFAULT) -> DataFrame:
     """Second version of a corpus: parse, render, ready to be parsed again."""
     return assemble_documents(corpus, options).withColumnRenamed("markdown", "text")
+
+
+# --- outcome per element ------------------------------------------------------------------
+
+def _bad_image(code: Column, lines: Column) -> Column:
+    return (code == "I") & F.try_to_binary(B.image_parts(code, lines)["data"], F.lit("base64")).isNull()
+
+
+def _bad_equation(code: Column, lines: Column) -> Column:
+    text = F.array_join(lines, "\n")
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    return F.contains(F.lit("LM"), code) & (count("{") != count("}"))
+
+
+#: Why a block can't be rendered: a reason, and what is true of such a block's code and lines. Callers add their own.
+CHECKS: dict[str, Callable[[Column, Column], Column]] = {"image data": _bad_image, "equation braces": _bad_equation}
+
+
+def error_marker(kind: Column) -> Column:
+    """What stands in the text in place of a block that failed."""
+    return F.concat(F.lit("[Render Error: "), kind, F.lit("]"))
+
+
+def render_outcome(
+    spans: DataFrame, options: RenderOptions = DEFAULT, checks: dict[str, Callable[[Column, Column], Column]] | None = None
+) -> DataFrame:
+    """``(doc_id, block_idx, type, markdown, error)``: every block rendered, or a marker and the reason why it isn't.
+
+    A block that fails costs the document only itself. The reason is that of the first check that holds; a check that
+    can't tell (null) doesn't hold.
+    """
+    code, lines = F.col("code"), F.col("lines")
+    reasons = [F.when(fails(code, lines), F.lit(name)) for name, fails in (CHECKS if checks is None else checks).items()]
+    found = spans.withColumn("error", F.coalesce(*reasons, F.lit(None).cast("string")))
+    markdown = F.when(F.col("error").isNull(), E.block_markdown(options)).otherwise(error_marker(F.col("type")))
+    return found.select("doc_id", "block_idx", "type", markdown.alias("markdown"), "error")
+
+
+def outcome_counts(rendered: DataFrame) -> DataFrame:
+    """``(doc_id, rendered, failed, status)``; documents with a failed block go to quarantine or repair by ``status``."""
+    counts = rendered.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("rendered"), F.count("error").alias("failed"))
+    return counts.withColumn("status", F.when(F.col("failed") > 0, "incomplete").otherwise("complete"))

@@ -10,12 +10,16 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit as AU
+from ..operators import office as W
+from ..operators import render as R
 from ..operators import structure as S
+from ..sources import readers as RD
 from ..sources import versions as V
 from ..sources import writers as WR
 from ..streaming import ingest as ST
 from . import corpora as C
 from . import oracles as O
+from . import text_queries as TQ
 from .registry import query
 
 
@@ -136,3 +140,53 @@ def audit_stream_changes(spark, sf_dir):
         stream = spark.readStream.schema("doc_id long, text string, version long").parquet(source)
         ST.follow_counts(stream, target, checkpoint).awaitTermination()  # a restart from the checkpoint each time
     return ST.current_counts(spark.read.parquet(target)).groupBy("type").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
+
+
+@query("convert_once", TQ.CONVERTED)
+def convert_once(spark, sf_dir):
+    spark = RD.korean_session(spark)
+    typed = TQ.typed_files(spark, sf_dir)
+    return TQ.registry(spark).convert_once(typed, scratch(spark, "branches"), "quarantine").select("doc_id", "branch", "text", "error")
+
+
+@query("read_corpus_files", "SELECT 'Report of ' || s_name || chr(10) || chr(10) || s_suppkey AS text, count(*) AS files FROM supplier GROUP BY 1")
+def read_corpus_files(spark, sf_dir):
+    """One text file per supplier in one folder, written and read by Spark."""
+    folder, own = scratch(spark, "files"), RD.korean_session(spark)
+    texts = C.table(spark, sf_dir, "supplier").select(F.concat(F.lit("Report of "), "s_name", F.lit("\n\n"), F.col("s_suppkey").cast("string")).alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).option("lineSep", "\u0000").text(folder)
+    read = RD.decode_text(RD.read_corpus_files(own, folder, "*.txt")).filter("error IS NULL")
+    return read.groupBy(F.rtrim(F.col("text"), F.lit("\u0000")).alias("text")).agg(F.countDistinct("doc_id").alias("files"))
+
+
+@query(
+    "render_outcome",
+    """SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 6 = 2 THEN 1 ELSE 2 END AS rendered, CASE WHEN p_partkey % 6 = 2 THEN 1 ELSE 0 END AS failed,
+      CASE WHEN p_partkey % 6 = 2 THEN 'incomplete' ELSE 'complete' END AS status,
+      CASE WHEN p_partkey % 6 = 2 THEN '## Part ' || p_partkey || chr(10) || chr(10) || '[Render Error: IMAGE]' || chr(10) END AS shown FROM part""",
+)
+def render_outcome(spark, sf_dir):
+    """Pictures below a heading, some with data that can't be decoded."""
+    bad = F.lit("![bad](data:image/png;base64,QUJDR)")
+    text = F.concat(F.lit("## Part "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.when(F.col("doc_id") % 6 == 2, bad).otherwise(F.col("text")))
+    rendered = R.render_outcome(S.segment_blocks(C.pictures(spark, sf_dir).withColumn("text", text)))
+    shown = R.assemble_from_blocks(rendered).withColumnRenamed("markdown", "shown")
+    counts = R.outcome_counts(rendered).withColumns({c: F.col(c).cast("int") for c in ("rendered", "failed")})
+    return counts.join(shown, "doc_id").withColumn("shown", F.when(F.col("failed") > 0, F.col("shown")))
+
+
+@query(
+    "style_chain_stored",
+    """SELECT o_orderkey // 1000 AS package, 's' || o_orderkey AS style_id,
+      CASE o_orderkey // 1000 % 3 WHEN 0 THEN CASE WHEN o_orderkey % 1000 >= 400 THEN 3 ELSE 2 END
+        WHEN 1 THEN NULL ELSE CASE WHEN o_orderkey % 1000 >= 700 THEN 1 END END AS level FROM orders""",
+)
+def style_chain_stored(spark, sf_dir):
+    """A style per order, based on the one before: chains of 1,000 with a level at the start or within, and cycles."""
+    styles = C.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey DIV 1000 AS package", "'s' || o_orderkey AS style_id",
+        "CASE WHEN o_orderkey DIV 1000 % 3 = 0 AND o_orderkey % 1000 = 0 THEN 'heading 2' WHEN o_orderkey DIV 1000 % 3 = 0 AND o_orderkey % 1000 = 400 THEN 'heading 3' END AS name",
+        "CASE WHEN o_orderkey % 1000 <> 0 THEN 's' || (o_orderkey - 1) WHEN o_orderkey DIV 1000 % 3 = 1 THEN 's' || (o_orderkey + 499) END AS base_style_id",
+        "CASE WHEN o_orderkey DIV 1000 % 3 = 2 AND o_orderkey % 1000 = 700 THEN 0 END AS outline_lvl",
+    )
+    return W.style_levels_stored(styles, scratch(spark, "styles"), ["package"])

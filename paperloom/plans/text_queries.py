@@ -420,18 +420,23 @@ def route_by_format(spark, sf_dir):
     return registry(spark).route(RD.detect_format(_files(spark, sf_dir))).select("doc_id", "branch")
 
 
-@query(
-    "convert_by_format",
+CONVERTED = (
     "SELECT doc_id, branch, CASE branch WHEN 'rest' THEN 'other' WHEN 'markdown' THEN txt END AS text, "
     "CASE WHEN branch IS NULL THEN 'no branch accepts the document' END AS error FROM ("
     f"SELECT p_partkey AS doc_id, CASE {_FORMAT} WHEN 'md' THEN 'markdown' WHEN 'docx' THEN 'rest' END AS branch, "
     "CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'PK' || chr(3) || chr(4) || p_name "
-    "WHEN 3 THEN p_name || chr(1) || chr(1) WHEN 4 THEN NULL ELSE p_name END AS txt FROM part)",
+    "WHEN 3 THEN p_name || chr(1) || chr(1) WHEN 4 THEN NULL ELSE p_name END AS txt FROM part)"
 )
+
+
+def typed_files(spark, sf_dir):
+    return _files(spark, sf_dir).withColumn("format", RD.format_of_bytes(spark, F.col("bytes"), F.col("hint")))
+
+
+@query("convert_by_format", CONVERTED)
 def convert_by_format(spark, sf_dir):
     spark = RD.korean_session(spark)
-    typed = _files(spark, sf_dir).withColumn("format", RD.format_of_bytes(spark, F.col("bytes"), F.col("hint")))
-    return registry(spark).convert(typed, "quarantine").select("doc_id", "branch", "text", "error")
+    return registry(spark).convert(typed_files(spark, sf_dir), "quarantine").select("doc_id", "branch", "text", "error")
 
 
 @query(

@@ -70,3 +70,28 @@ class TransformRegistry:
             taken = b.transform(routed.filter(F.col("branch") == b.name).drop("branch"))
             parts.append(taken.withColumn("branch", F.lit(b.name)))
         return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+    def convert_once(self, corpus: DataFrame, folder: str, unrouted: str = "error") -> DataFrame:
+        """As ``convert``, with one read of the source.
+
+        Rows are written to ``folder``, a part per branch, in the pass that decides their branch; every branch then reads
+        its own part. So the source is scanned once and no predicate is evaluated twice for a row. ``folder`` must be
+        shared by all executors; what is there is replaced.
+        """
+        if unrouted not in ("error", "quarantine"):
+            raise ValueError("unrouted is 'error' or 'quarantine'")
+        other = F.raise_error(F.lit(UNROUTED)).cast("string") if unrouted == "error" else F.lit("")
+        names = {b.name: n for n, b in enumerate(self._branches)}  # numbers, as a name need not be good for a path
+        branch = self.branch()
+        number = F.create_map(*(F.lit(x) for kv in names.items() for x in kv)) if names else F.create_map().cast("map<string, int>")
+        part = F.coalesce(F.element_at(number, F.coalesce(branch, other)), F.lit(-1))
+        corpus.withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(folder)
+        written = corpus.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in corpus.schema)}, _part int").parquet(folder)
+        parts = []
+        if unrouted == "quarantine":
+            rest = written.filter("_part = -1").drop("_part")
+            parts = [rest.withColumns({"branch": F.lit(None).cast("string"), "error": F.lit(UNROUTED)})]
+        for b in self._branches:
+            taken = b.transform(written.filter(F.col("_part") == names[b.name]).drop("_part"))
+            parts.append(taken.withColumn("branch", F.lit(b.name)))
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)

@@ -85,3 +85,60 @@ def test_stream_equals_batch_and_runs_once(spark, folder, tmp_path):
     assert run() == 4
     (folder / "d.md").write_text("| h |\n|---|\n| 1 |\n| 2 |")
     assert run() == 7
+
+
+def test_convert_once_reads_the_source_once(spark, tmp_path):
+    import collections
+
+    from pyspark.sql import functions as F
+
+    from paperloom.sources.routing import TransformRegistry
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def costly(n):
+        seen.add(1)
+        return n % 3 == 0
+
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    reg = TransformRegistry()
+    reg.register("a/b c", costly("doc_id"), lambda d: d.withColumn("text", F.lit("third")), priority=1)
+    reg.register("even", F.col("doc_id") % 2 == 0, lambda d: d.filter("doc_id > 10"))
+    got = reg.convert_once(rows, str(tmp_path / "parts"), "quarantine")
+    assert seen.value == 60
+    assert collections.Counter(r.branch for r in got.collect()) == collections.Counter(r.branch for r in reg.convert(rows, "quarantine").collect())
+    assert sorted(map(str, got.collect())) == sorted(map(str, reg.convert(rows, "quarantine").select(*got.columns).collect()))
+    assert "Range" not in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="no branch"):
+        reg.convert_once(rows, str(tmp_path / "error"))
+
+
+def test_failed_blocks_leave_a_marker(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.operators import render as R
+    from paperloom.operators import structure as S
+
+    texts = {1: "## A\n\n$$x_{1$$\n\nend", 2: "## A\n\n$$x_{1}$$", 3: "![p](data:image/png;base64,QUJDR)", 4: ""}
+    spans = S.segment_blocks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    rendered = R.render_outcome(spans)
+    counts = {r.doc_id: (r.rendered, r.failed, r.status) for r in R.outcome_counts(rendered).collect()}
+    assert counts == {1: (2, 1, "incomplete"), 2: (2, 0, "complete"), 3: (0, 1, "incomplete")}
+    shown = {r.doc_id: r.markdown for r in R.assemble_from_blocks(rendered).collect()}
+    assert shown[1] == "## A\n\n[Render Error: LATEX_BLOCK]\n\nend\n" and "Render Error" not in shown[2]
+    own = R.render_outcome(spans, checks={"short": lambda code, lines: F.size(lines) > 0})
+    assert {r.error for r in own.collect()} == {"short"}
+
+
+def test_style_levels_of_long_chains_and_cycles(spark, tmp_path):
+    from paperloom.operators import office as W
+
+    rows = [("p", f"s{k}", "heading 4" if k == 0 else None, f"s{k - 1}" if k else None, None) for k in range(300)]
+    rows += [("q", "a", None, "b", None), ("q", "b", None, "a", None), ("q", "c", None, "a", None), ("q", "d", None, "lost", None), ("q", "e", "heading 1", "a", None)]
+    rows += [("q", "s5", None, None, 2), ("q", "self", None, "self", None)]
+    styles = spark.createDataFrame(rows, "package string, style_id string, name string, base_style_id string, outline_lvl int")
+    got = {(r.package, r.style_id): r.level for r in W.style_levels_stored(styles, str(tmp_path), ["package"]).collect()}
+    assert got == {("p", f"s{k}"): 4 for k in range(300)} | {("q", x): None for x in ("a", "b", "c", "d", "self")} | {("q", "e"): 1, ("q", "s5"): 3}
+    whole = {(r.package, r.style_id): r.level for r in W.style_levels(styles, ["package"]).collect()}
+    assert got == whole
