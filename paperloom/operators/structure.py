@@ -7,7 +7,7 @@ exploded rows shuffle, and then by ``doc_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
@@ -15,6 +15,7 @@ from ..functions import constants as K
 from ..functions import exprs as E
 from ..functions import lexer as L
 from ..functions import metadata as M
+from ..functions.running import CHUNK, running
 from ..functions.text import group, let, normalize_spacing, strip, strip_anchors
 from ..options import ParseOptions, SeparatorOptions
 
@@ -267,17 +268,16 @@ def _hidden(cls: Column, body: Column, offset: Column) -> Column:
     return F.filter(rows, lambda r: r["c"] == "!")
 
 
-def assign_sections(block_rows: DataFrame) -> DataFrame:
-    """Nearest heading and heading path of every block (``doc_id, block_idx, level, text``)."""
-    w = Window.partitionBy("doc_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
-    seen = {
-        n: F.last(F.when(F.col("level") == n, F.struct("block_idx", "text")), ignorenulls=True).over(w)
-        for n in (1, 2, 3, 4)
-    }
-    last = F.last(F.when(F.col("level").isNotNull(), F.col("text")), ignorenulls=True).over(w)
-    rows = block_rows.select(
-        "doc_id", "block_idx", last.alias("heading"), *[c.alias(f"h{n}") for n, c in seen.items()]
-    )
+def assign_sections(block_rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Nearest heading and heading path of every block (``doc_id, block_idx, level, text``).
+
+    The last heading of a level is the running maximum of its place; running values are carried over chunks, so that a
+    document with most of all blocks is many tasks.
+    """
+    place = lambda here: F.when(here, F.struct("block_idx", "text"))
+    seen = {f"h{n}": place(F.col("level") == n) for n in (1, 2, 3, 4)} | {"last": place(F.col("level").isNotNull())}
+    rows = running(block_rows.select("doc_id", "block_idx", "level", "text"), ["doc_id"], "block_idx", maxima=seen, chunk=chunk)
+    rows = rows.select("doc_id", "block_idx", F.col("last.text").alias("heading"), "h1", "h2", "h3", "h4")
     path = []
     for n in (1, 2, 3, 4):
         here = F.col(f"h{n}.block_idx")

@@ -147,3 +147,22 @@ def test_running_totals_equal_plain_windows(spark):
             last[r.k] = r.i
         expected.append((r.k, r.i, r.v, sums[r.k], last.get(r.k)))
     assert rows == sorted(expected)
+
+
+@pytest.mark.parametrize("chunk", [3, 4096])
+def test_sections_are_carried_over_chunks(spark, chunk):
+    import random
+
+    rnd = random.Random(chunk)
+    rows = [(d, i, rnd.choice([None, None, None, 1, 2, 3, 4]), f"b{d}-{i}") for d in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, block_idx long, level int, text string").repartition(4)
+    got = {(r.doc_id, r.block_idx): (r.heading, r.path) for r in S.assign_sections(df, chunk).collect()}
+    for doc in (1, 2):
+        path, heading = {}, None
+        for d, i, level, text in rows:
+            if d != doc:
+                continue
+            if level:
+                path = {n: t for n, t in path.items() if n < level} | {level: text}
+                heading = text
+            assert got[d, i] == (heading, " > ".join(path[n] for n in sorted(path)))
