@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+import pytest
+
 from paperloom.functions.running import running
 from paperloom.operators import inline as I
 from paperloom.operators import metadata as MD
