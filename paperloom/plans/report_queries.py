@@ -51,36 +51,31 @@ def frontmatter_pairs(spark, sf_dir):
     return S.frontmatter_pairs(C.reports(spark, sf_dir))
 
 
-@query(
-    "classify_lines",
-    O.with_(O.DOC, O.BLK, O.NOTES) + """, per AS (
-      SELECT doc_id, CASE type WHEN 'HEADING_1' THEN '1' WHEN 'HEADING_2' THEN '2' WHEN 'HEADING_3' THEN '3'
-        WHEN 'HEADING_4' THEN '4' WHEN 'PARAGRAPH' THEN 'P' WHEN 'BULLET_LIST' THEN 'B' WHEN 'NUMBERED_LIST' THEN 'N'
-        WHEN 'BLOCKQUOTE' THEN 'Q' WHEN 'IMAGE' THEN 'G' WHEN 'CODE_BLOCK' THEN 'F' WHEN 'DIAGRAM' THEN 'F'
-        WHEN 'NUMBERED_HEADING' THEN CASE ord WHEN 95 THEN 'h' ELSE 'W' END
-        WHEN 'SEPARATOR' THEN CASE k % 2 WHEN 0 THEN '-' ELSE '=' END
-        WHEN 'LATEX_BLOCK' THEN CASE ord WHEN 120 THEN 'L' ELSE 'M' END ELSE 'T' END AS cls,
-        CASE WHEN type IN ('BLOCKQUOTE', 'CODE_BLOCK', 'DIAGRAM') OR ord IN (40, 125) THEN 2 WHEN ord = 41 THEN 3 ELSE 1 END AS n
-      FROM blk WHERE type <> 'TABLE'
-      UNION ALL SELECT doc_id, 'T', n + 2 + CAST(k % 11 = 0 AS INT) + CAST(k % 13 = 0 AS INT) FROM doc
-      UNION ALL SELECT doc_id, 'T', 1 FROM doc
-      UNION ALL SELECT doc_id, 'P', 1 FROM doc UNION ALL SELECT doc_id, 'P', 1 FROM doc WHERE k % 9 = 0
-      UNION ALL SELECT doc_id, 'P', 1 FROM doc WHERE k % 3 = 0
-      UNION ALL SELECT doc_id, 'P', 1 FROM doc
-      UNION ALL SELECT doc_id, 'R', 1 FROM doc
-      UNION ALL SELECT doc_id, 'h', 2 + k % 2 FROM doc)
-      SELECT doc_id, cls, CAST(sum(n) AS BIGINT) AS n FROM (
-        SELECT doc_id, cls, n FROM per
-        UNION ALL SELECT doc_id, 'P', -1 FROM doc WHERE k % 3 = 0
-        UNION ALL SELECT doc_id, 'P', -1 FROM doc
-        UNION ALL SELECT doc_id, 'P', -1 FROM doc
-        UNION ALL SELECT doc_id, '1', 1 FROM doc
-        UNION ALL SELECT doc_id, 'P', 1 FROM doc WHERE k % 3 = 0
-        UNION ALL SELECT doc_id, 'P', 1 FROM doc) GROUP BY 1, 2""",
+#: The class of every line of a report after its metadata block, in the order of ``corpora._LINES`` from its seventh entry on;
+#: ``*`` is one of two rules.
+_CLASSES = (
+    "E1E2E" "PEPEP" "PEPE" "BEP" "E2E" "PPE" "PPPE" "33E" "TTTTTT" "E" "QQE" "BBBBBBE" "NEhE*E" "F1TPPFE" "FPFE" "LEMPME" "GEWE" "PE" "RhhhE4"
 )
+
+
+def _line_classes() -> str:
+    """``(doc_id, line_no, cls)``: the lines that a report has, counted in order."""
+    head = "k % 3 = 0"
+    rows = []
+    for j, ((cond, line), cls) in enumerate(zip(C._LINES[6:], _CLASSES, strict=True)):
+        shown = "CASE WHEN k % 2 = 0 THEN '-' ELSE '=' END" if cls == "*" else f"'{cls}'"
+        times = ", unnest(range(0, n)) AS sub" if line is None else ", 0 AS sub"
+        rows.append(f"SELECT k, {j} AS j{times}, {shown} AS cls FROM f WHERE {cond.replace('edited', 'false')}")
+    counts = ", ".join(f"count(*) FILTER (o_orderpriority = '{p}') AS p{i}" for i, p in enumerate(C.PRIORITIES))
+    return f"""WITH f AS (SELECT o_custkey AS k, count(*) AS n, {counts} FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+    lines AS ({" UNION ALL ".join(rows)})
+    SELECT k AS doc_id, CAST(row_number() OVER (PARTITION BY k ORDER BY j, sub) - 1 + CASE WHEN {head} THEN 5 + CAST(k % 6 = 0 AS INT) ELSE 0 END AS INT) AS line_no, cls
+    FROM lines"""
+
+
+@query("classify_lines", _line_classes())
 def classify_lines(spark, sf_dir):
-    lines = S.classify_lines(C.reports(spark, sf_dir))
-    return lines.filter("cls <> 'E'").groupBy("doc_id", "cls").agg(F.count("*").alias("n"))
+    return S.classify_lines(C.reports(spark, sf_dir)).select("doc_id", "line_no", "cls")
 
 
 @query("segment_blocks", O.typed("true", "doc_id, block_idx, type"))
