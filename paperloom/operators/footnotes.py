@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -40,16 +40,15 @@ def resolve_footnotes(refs: DataFrame, notes: DataFrame) -> DataFrame:
 def kept_notes(refs: DataFrame, notes: DataFrame) -> DataFrame:
     """Notes to print: the referenced ones, or all of a document without references.
 
-    References are reduced to distinct numbers before the join, so a document
-    with very many references does not skew it.
+    Notes (one per document and number) and references meet in one aggregation, references counted on the map side first, so
+    that a document with very many of them is not skewed; whether any note of a document is used is a window over its notes.
     """
-    used = refs.select("doc_id", "num").distinct().withColumn("used", F.lit(True))
-    marked = notes.join(used, ["doc_id", "num"], "left")
-    any_used = marked.groupBy("doc_id").agg(F.max("used").alias("any_used"))
-    out = marked.join(any_used, "doc_id")
-    return out.filter(F.col("used") | F.col("any_used").isNull()).select(
-        "doc_id", "num", "text", F.coalesce("any_used", F.lit(False)).alias("is_native")
+    rows = notes.select("doc_id", "num", F.struct("text").alias("note"), F.lit(False).alias("used")).unionByName(
+        refs.select("doc_id", "num", F.lit(True).alias("used")), allowMissingColumns=True
     )
+    met = rows.groupBy("doc_id", "num").agg(F.max("note").alias("note"), F.max("used").alias("used")).filter("note IS NOT NULL")
+    marked = met.withColumn("is_native", F.max("used").over(Window.partitionBy("doc_id")))
+    return marked.filter(F.col("used") | ~F.col("is_native")).select("doc_id", "num", "note.text", "is_native")
 
 
 def dangling_refs(refs: DataFrame, notes: DataFrame) -> DataFrame:
