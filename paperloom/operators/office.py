@@ -3,8 +3,8 @@
 ``office_blocks(doc_id, block_idx, kind, text, style_id, num_id, ilvl,
 left_indent_pt, all_bold, outline_lvl, n_rows, n_cols, fill, bookmark)``;
 ``kind`` is ``p`` (paragraph) or ``t`` (table).  Lookup tables (styles, numbering,
-theme) are joined by key without forced broadcast: their size is the caller's,
-and the optimizer broadcasts them when they are small.
+theme) are joined by key; their size is the caller's. Styles and list levels are
+counted first and broadcast up to ``MAX_LOOKUP_ROWS``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,14 @@ from ..functions.text import group, is_digits, rstrip, lstrip, strip
 
 CHUNK = 4096
 KEY = ["doc_id", "block_idx"]
+#: Rows up to which a table of styles or list levels is broadcast; a larger one is joined as the optimizer sees fit.
+MAX_LOOKUP_ROWS = 100_000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """Left join with a lookup table, by broadcast if it has been counted to be small."""
+    small = facts.limit(MAX_LOOKUP_ROWS + 1).count() <= MAX_LOOKUP_ROWS
+    return rows.join(F.broadcast(facts) if small else facts, on, "left")
 
 
 # --- styles and headings --------------------------------------------------------
@@ -90,7 +98,7 @@ def style_levels_stored(styles: DataFrame, folder: str, scope: list[str] | None
 
 def heading_level(blocks: DataFrame, levels: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Style level, else paragraph outline, else level 2 for short all-bold text."""
-    joined = blocks.join(levels, [*(scope or []), "style_id"], "left")
+    joined = looked_up(blocks, levels, [*(scope or []), "style_id"])
     return joined.select(*KEY, heading_of().alias("heading_level"))
 
 
@@ -108,16 +116,16 @@ def numbering_format(
 ) -> DataFrame:
     """Blocks with ``num_fmt`` from num id -> abstract id -> level."""
     keys = scope or []
-    fmt = numbering.join(levels, [*keys, "abstract_id"]).select(
+    fmt = looked_up(numbering, levels, [*keys, "abstract_id"]).select(
         *keys, "num_id", F.col("ilvl").alias("_lvl"), "num_fmt"
     )
     at = blocks.withColumn("_lvl", F.coalesce("ilvl", F.lit(0)))
-    return at.join(fmt, [*keys, "num_id", "_lvl"], "left").drop("_lvl")
+    return looked_up(at, fmt, [*keys, "num_id", "_lvl"]).drop("_lvl")
 
 
 def _named(blocks: DataFrame, styles: DataFrame, scope: list[str] | None) -> DataFrame:
     keys = [*(scope or []), "style_id"]
-    return blocks.join(styles.select(*keys, "name"), keys, "left")
+    return looked_up(blocks, styles.select(*keys, "name"), keys)
 
 
 def list_type(blocks: DataFrame, styles: DataFrame, scope: list[str] | None = None) -> DataFrame:

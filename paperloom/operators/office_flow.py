@@ -20,8 +20,6 @@ from . import office as W
 from .render import assemble_from_blocks
 
 KEY = ["doc_id", "block_idx"]
-#: Rows up to which a table of styles or list levels is broadcast; a larger one is joined as the optimizer sees fit.
-MAX_LOOKUP_ROWS = 100_000
 #: Beyond this block number a range has no end.
 _FAR = 1 << 60
 
@@ -79,18 +77,13 @@ def boilerplate_spans(marks: DataFrame, profiles: DataFrame) -> DataFrame:
 
 # --- typed blocks -----------------------------------------------------------------------
 
-def _looked_up(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
-    small = facts.limit(MAX_LOOKUP_ROWS + 1).count() <= MAX_LOOKUP_ROWS
-    return rows.join(F.broadcast(facts) if small else facts, on, "left")
-
-
 def _typed(blocks: DataFrame, styles: DataFrame, numbering: DataFrame, levels: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks with ``type, level, title, language, body`` and what list numbers need; the type is null where nothing is said."""
-    formats = _looked_up(numbering, levels, [*keys, "abstract_id"]).select(*keys, "num_id", F.col("ilvl").alias("_lvl"), "num_fmt")
+    formats = W.looked_up(numbering, levels, [*keys, "abstract_id"]).select(*keys, "num_id", F.col("ilvl").alias("_lvl"), "num_fmt")
     rows = blocks.withColumn("_lvl", F.coalesce("ilvl", F.lit(0)))
     for facts in (styles.select(*keys, "style_id", "name"), W.style_levels(styles, keys)):
-        rows = _looked_up(rows, facts, [*keys, "style_id"])
-    rows = _looked_up(rows, formats, [*keys, "num_id", "_lvl"])
+        rows = W.looked_up(rows, facts, [*keys, "style_id"])
+    rows = W.looked_up(rows, formats, [*keys, "num_id", "_lvl"])
     rows = rows.withColumns({
         "mark": O.bookmark_parts(F.col("bookmark")), "heading": W.heading_of(), "list_type": W.list_type_of(), "list_level": W.list_level_of(),
         "stripped": strip(F.col("text")), "fact_title": O.callout_title(strip(F.col("text")), F.col("fill")),
