@@ -36,7 +36,7 @@ def test_query_matches_sql(spark, base, name):
 
 def test_registry():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries() and set(QUERIES) <= set(entry.queries())
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries() and set(QUERIES) <= set(entry.queries())
     assert [n for n, _ in CP.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard", "decontaminate", "mix_sources"]
 
 
