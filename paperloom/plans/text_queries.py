@@ -318,7 +318,17 @@ def format_documents(spark, sf_dir):
     return G.format_corpus(C.documents(spark, sf_dir), CleanerOptions("auto"))
 
 
-@query("colon_spacing_pages")
+_AFTER_COLON = r"""list_transform(cs, lambda c, i: CASE WHEN c = ':' AND coalesce(cs[i - 1], '') <> ':' AND coalesce(cs[i + 1], '') <> ''
+  AND NOT regexp_matches(cs[i + 1], '^[\s:/\\]$') AND NOT (regexp_matches(coalesce(cs[i - 1], ''), '^[0-9]$') AND regexp_matches(cs[i + 1], '^[0-9]$'))
+  THEN ': ' ELSE c END)"""
+
+
+@query(
+    "colon_spacing_pages",
+    rf"""WITH p AS (SELECT page_id, regexp_extract_all(html, '\*\*[^*]+?\*\*') AS bold, string_split(regexp_replace(html, '\*\*[^*]+?\*\*', chr(1), 'g'), '') AS cs FROM pages),
+    spaced AS (SELECT page_id, bold, string_split(array_to_string({_AFTER_COLON}, ''), chr(1)) AS parts FROM p)
+    SELECT page_id AS doc_id, array_to_string(list_transform(parts, lambda x, i: x || coalesce(bold[i], '')), '') AS text FROM spaced""",
+)
 def colon_spacing_pages(spark, sf_dir):
     rows = C.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     return G.rewrite(rows, lambda t: FM.outside_bold(t, FM.colon_spacing))
