@@ -114,7 +114,8 @@ def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = RADIUS
     ``radius`` bits, itself included."""
     one = block_tables(queries.select("fingerprint").distinct(), radius, blocks)
     other = block_tables(index.select("fingerprint").distinct(), radius, blocks).withColumnRenamed("fingerprint", "near")
-    met = one.join(other, ["table", "head"]).withColumn("bits", distance(F.col("fingerprint"), F.col("near"))).filter(F.col("bits") <= radius)
+    # no broadcast: estimates don't know that a fingerprint has a row in every table
+    met = one.join(other.hint("merge"), ["table", "head"]).withColumn("bits", distance(F.col("fingerprint"), F.col("near"))).filter(F.col("bits") <= radius)
     # the first table that both meet in: the first blocks that agree
     pairs = zip(_blocks(F.col("fingerprint"), blocks), _blocks(F.col("near"), blocks), strict=True)
     agree = F.filter(F.array(*(F.when(a == b, F.lit(k)) for k, (a, b) in enumerate(pairs))), lambda k: k.isNotNull())
