@@ -201,8 +201,9 @@ def _root(conversations: DataFrame, nodes: DataFrame, marked: DataFrame) -> Data
     all_of = conversations.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
     top = nodes.filter("depth = 1").agg(F.count("*").alias("n_children"))
     below = marked.filter("block = 0").agg(F.coalesce(F.sum("saved1"), F.lit(0)).alias("saved_tokens"), F.coalesce(F.sum("leaf"), F.lit(0)).alias("n_below"))
-    one = F.lit(1).alias("one")
-    joined = all_of.select("*", one).join(top.select("*", one), "one").join(below.select("*", one), "one").filter("n_convs > 0")
+    # three rows that complete each other
+    rows = all_of.unionByName(top, allowMissingColumns=True).unionByName(below, allowMissingColumns=True)
+    joined = rows.agg(*(F.max(c).alias(c) for c in rows.columns)).filter("n_convs > 0")
     return joined.select(
         *(F.lit(0).cast("long").alias(c) for c in ("key_a", "key_b", "depth")), "conv_id",
         F.lit(None).cast(conversations.schema["conv_id"].dataType).alias("parent_conv_id"), "n_convs", "n_children",
