@@ -9,7 +9,7 @@ from . import blocks as B
 from . import constants as K
 from . import lexer as L
 from . import metadata as M
-from .runs import block_run_arrays, run_counts_of
+from .runs import block_run_counts
 from .tables import table_parts
 from .text import group, is_digits, let, normalize_block, normalize_inline, strip
 
@@ -50,7 +50,7 @@ def block_summary(code: Column, lines: Column) -> Column:
         diagram, F.size(F.regexp_extract_all(body, F.lit(rf"(?m)^\s*-\s*\{{?\s*{key}\s*:"), F.lit(0)))
     ).otherwise(F.lit(0))
     return let(
-        F.struct(run_counts_of(block_run_arrays(code, lines)).alias("runs"), shape.alias("shape")),
+        F.struct(block_run_counts(code, lines).alias("runs"), shape.alias("shape")),
         lambda x: F.struct(
             B.block_type(code).alias("type"),
             text.alias("text"),
@@ -89,6 +89,66 @@ def document_record(doc: Column, notes: Column) -> Column:
     )
 
 
+def record_parts(doc: Column, footnote_count: Column, parts: str) -> Column:
+    """A record whose ``body`` holds code and lines of each block, not yet summarised.
+
+    ``parts``: "metadata" leaves out notes and blocks, "counts" metadata; "status" and "all" need everything.
+    """
+    none = F.struct(*(F.lit(None).cast("string").alias(n) for n in ("title", "subtitle", "company")), M.no_pairs().alias("extra"))
+    body = lambda d: F.transform(M.body_spans(d), lambda b: F.struct(b["code"].alias("code"), b["lines"].alias("lines")))
+    return let(
+        none if parts == "counts" else M.inferred_metadata(doc),
+        lambda m: F.struct(
+            *(m[n].alias(n) for n in ("title", "subtitle", "company", "extra")), footnote_count.alias("footnote_count"),
+            (F.array().cast("array<struct<code:string,lines:array<string>>>") if parts == "metadata" else body(doc)).alias("body"),
+        ),
+    )
+
+
+def equal_run(x: Column, y: Column) -> Column:
+    """How many elements two arrays have in common at their start."""
+    differs = F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q))
+    at = F.array_position(differs, True).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.size(differs))
+
+
+def equal_ends(records: Column) -> Column:
+    """``struct<x, y, head, tail>``: both bodies and how many blocks their starts and ends have in common."""
+    body = lambda n: F.coalesce(F.get(records, F.lit(n))["body"], F.array())
+    with_head = lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), equal_run(c["x"], c["y"]).alias("head"))
+    with_tail = lambda c: F.struct(
+        c["x"].alias("x"), c["y"].alias("y"), c["head"].alias("head"),
+        F.least(F.least(F.size(c["x"]), F.size(c["y"])) - c["head"], equal_run(F.reverse(c["x"]), F.reverse(c["y"]))).alias("tail"),
+    )
+    return let(let(F.struct(body(0).alias("x"), body(1).alias("y")), with_head), with_tail)
+
+
+def summarised_pair(records: Column, ends: Column, parts: str) -> Column:
+    """``struct<a, b>`` of two records whose ``body`` gives way to ``blocks``.
+
+    Blocks of equal source have equal summaries, so those of the equal ends are computed once, and for "status" not at all:
+    there ``blocks`` holds only what lies between the first and the last difference.
+    """
+    if parts in ("metadata", "counts"):
+        summary = lambda b: F.struct(B.block_type(b["code"]).alias("type"))
+    else:
+        summary = lambda b: block_summary(b["code"], b["lines"])
+
+    def side(n: int, blocks: Column) -> Column:
+        r = F.get(records, F.lit(n))
+        kept = (r[f].alias(f) for f in ("title", "subtitle", "company", "extra", "footnote_count"))
+        return F.when(r.isNotNull(), F.struct(*kept, blocks.alias("blocks")))
+
+    head, tail = ends["head"], ends["tail"]
+    middle = lambda s: F.slice(s, head + 1, F.size(s) - head - tail)
+    whole = lambda s: F.concat(F.slice(s[0], F.lit(1), head), s[1], F.slice(s[0], F.size(s[0]) - tail + 1, tail))
+    of = F.array(middle(ends["x"]) if parts == "status" else ends["x"], middle(ends["y"]))
+    return let(
+        F.transform(of, lambda blocks: F.transform(blocks, summary)),
+        lambda s: F.struct(side(0, s[0]).alias("a"), side(1, s[1] if parts == "status" else whole(s)).alias("b")),
+    )
+
+
 def type_counts(blocks: Column) -> Column:
     """``array<struct<type, n>>`` of the block types that occur, by type name."""
     def count(name: str) -> Column:

@@ -68,16 +68,19 @@ def document_summary(corpus: DataFrame) -> DataFrame:
     )
 
 
-def pair_versions(source: DataFrame, target: DataFrame) -> DataFrame:
+def pair_versions(source: DataFrame, target: DataFrame, parts: str = "all") -> DataFrame:
     """``(doc_id, a, b)``: the records of both versions side by side, both null for documents with equal texts.
 
-    The texts meet first; only those that differ are parsed.
+    The texts meet first; only those that differ are parsed. ``parts`` names what is asked of the pairs, so that nothing
+    else is computed: "metadata" (``metadata_diff``), "counts" (``count_delta``), "status" (``audit_status``) or "all".
     """
     a = source.select("doc_id", F.col("text").alias("text_a"))
     b = target.select("doc_id", F.col("text").alias("text_b"))
     joined = a.join(b, "doc_id", "full_outer")
     # a generated row is evaluated once, whatever is asked of it later
-    once = joined.select("doc_id", F.explode_outer(F.array(E.record_pair())).alias("r"))
+    parsed = joined.select("doc_id", F.explode_outer(F.array(E.record_pair(parts))).alias("r"))
+    cut = parsed.select("doc_id", "r", F.explode_outer(F.array(E.equal_ends())).alias("c"))
+    once = cut.select("doc_id", F.explode_outer(F.array(E.summarised_pair(parts))).alias("r"))
     return once.select("doc_id", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
 
 
@@ -187,23 +190,16 @@ def _align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         )
 
 
-def _equal_run(x: Column, y: Column) -> Column:
-    """How many elements two arrays have in common at their start."""
-    differs = F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q))
-    at = F.array_position(differs, True).cast("int")
-    return F.when(at > 0, at - 1).otherwise(F.size(differs))
-
-
 def equal_head(x: Column, y: Column) -> Column:
     """Length of the equal start, 0 where a block occurs twice (then it matters to which one others are aligned)."""
     unique = (F.size(F.array_distinct(x)) == F.size(x)) & (F.size(F.array_distinct(y)) == F.size(y))
-    return F.when(unique, _equal_run(x, y)).otherwise(0)
+    return F.when(unique, A.equal_run(x, y)).otherwise(0)
 
 
 def equal_tail(x: Column, y: Column, head: Column) -> Column:
     unique = (F.size(F.array_distinct(x)) == F.size(x)) & (F.size(F.array_distinct(y)) == F.size(y))
     most = F.least(F.size(x), F.size(y)) - head
-    return F.when(unique, F.least(most, _equal_run(F.reverse(x), F.reverse(y)))).otherwise(0)
+    return F.when(unique, F.least(most, A.equal_run(F.reverse(x), F.reverse(y)))).otherwise(0)
 
 
 def _changed_fields(s: Column, t: Column) -> Column:
@@ -211,22 +207,18 @@ def _changed_fields(s: Column, t: Column) -> Column:
     return F.filter(names, lambda n: n.isNotNull())
 
 
-def block_diff(pairs: DataFrame) -> DataFrame:
-    """Changed, removed and added blocks with 1-based positions.
+def _keyed(pairs: DataFrame) -> DataFrame:
+    """Pairs with the hashes of their blocks."""
+    keys = lambda side: F.transform(_blocks(side), lambda x: F.xxhash64(x))
+    return pairs.select("doc_id", "a", "b", keys("a").alias("ka"), keys("b").alias("kb"))
 
-    Equal documents leave before the alignment. Blocks are compared by hash;
-    where no block occurs twice, equal ends are cut off first, so the pandas
-    function only sees the hashes between the first and the last difference.
-    """
-    keyed = pairs.select(
-        "doc_id",
-        _blocks("a").alias("a"),
-        _blocks("b").alias("b"),
-        F.transform(_blocks("a"), lambda x: F.xxhash64(x)).alias("ka"),
-        F.transform(_blocks("b"), lambda x: F.xxhash64(x)).alias("kb"),
-    ).filter(F.col("ka") != F.col("kb"))
+
+def _with_changes(keyed: DataFrame) -> DataFrame:
+    """``(doc_id, a, b, changes)``: the changed blocks of every pair in one array, empty where all blocks are equal."""
     cut = keyed.withColumn("head", equal_head(F.col("ka"), F.col("kb"))).withColumn("tail", equal_tail(F.col("ka"), F.col("kb"), F.col("head")))
-    middle = lambda k: F.slice(k, F.col("head") + 1, F.size(k) - F.col("head") - F.col("tail"))
+    middle = lambda k: F.when(
+        F.col("ka") != F.col("kb"), F.slice(k, F.col("head") + 1, F.size(k) - F.col("head") - F.col("tail"))
+    ).otherwise(F.array().cast("array<bigint>"))
     found = cut.select("doc_id", "a", "b", "head", _align(middle("ka"), middle("kb")).alias("ops"))
     shifted = F.transform(
         "ops",
@@ -252,10 +244,21 @@ def block_diff(pairs: DataFrame) -> DataFrame:
         return F.when(both >= 0, F.transform(F.sequence(F.lit(0), n - 1), pairwise))
 
     changes = let(
-        F.struct("a", "b"),
+        F.struct(_blocks("a").alias("a"), _blocks("b").alias("b")),
         lambda s: F.flatten(F.transform(F.col("ops"), lambda op: rows(op, s["a"], s["b"]))),
     )
-    out = explode_rows(steps, ["doc_id"], changes, "change_no", "c")
+    return steps.select("doc_id", "a", "b", changes.alias("changes"))
+
+
+def block_diff(pairs: DataFrame) -> DataFrame:
+    """Changed, removed and added blocks with 1-based positions.
+
+    Equal documents leave before the alignment. Blocks are compared by hash;
+    where no block occurs twice, equal ends are cut off first, so the pandas
+    function only sees the hashes between the first and the last difference.
+    """
+    changed = _with_changes(_keyed(pairs).filter(F.col("ka") != F.col("kb")))
+    out = explode_rows(changed, ["doc_id"], F.col("changes"), "change_no", "c")
     fields = F.when(F.col("c.change") == "changed", _changed_fields(F.col("c.source"), F.col("c.target")))
     return out.select(
         "doc_id", "change_no", "c.change", "c.source_index", "c.target_index",
@@ -298,25 +301,19 @@ def _shown(value: Column) -> Column:
 
 def audit_report(pairs: DataFrame) -> DataFrame:
     """Readable report per document: ``(doc_id, report)``."""
-    changes = block_diff(pairs).select(
-        "doc_id",
-        F.struct(
-            "change_no",
-            F.concat(
-                F.lit("  - "), "change", F.lit(": "),
-                F.when(F.col("source_index").isNotNull(), F.concat(F.lit("src#"), F.col("source_index").cast("string"), F.lit(":"), "source.type")).otherwise(F.lit("src#<missing>")),
-                F.lit(" -> "),
-                F.when(F.col("target_index").isNotNull(), F.concat(F.lit("rt#"), F.col("target_index").cast("string"), F.lit(":"), "target.type")).otherwise(F.lit("rt#<missing>")),
-                F.when(F.col("changed_fields") != "", F.concat(F.lit(" fields="), "changed_fields")).otherwise(F.lit("")),
-                F.lit("\n    text: "),
-                F.coalesce(preview(F.col("source.text")), F.lit("<missing>")),
-                F.lit(" -> "),
-                F.coalesce(preview(F.col("target.text")), F.lit("<missing>")),
-            ).alias("line"),
-        ).alias("c"),
-    )
-    # one list per document that differs, bounded by its number of blocks
-    lists = changes.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("changes"))
+    def line(c: Column) -> Column:
+        fields = F.when(c["change"] == "changed", F.array_join(_changed_fields(c["source"], c["target"]), ",")).otherwise(F.lit(""))
+        return F.concat(
+            F.lit("  - "), c["change"], F.lit(": "),
+            F.when(c["source_index"].isNotNull(), F.concat(F.lit("src#"), c["source_index"].cast("string"), F.lit(":"), c["source"]["type"])).otherwise(F.lit("src#<missing>")),
+            F.lit(" -> "),
+            F.when(c["target_index"].isNotNull(), F.concat(F.lit("rt#"), c["target_index"].cast("string"), F.lit(":"), c["target"]["type"])).otherwise(F.lit("rt#<missing>")),
+            F.when(fields != "", F.concat(F.lit(" fields="), fields)).otherwise(F.lit("")),
+            F.lit("\n    text: "),
+            F.coalesce(preview(c["source"]["text"]), F.lit("<missing>")),
+            F.lit(" -> "),
+            F.coalesce(preview(c["target"]["text"]), F.lit("<missing>")),
+        )
 
     def section(title: str, items: Column) -> Column:
         return F.when(F.size(items) > 0, F.concat(F.lit(title + "\n"), F.array_join(items, "\n")))
@@ -348,8 +345,9 @@ def audit_report(pairs: DataFrame) -> DataFrame:
             one("footnote_count", "Footnotes"), one("image_count", "Images"), one("table_count", "Tables"),
         )
 
-    head = pairs.select(
-        "doc_id",
+    # pairs are parsed once: their changed blocks stay in the row
+    head = _with_changes(_keyed(pairs)).select(
+        "doc_id", "changes",
         F.when(is_changed(), F.lit("FAIL")).otherwise(F.lit("PASS")).alias("status"),
         F.concat(
             F.array(section("Metadata fields:", values("field")), section("Metadata extra:", values("extra"))),
@@ -360,34 +358,29 @@ def audit_report(pairs: DataFrame) -> DataFrame:
         F.concat(
             F.array(F.concat(F.lit("Status: "), "status")),
             F.when(F.col("status") == "PASS", F.array(F.lit("No semantic differences detected."))).otherwise(F.col("parts")),
-            F.array(section("Changed elements:", F.transform("changes", lambda c: c["line"]))),
+            F.array(section("Changed elements:", F.transform("changes", line))),
         ),
         lambda p: p.isNotNull(),
     )
-    return head.join(lists, "doc_id", "left").select("doc_id", F.array_join(body, "\n").alias("report"))
+    return head.select("doc_id", F.array_join(body, "\n").alias("report"))
 
 
 def audit_json(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """The whole comparison as one JSON text per document: inputs, status, metadata, counts and changed elements."""
-    element = F.struct(
-        "change_no", "change", "source_index", "target_index",
-        F.filter(F.split("changed_fields", ","), lambda f: f != "").alias("changed_fields"), "source", "target",
-    )
-    # one list per document that differs, bounded by its number of blocks
-    lists = block_diff(pairs).groupBy("doc_id").agg(F.array_sort(F.collect_list(element)).alias("changes"))
-    facts = pairs.select(
-        "doc_id",
-        F.when(is_changed(), F.lit("FAIL")).otherwise(F.lit("PASS")).alias("status"),
-        metadata_changes("field").alias("metadata_fields"), metadata_changes("extra").alias("metadata_extra"),
-        count_changes().alias("counts"),
+    element = lambda c: F.struct(
+        c["change"].alias("change"), c["source_index"].alias("source_index"), c["target_index"].alias("target_index"),
+        F.when(c["change"] == "changed", _changed_fields(c["source"], c["target"])).otherwise(F.array().cast("array<string>")).alias("changed_fields"),
+        c["source"].alias("source"), c["target"].alias("target"),
     )
-    elements = F.transform(F.coalesce("changes", F.array()), lambda c: c.dropFields("change_no"))
-    return facts.join(lists, "doc_id", "left").select(
+    # pairs are parsed once: their changed blocks stay in the row
+    return _with_changes(_keyed(pairs)).select(
         "doc_id",
         F.to_json(
             F.struct(
-                F.lit(source).alias("source"), F.lit(target).alias("target"), "status",
-                "metadata_fields", "metadata_extra", "counts", elements.alias("elements"),
+                F.lit(source).alias("source"), F.lit(target).alias("target"),
+                F.when(is_changed(), F.lit("FAIL")).otherwise(F.lit("PASS")).alias("status"),
+                metadata_changes("field").alias("metadata_fields"), metadata_changes("extra").alias("metadata_extra"),
+                count_changes().alias("counts"), F.transform("changes", element).alias("elements"),
             )
         ).alias("report"),
     )
