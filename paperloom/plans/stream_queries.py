@@ -152,7 +152,9 @@ def read_corpus_files(spark, sf_dir):
     """One text file per supplier in one folder, written and read by Spark."""
     folder, own = scratch(spark, "files"), RD.korean_session(spark)
     texts = C.table(spark, sf_dir, "supplier").select(F.concat(F.lit("Report of "), "s_name", F.lit("\n\n"), F.col("s_suppkey").cast("string")).alias("value"))
-    texts.write.option("maxRecordsPerFile", 1).option("lineSep", "\u0000").text(folder)
+    # a file each: shares of the rows on all cores, whose tasks put their files in place themselves instead of the driver
+    shares = texts.repartition(4 * spark.sparkContext.defaultParallelism, "value")
+    shares.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("lineSep", "\u0000").text(folder)
     read = RD.decode_text(RD.read_corpus_files(own, folder, "*.txt")).filter("error IS NULL")
     return read.groupBy(F.rtrim(F.col("text"), F.lit("\u0000")).alias("text")).agg(F.countDistinct("doc_id").alias("files"))
 
