@@ -9,6 +9,8 @@ counted first and broadcast up to ``MAX_LOOKUP_ROWS``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,10 +71,11 @@ def style_levels(styles: DataFrame, scope: list[str] | None = None) -> DataFrame
 def style_levels_stored(styles: DataFrame, folder: str, scope: list[str] | None = None) -> DataFrame:
     """As ``style_levels``, for relations of any size: pointer doubling by joins.
 
-    Every round joins all styles with the style that their pointer shows to, takes its level if they have none, and moves
-    the pointer to where that one points, so chains of n styles take log2(n) rounds and no row is larger than a style. A
-    pointer ends at a level, at the end of a chain or, in a cycle, with the last round; styles in or before a cycle without
-    a level have none. Rounds are written to ``folder``, which all executors must share. Scope columns must not be null; of
+    Every round joins the styles that still have a pointer with the style that it shows to, takes its level if they have
+    none, and moves the pointer to where that one points, so chains of n styles take log2(n) rounds and no row is larger than
+    a style. A pointer ends at a level, at the end of a chain or, in a cycle, with the last round, which the largest scope
+    decides: no chain without a cycle is longer. Styles in or before a cycle without a level have none. A style without a
+    pointer is settled and stays where it was written; of these, only those with a level are read again by later rounds. Rounds are written to ``folder``, which all executors must share. Scope columns must not be null; of
     equal style ids in a scope the one with the least level counts.
     """
     keys = [*(scope or []), "style_id"]
@@ -80,20 +83,22 @@ def style_levels_stored(styles: DataFrame, folder: str, scope: list[str] | None
     own = F.coalesce(O.heading_hint(F.col("name")), O.heading_hint(F.col("style_id")), F.col("outline_lvl") + 1)
     rows = styles.filter("style_id IS NOT NULL").groupBy(*keys).agg(F.min(F.struct(own.isNull().alias("none"), own.alias("level"), F.col("base_style_id").alias("next"))).alias("s"))
     state = rows.select(*keys, "s.level", F.when(F.col("s.level").isNull(), F.col("s.next")).alias("next"))
-    todo, done = None, 0
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    written = [put(state, "round=0")]
+    largest = written[0].groupBy(*(scope or [])).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    steps = 1  # hops that a pointer stands for
     while True:
-        path = f"{folder}/round={done}"
-        state.write.mode("overwrite").parquet(path)
-        state = spark.read.schema(state.schema).parquet(path)
-        open_now = state.agg(F.count("*").alias("all"), F.count("next").alias("open")).first()
-        todo = max(open_now["all"], 1).bit_length() + 1 if todo is None else todo
-        if not open_now["open"] or done > todo:
-            return state.select(*keys, "level")
-        base = state.select(*(scope or []), F.col("style_id").alias("next"), F.col("level").alias("_level"), F.col("next").alias("_next"))
-        joined = state.join(base, [*(scope or []), "next"], "left")
-        level = F.coalesce("level", "_level")
-        state = joined.select(*keys, level.alias("level"), F.when(level.isNull(), F.col("_next")).alias("next"))
-        done += 1
+        open_now = written[-1].filter("next IS NOT NULL")
+        if steps >= largest or open_now.isEmpty():
+            return reduce(DataFrame.unionByName, [*(w.filter("next IS NULL") for w in written[:-1]), written[-1]]).select(*keys, "level")
+        settled = [w.filter("next IS NULL AND level IS NOT NULL") for w in written]
+        base = reduce(DataFrame.unionByName, [open_now, *settled]).select(*(scope or []), F.col("style_id").alias("next"), F.col("level").alias("_level"), F.col("next").alias("_next"))
+        joined = open_now.join(base, [*(scope or []), "next"], "left")
+        written.append(put(joined.select(*keys, F.col("_level").alias("level"), F.when(F.col("_level").isNull(), F.col("_next")).alias("next")), f"round={len(written)}"))
+        steps *= 2
 
 
 def heading_level(blocks: DataFrame, levels: DataFrame, scope: list[str] | None = None) -> DataFrame:
