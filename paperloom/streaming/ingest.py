@@ -7,16 +7,15 @@ each: the version, digest and block counts that they stand for.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import blocks as B
 from ..functions import exprs as E
+from ..functions import lexer as L
+from ..functions.text import count_char
 from ..operators import footnotes as N
 from ..operators import inline as I
 from ..operators import metadata as MD
@@ -89,50 +88,41 @@ def ingest_batches(
     )
 
 
-def _replace(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """What a document's newest delivery changes: its former counts taken back, its present ones added."""
-    version, digest, counts = state.get if state.exists else (None, None, "")
-    newest = None
-    for rows in batches:
-        for row in rows.itertuples(index=False):
-            if newest is None or (row.version, row.digest) > newest[:2]:
-                newest = (row.version, row.digest, row.counts)
-    out = []
-    if newest is not None and (version is None or newest[:2] > (version, digest)):
-        former, present = (dict(x.rsplit("=", 1) for x in c.split(",") if x) for c in (counts, newest[2]))
-        for name in sorted(former.keys() | present.keys()):
-            change = int(present.get(name, 0)) - int(former.get(name, 0))
-            if change:
-                out.append((*key, name, change))
-        state.update(newest)
-    yield pd.DataFrame(out, columns=["doc_id", "type", "change"]).astype({"change": "int64"})
+#: Block types in the order of the counts that ``follow_counts`` keeps.
+COUNTED = {kind: "".join(code for code, of in L.TYPES.items() if of == kind) for kind in sorted(set(L.TYPES.values()))}
 
 
 def follow_counts(corpus: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append to ``target`` how the block counts of documents change: ``(doc_id, type, change)``.
+    """Append to ``target`` what documents newly stand for: ``(doc_id, version, digest, counts)``, counts by block type.
 
     ``corpus`` is a stream ``(doc_id, version, text)`` in which documents may come again, changed, late or in several
-    batches. Of a document the greatest version counts (of equal ones, the greatest digest), once: its counts replace what
-    the document stood for. Texts are parsed once, before the state, and only counts of a few dozen types are kept. A row
-    without id or version is left out, a null text is a document without blocks.
+    batches. Of a document the greatest version counts (of equal ones, the greatest digest), once: what comes again or late
+    adds no row, and a newer row replaces the former ones (``current_counts``). Texts are parsed once, before the state; the
+    state is a streaming aggregate, one row of a few numbers per document. A row without id or version is left out, a null
+    text is a document without blocks. A batch overwrites its own folder, so a retried batch leaves one copy.
     """
     rows = corpus.filter("doc_id IS NOT NULL AND version IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
-    types = F.transform(E.body_spans(), lambda b: B.block_type(b["code"]))
-    said = rows.select("doc_id", "version", "text", types.alias("types"))
-    pairs = F.transform(F.array_distinct("types"), lambda t: F.concat(t, F.lit("="), F.size(F.filter("types", lambda x: x == t)).cast("string")))
-    counted = said.select("doc_id", "version", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.array_join(pairs, ",").alias("counts"))
-    kind = dict(corpus.dtypes)["doc_id"]
-    changes = counted.groupBy("doc_id").applyInPandasWithState(
-        _replace, f"doc_id {kind}, type string, change long", "version long, digest string, counts string", "append", GroupStateTimeout.NoTimeout
-    )
+    codes = F.array_join(F.transform(E.body_spans(), lambda b: b["code"]), "")
+    # a generated row is evaluated once, however often it is read
+    said = rows.select("doc_id", "version", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.explode_outer(F.array(codes)).alias("codes"))
+    counts = F.array(*(count_char(F.col("codes"), of) for of in COUNTED.values()))
+    # of equal rows the first delivery stays, so that the newest row tells whether this batch brought it
+    newest = F.struct("version", "digest", (-F.unix_micros(F.current_timestamp())).alias("since"), counts.alias("counts"))
+    state = said.select("doc_id", newest.alias("row")).groupBy("doc_id").agg(F.max("row").alias("row"))
+    fresh = state.filter(F.col("row.since") == -F.unix_micros(F.current_timestamp()))
+    by_type = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, COUNTED)), F.col("row.counts")), lambda _, n: n > 0)
+    changes = fresh.select("doc_id", "row.version", "row.digest", by_type.alias("counts"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
     return (
-        changes.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .outputMode("update").trigger(availableNow=True).start()
     )
 
 
 def current_counts(changes: DataFrame) -> DataFrame:
     """``(doc_id, type, n)``: what documents stand for after all changes."""
-    return changes.groupBy("doc_id", "type").agg(F.sum("change").alias("n")).filter("n <> 0")
+    newest = changes.groupBy("doc_id").agg(F.max_by("counts", F.struct("version", "digest")).alias("counts"))
+    return newest.select("doc_id", F.explode("counts").alias("type", "n")).withColumn("n", F.col("n").cast("long"))

@@ -95,6 +95,18 @@ def test_counts_follow_changed_documents(spark, tmp_path):
     assert deliver((1, 4, None)) == {(2, "HEADING_2"): 1, (2, "PARAGRAPH"): 2}
 
 
+def test_counts_leave_no_row_for_what_came_before(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("source", "target", "state"))
+    for rows in ([(1, 2, "b\n\n# a\n"), (2, 1, "c\n")], [(1, 2, "b\n\n# a\n"), (1, 1, "old\n"), (2, 1, "c\n")], [(2, 2, "- d\n")]):
+        spark.createDataFrame(rows, "doc_id long, version long, text string").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("doc_id long, version long, text string").parquet(source)
+        query = ST.follow_counts(stream, target, checkpoint)
+        query.awaitTermination()
+        assert query.lastProgress.stateOperators[0].numRowsTotal == 2  # one small row per document, kept by Spark's own state
+    got = {(r.doc_id, r.version): r.counts for r in spark.read.parquet(target).collect()}
+    assert got == {(1, 2): {"HEADING_1": 1, "PARAGRAPH": 1}, (2, 1): {"PARAGRAPH": 1}, (2, 2): {"BULLET_LIST": 1}}
+
+
 @pytest.mark.parametrize("relation", sorted(ST.RELATIONS))
 def test_every_relation_can_be_ingested(spark, tmp_path, rows, relation):
     source = str(tmp_path / "source")
