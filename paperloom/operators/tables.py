@@ -99,8 +99,7 @@ def dropped_cells(spans: DataFrame, options: ParseOptions = DEFAULT) -> DataFram
 
 def column_profile(spans: DataFrame, options: ParseOptions = DEFAULT) -> DataFrame:
     """Kind, lengths and width score of every column."""
-    profiles = let(_parts(options), T.column_profiles)
-    out = explode_rows(_tables(spans), KEY, profiles, "p", "c")
+    out = explode_rows(_tables(spans), KEY, E.column_profiles(options.keep_empty_cells), "p", "c")
     return out.select(
         *KEY, "c.col_idx", "c.kind", "c.representative_length", "c.longest_token", "c.score"
     )
