@@ -29,20 +29,25 @@ def running(
     maximum of ``struct(order, value)``.
     """
     sums, maxima = sums or {}, maxima or {}
-    rows = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    part = [*keys, "_chunk"]
+    part = ["_key", "_chunk"]
+    # dealt out before totals and windows branch off: both read this one shuffle, so the rows are made once; a struct is
+    # never null, so the join adds no filter of keys that would make the two shuffles differ
+    dealt = df.withColumns({"_key": F.struct(*keys), "_chunk": F.floor(F.col(order) / chunk)})
+    rows = dealt.drop(*keys).repartition(*part)
     inputs = {**{n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}, **maxima}
     rows = rows.withColumns(inputs)
 
     totals = rows.groupBy(*part).agg(
         *[F.sum(n).alias(f"_{n}") for n in sums], *[F.max(n).alias(f"_{n}") for n in maxima]
     )
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *part,
+        F.count(F.lit(1)).over(before).alias("_earlier"),
         *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums],
         *[F.max(f"_{n}").over(before).alias(f"_{n}") for n in maxima],
     )
+    carried = carried.filter("_earlier > 0").drop("_earlier")  # a key's first chunk has nothing before it
 
     inside = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns(
@@ -53,5 +58,5 @@ def running(
         **{n: (F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0))).alias(n) for n in sums},
         **{n: F.greatest(F.col(n), F.col(f"_{n}")).alias(n) for n in maxima},
     }
-    drop = [f"_{n}" for n in inputs]
-    return joined.withColumns(done).drop("_chunk", *drop)
+    names = [*df.columns, *(n for n in inputs if n not in df.columns)]
+    return joined.withColumns(done).select(*(F.col("_key")[n].alias(n) if n in keys else F.col(n) for n in names))
