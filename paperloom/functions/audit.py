@@ -18,6 +18,9 @@ SUMMARY_FIELDS = [
     "numbering_format", "bold_run_count", "italic_run_count", "diagram_type", "box_count", "arrow_count",
 ]
 
+#: What a record holds besides its blocks.
+RECORD_FIELDS = ["title", "subtitle", "company", "extra", "footnote_count"]
+
 
 def block_summary(code: Column, lines: Column) -> Column:
     """Canonical struct of one block (fields of ``SUMMARY_FIELDS``)."""
@@ -74,21 +77,6 @@ def block_summary(code: Column, lines: Column) -> Column:
     )
 
 
-def document_record(doc: Column, notes: Column) -> Column:
-    """Everything a comparison needs, one struct per document."""
-    return let(
-        F.struct(M.inferred_metadata(doc).alias("m"), M.body_spans(doc).alias("b")),
-        lambda x: F.struct(
-            x["m"]["title"].alias("title"),
-            x["m"]["subtitle"].alias("subtitle"),
-            x["m"]["company"].alias("company"),
-            x["m"]["extra"].alias("extra"),
-            F.size(notes).alias("footnote_count"),
-            F.transform(x["b"], lambda b: block_summary(b["code"], b["lines"])).alias("blocks"),
-        ),
-    )
-
-
 def record_parts(doc: Column, footnote_count: Column, parts: str) -> Column:
     """A record whose ``body`` holds code and lines of each block, not yet summarised.
 
@@ -105,6 +93,12 @@ def record_parts(doc: Column, footnote_count: Column, parts: str) -> Column:
     )
 
 
+def summarised_record(r: Column) -> Column:
+    """A record of ``record_parts`` whose ``body`` gives way to the summaries of its ``blocks``."""
+    kept = (r[f].alias(f) for f in RECORD_FIELDS)
+    return F.struct(*kept, F.transform(r["body"], lambda b: block_summary(b["code"], b["lines"])).alias("blocks"))
+
+
 def equal_run(x: Column, y: Column) -> Column:
     """How many elements two arrays have in common at their start."""
     differs = F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q))
@@ -136,7 +130,7 @@ def summarised_pair(records: Column, ends: Column, parts: str) -> Column:
 
     def side(n: int, blocks: Column) -> Column:
         r = F.get(records, F.lit(n))
-        kept = (r[f].alias(f) for f in ("title", "subtitle", "company", "extra", "footnote_count"))
+        kept = (r[f].alias(f) for f in RECORD_FIELDS)
         return F.when(r.isNotNull(), F.struct(*kept, blocks.alias("blocks")))
 
     head, tail = ends["head"], ends["tail"]

@@ -47,7 +47,12 @@ def block_counts(spans: DataFrame) -> DataFrame:
 
 
 def records(corpus: DataFrame) -> DataFrame:
-    return corpus.select("doc_id", E.record().alias("r"))
+    """``(doc_id, r)``: everything a comparison needs, one struct per document.
+
+    Parse and summaries are two steps: in one expression their lambdas nest deeper than the analyzer resolves.
+    """
+    parsed = corpus.select("doc_id", F.explode_outer(F.array(E.record_source())).alias("r"))
+    return parsed.select("doc_id", F.explode_outer(F.array(E.summarised_record())).alias("r"))
 
 
 def document_summary(corpus: DataFrame) -> DataFrame:
