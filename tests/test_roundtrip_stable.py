@@ -9,3 +9,10 @@ def test_changed_blocks_are_named_without_a_shuffle(corpus):
     rows = {r["doc_id"]: (r["blocks"], r["status"], r["changed"]) for r in found.collect()}
     assert rows[2] == (2, "PASS", "") and 3 not in rows
     assert rows[1][1:] == ("PASS", "BLOCKQUOTE")
+
+
+def test_each_text_is_parsed_once(corpus):
+    found = AU.roundtrip_stable(corpus("# A\n\n**K**: v\n\ntext\n", "1. 3 > 2\n\n> [NOTE] x\n"))
+    assert "array(before#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["doc_id"]: (r["blocks"], r["status"], r["changed"]) for r in found.collect()}
+    assert rows == {1: (1, "PASS", "PARAGRAPH"), 2: (2, "PASS", "BLOCKQUOTE")}
